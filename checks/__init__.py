@@ -1,4 +1,4 @@
 """Registered queries: one Spark callable per operator, with its SQL oracle."""
 
 from checks.registry import ORACLE, QUERIES  # noqa: F401
-from checks import query, profile, chartdata, charts, insights  # noqa: F401
+from checks import query, profile, chartdata, charts, insights, platform, audit, questions  # noqa: F401

@@ -128,9 +128,14 @@ def kurtosis(c: Column) -> Column:
 
 
 class Profile:
-    """All profile sections of one table; each is a lazy DataFrame."""
+    """All profile sections of one table; each is a lazy DataFrame.
 
-    def __init__(self, df: DataFrame, columns: Sequence[str] | None = None):
+    ``keep`` (e.g. ``durable``) materialises the core sections once, so that the rules
+    derived from them do not scan the table again.
+    """
+
+    def __init__(self, df: DataFrame, columns: Sequence[str] | None = None, keep=None):
+        self._keep = keep or (lambda section: section)
         self.df = clean(df if columns is None else df.select(*[ref(c) for c in columns]))
         self.fields = self.df.schema.fields
         self.names = [f.name for f in self.fields]
@@ -141,9 +146,9 @@ class Profile:
 
     @cached_property
     def basic(self) -> DataFrame:
-        return duplicates(self.df).select(
+        return self._keep(duplicates(self.df).select(
             "total_rows", F.lit(len(self.names)).alias("total_columns"),
-            "duplicate_rows", "duplicate_percentage")
+            "duplicate_rows", "duplicate_percentage"))
 
     @cached_property
     def frequencies(self) -> DataFrame:
@@ -172,16 +177,16 @@ class Profile:
                   .join(self.counts.withColumnRenamed("column", "name"), "name")
                   .join(unique.withColumnRenamed("column", "name"), "name", "left")
                   .withColumn("unique_count", F.coalesce("unique_count", F.lit(0).cast("bigint"))))
-        return joined.select(
+        return self._keep(joined.select(
             "ord", "name", "dtype", "column_type", "total_rows", "unique_count",
             percent("unique_count", "total_rows").alias("unique_percentage"), "missing_count",
             percent("missing_count", "total_rows").alias("missing_percentage"), "zero_count",
-            F.col("unique_count").between(2, 19).alias("potential_target"))
+            F.col("unique_count").between(2, 19).alias("potential_target")))
 
     @cached_property
     def quartiles(self) -> DataFrame:
         """column, n, q = [q25, median, q75]."""
-        return quantiles(self.df, self.numeric, [0.25, 0.5, 0.75])
+        return self._keep(quantiles(self.df, self.numeric, [0.25, 0.5, 0.75]))
 
     @cached_property
     def numeric_stats(self) -> DataFrame:
@@ -215,8 +220,13 @@ class Profile:
                     F.timestamp_diff("DAY", lo, hi).alias("range_days")]
         return per_column(self.df, self.datetime, metrics).where("min_date is not null")
 
-    def correlations(self, threshold: float = 0.3, k: int = 20) -> DataFrame:
+    @cached_property
+    def pairs(self) -> DataFrame | None:
         found = pair_correlations(self.df, self.numeric)
+        return None if found is None else self._keep(found)
+
+    def correlations(self, threshold: float = 0.3, k: int = 20) -> DataFrame:
+        found = self.pairs
         if found is None:
             return self.spark.createDataFrame([], "ord int, column1 string, column2 string, correlation double, strength string")
         return (found.where(F.abs("correlation") > threshold).withColumn("strength", strength(F.col("correlation")))
@@ -229,15 +239,14 @@ class Profile:
             "column", "n", *[e.alias(a) for e, a in zip(fence(F.col("q")[0], F.col("q")[2]), ("lower_bound", "upper_bound"))])
         cells = [F.struct(F.lit(c).alias("column"), ref(c).cast("double").alias("value")) for c in self.numeric]
         # One row of fences per column of the table.
-        return (self.df.select(F.inline(F.array(*cells))).join(F.broadcast(fences), "column")
-                .where("value < lower_bound or value > upper_bound")
-                .groupBy("column", "n", "lower_bound", "upper_bound").agg(F.count(F.lit(1)).alias("outlier_count"))
-                .select("column", "outlier_count", percent("outlier_count", "n").alias("outlier_percentage"),
-                        "lower_bound", "upper_bound"))
+        beyond = (self.df.select(F.inline(F.array(*cells))).join(F.broadcast(fences), "column")
+                  .where("value < lower_bound or value > upper_bound")
+                  .groupBy("column", "n", "lower_bound", "upper_bound").agg(F.count(F.lit(1)).alias("outlier_count")))
+        return self._keep(beyond.select("column", "outlier_count", percent("outlier_count", "n").alias("outlier_percentage"),
+                                        "lower_bound", "upper_bound"))
 
     @cached_property
     def summary(self) -> DataFrame:
-        cells = F.col("total_rows") * len(self.names)
         return self.columns.agg(
             F.count(F.when(F.col("column_type") == "numeric", 1)).alias("numeric_columns_count"),
             F.count(F.when(F.col("column_type") == "categorical", 1)).alias("categorical_columns_count"),
@@ -248,7 +257,7 @@ class Profile:
     @cached_property
     def quality(self) -> DataFrame:
         """quality_score and total_issues."""
-        score = self.counts.agg((100 - percent(F.sum("missing_count"), F.sum("total_rows"))).alias("quality_score"))
+        score = self.columns.agg((100 - percent(F.sum("missing_count"), F.sum("total_rows"))).alias("quality_score"))
         issues = self.quality_issues.agg(F.count(F.lit(1)).alias("total_issues"))
         return score.select("quality_score", issues.scalar().alias("total_issues"))
 
