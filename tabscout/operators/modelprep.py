@@ -73,7 +73,8 @@ def problem_types(columns: DataFrame, spans: DataFrame, strict: bool = False) ->
     rule = text | few | (share < 0.05)
     if not strict:
         rule = rule | F.coalesce(F.col("span") <= 50, F.lit(False))
-    joined = columns.join(spans, "name", "left")
+    on = [c for c in ("dataset_id", "name") if c in spans.columns]
+    joined = columns.join(spans, on, "left")
     return joined.select("dataset_id", "ord", "name", F.when(rule, "classification").otherwise("regression").alias("problem_type"))
 
 
