@@ -12,9 +12,9 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tabscout.operators.modelprep import TrainingData, class_balance, prepare, stratified_folds
+from tabscout.operators.modelprep import TrainingData, class_balance, class_weights, prepare, stratified_folds
 from tabscout.operators.profile import ref
 from tabscout.plans.durable import durable
 
@@ -28,6 +28,7 @@ SMALL_TABLE, LARGE_TABLE = 500, 1000  # rows at which the tuned variants grow
 class Candidate:
     name: str
     build: Callable[[], object]
+    weighted: bool = False  # trains on class weights
 
 
 def classifiers(rows: int, features: int, classes: int, tuned: bool = False, balanced: bool = False) -> list[Candidate]:
@@ -46,8 +47,8 @@ def classifiers(rows: int, features: int, classes: int, tuned: bool = False, bal
     else:
         hidden = [100, 50] if features < 50 else [100]
     return [
-        Candidate("Logistic Regression", lambda: LogisticRegression(maxIter=2000, **common, **weight)),
-        Candidate("Random Forest", lambda: RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=SEED, **common, **weight)),
+        Candidate("Logistic Regression", lambda: LogisticRegression(maxIter=2000, **common, **weight), balanced),
+        Candidate("Random Forest", lambda: RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=SEED, **common, **weight), balanced),
         Candidate("Gradient Boosting", boosting),
         Candidate("Neural Network", lambda: MultilayerPerceptronClassifier(layers=[features, *hidden, classes], maxIter=1000, seed=SEED, **common)),
     ]
@@ -73,6 +74,12 @@ def _sizes(rows: int, tuned: bool) -> tuple[int, int, int, int, float]:
     return more, 15 if large else 10, more, 5 if large else 3, 0.1 if large else 0.05
 
 
+def with_weights(df: DataFrame, target: str) -> DataFrame:
+    """Add the balanced class weight of each row as ``weight``."""
+    weights = class_weights(df, target).select(F.col("class").alias("__class"), "weight")
+    return df.join(weights, ref(target) == F.col("__class"), "left").drop("__class")
+
+
 def assemble(df: DataFrame, features: Sequence[str], target: str, *extra: str) -> DataFrame:
     out = VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
     return out.select(*[ref(c) for c in extra], "features", ref(target).alias("label"))
@@ -107,7 +114,6 @@ def auc(predictions: DataFrame) -> DataFrame:
     per_score = predictions.groupBy("score").agg(
         F.sum((F.col("label") == 1).cast("bigint")).alias("pos"), F.sum((F.col("label") != 1).cast("bigint")).alias("neg"))
     sliced = durable(per_score.repartitionByRange("score").withColumn("part", F.spark_partition_id()))
-    from pyspark.sql import Window as W
     slices = sliced.groupBy("part").agg(F.sum("neg").alias("slice_neg"))
     below = slices.select("part", (F.sum("slice_neg").over(W.orderBy("part")) - F.col("slice_neg")).alias("offset"))
     local = F.sum("neg").over(W.partitionBy("part").orderBy("score").rowsBetween(W.unboundedPreceding, -1))
@@ -132,16 +138,18 @@ def sanitize_score(score: Column, allow_null: bool = True) -> Column:
 
 # -- training --
 
-def cross_validate(build, rows: DataFrame, features: Sequence[str], target: str, key: str, problem_type: str, folds: int) -> float | None:
+def cross_validate(candidate: Candidate, data: TrainingData, key: str, folds: int) -> float | None:
     """Mean accuracy or R2 over stratified folds."""
-    data = rows if problem_type == "classification" else rows.withColumn("__all", F.lit(0))
-    label = target if problem_type == "classification" else "__all"
-    folded = durable(assemble(stratified_folds(data, label, key, folds), features, target, "fold"))
+    grouped = data.problem_type == "classification"
+    rows = data.train if grouped else data.train.withColumn("__all", F.lit(0))
+    rows = stratified_folds(rows, data.target if grouped else "__all", key, folds)
+    rows = with_weights(rows, data.target) if candidate.weighted else rows
+    folded = durable(assemble(rows, data.features, data.target, "fold", *(["weight"] if candidate.weighted else [])))
     scores = []
     for i in range(folds):
-        model = build().fit(folded.where(F.col("fold") != i))
+        model = candidate.build().fit(folded.where(F.col("fold") != i))
         predicted = model.transform(folded.where(F.col("fold") == i))
-        metric = classification_metrics(predicted) if problem_type == "classification" else regression_metrics(predicted)
+        metric = classification_metrics(predicted) if grouped else regression_metrics(predicted)
         scores.append(metric.first()[0])
     known = [s for s in scores if s is not None]
     return sum(known) / len(known) if known else None
@@ -171,7 +179,8 @@ def feature_importance(model, features: Sequence[str], k: int = TOP_FEATURES) ->
 def train_one(candidate: Candidate, data: TrainingData, key: str, folds: int | None) -> dict:
     """Fit on the training rows, score on the test rows; ``folds`` None skips cross-validation."""
     started = time.time()
-    train = durable(assemble(data.train, data.features, data.target))
+    rows = with_weights(data.train, data.target) if candidate.weighted else data.train
+    train = durable(assemble(rows, data.features, data.target, *(["weight"] if candidate.weighted else [])))
     model = candidate.build().fit(train)
     predicted = model.transform(assemble(data.test, data.features, data.target))
     if data.problem_type == "classification":
@@ -188,7 +197,7 @@ def train_one(candidate: Candidate, data: TrainingData, key: str, folds: int | N
     cv = None
     if folds:
         try:
-            cv = cross_validate(candidate.build, data.train, data.features, data.target, key, data.problem_type, folds)
+            cv = cross_validate(candidate, data, key, folds)
         except Exception as error:
             log.warning("cross-validation of %s failed: %s", candidate.name, error)
             cv = score
@@ -211,10 +220,8 @@ def train_and_rank(df: DataFrame, target: str, problem_type: str, key: str, only
     data = prepare(df, target, problem_type, key)
     rows = data.train.count()
     if problem_type == "classification":
-        balanced = tuned and class_balance(data.train, target).first()["imbalanced"]
-        if balanced:
-            log.info("class imbalance: larger variants use class weights")
-        chosen = classifiers(rows, len(data.features), data.classes.count(), tuned)
+        balanced = tuned and bool(class_balance(data.train, target).first()["imbalanced"])
+        chosen = classifiers(rows, len(data.features), data.classes.count(), tuned, balanced)
     else:
         chosen = regressors(rows, len(data.features), tuned)
     if folds == -1:
