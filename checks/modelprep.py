@@ -4,6 +4,7 @@ from checks.charts import CATALOGUE_SQL, SETS, catalogue
 from checks.profile import gappy, GAPPY_SQL, r
 from checks.registry import query
 from tabscout.operators import modelprep as mp
+from tabscout.operators.oversample import nearest, smote
 from tabscout.operators.profile import Profile
 
 WITH = f"WITH {CATALOGUE_SQL}"
@@ -216,3 +217,22 @@ SELECT count(*) AS rows, count(*) FILTER (WHERE s) AS test_rows FROM (SELECT row
 def prep_live(t):
     data = mp.prepare(t.customer.drop("c_name"), "c_mktsegment", "classification", "c_custkey")
     return data.train.withColumn("s", F.lit(0)).unionByName(data.test.withColumn("s", F.lit(1))).agg(F.count("*").alias("rows"), F.sum("s").alias("test_rows"))
+
+
+@query("smote_neighbours", """
+WITH p AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS (SELECT a.vec_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.v, b.v), CAST(b.vec_id AS VARCHAR)) AS rank, b.vec_id AS other, list_distance(a.v, b.v) AS distance
+FROM p a JOIN p b ON a.label = b.label AND a.vec_id <> b.vec_id)
+SELECT CAST(vec_id AS VARCHAR) AS pid, CAST(rank AS INTEGER) AS rank, CAST(other AS VARCHAR) AS other, round(distance, 6) AS distance FROM d WHERE rank <= 5""")
+def smote_neighbours(t):
+    points = t.embeddings.select("label", F.col("vec_id").cast("string").alias("pid"), F.col("embedding").alias("vec"))
+    return r(nearest(points, 5), "distance", digits=6).select("pid", "rank", "other", "distance")
+
+
+@query("smote", """
+SELECT (label = 0)::INTEGER AS y, synthetic, count(*) AS rows FROM (
+SELECT label, false AS synthetic FROM embeddings UNION ALL
+SELECT 0, true FROM range((SELECT CAST(sum(CASE WHEN label = 0 THEN -1 ELSE 1 END) AS BIGINT) FROM embeddings))) GROUP BY 1, 2""")
+def smote_rows(t):
+    table = t.embeddings.withColumn("y", F.expr("if(label = 0, 1, 0)"))
+    return smote(table, "embedding", "y", "vec_id").groupBy("y", "synthetic").agg(F.count("*").alias("rows"))

@@ -15,6 +15,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabscout.operators.modelprep import TrainingData, class_balance, class_weights, prepare, stratified_folds
+from tabscout.operators.oversample import is_severe, smote
 from tabscout.operators.profile import ref
 from tabscout.plans.durable import durable
 
@@ -176,10 +177,17 @@ def feature_importance(model, features: Sequence[str], k: int = TOP_FEATURES) ->
     return [{"feature": f, "importance": v} for f, v in pairs]
 
 
-def train_one(candidate: Candidate, data: TrainingData, key: str, folds: int | None) -> dict:
-    """Fit on the training rows, score on the test rows; ``folds`` None skips cross-validation."""
+def oversampled(data: TrainingData, key: str) -> DataFrame:
+    """Training rows with synthetic rows of the smaller classes."""
+    made = smote(data.train.withColumn("__vec", F.array(*[ref(c) for c in data.features])), "__vec", data.target, key)
+    return made.select(ref(key), ref(data.target), *[F.col("__vec")[i].alias(c) for i, c in enumerate(data.features)])
+
+
+def train_one(candidate: Candidate, data: TrainingData, key: str, folds: int | None, fit_on: DataFrame | None = None) -> dict:
+    """Fit on the training rows (or ``fit_on``), score on the test rows; ``folds`` None skips cross-validation."""
     started = time.time()
-    rows = with_weights(data.train, data.target) if candidate.weighted else data.train
+    rows = data.train if fit_on is None else fit_on
+    rows = with_weights(rows, data.target) if candidate.weighted else rows
     train = durable(assemble(rows, data.features, data.target, *(["weight"] if candidate.weighted else [])))
     model = candidate.build().fit(train)
     predicted = model.transform(assemble(data.test, data.features, data.target))
@@ -219,8 +227,12 @@ def train_and_rank(df: DataFrame, target: str, problem_type: str, key: str, only
     """
     data = prepare(df, target, problem_type, key)
     rows = data.train.count()
+    fit_on = None
     if problem_type == "classification":
-        balanced = tuned and bool(class_balance(data.train, target).first()["imbalanced"])
+        balance = class_balance(data.train, target).first()
+        balanced = tuned and bool(balance["imbalanced"])
+        if tuned and is_severe(balance["ratio"]):
+            fit_on = durable(oversampled(data, key))
         chosen = classifiers(rows, len(data.features), data.classes.count(), tuned, balanced)
     else:
         chosen = regressors(rows, len(data.features), tuned)
@@ -231,7 +243,7 @@ def train_and_rank(df: DataFrame, target: str, problem_type: str, key: str, only
         if only and candidate.name not in only:
             continue
         try:
-            results.append(train_one(candidate, data, key, folds))
+            results.append(train_one(candidate, data, key, folds, fit_on))
         except Exception as error:
             log.warning("training %s failed: %s", candidate.name, error)
     ranked = df.sparkSession.createDataFrame(results, RESULT)

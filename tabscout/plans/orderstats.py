@@ -199,11 +199,12 @@ def every_nth(df: DataFrame, order: str, key: str, points: int, columns: Sequenc
             .select(F.col("idx").cast("bigint").alias("idx"), *_cols(columns)))
 
 
-def md5_cutoffs(df: DataFrame, label: str, key: str, ranks: Column) -> DataFrame:
+def md5_cutoffs(df: DataFrame, label: str, key: str, ranks: Column, per_label: DataFrame | None = None) -> DataFrame:
     """Per label, the (md5, key) of the rows at 1-based ``ranks`` in md5 order.
 
-    ``ranks`` is an array expression over ``n`` (rows of the label). md5 is uniform,
-    so its first three hex digits cut every label into 4096 even buckets.
+    ``ranks`` is an array expression over ``n`` (rows of the label) and the columns of
+    ``per_label``. md5 is uniform, so its first three hex digits cut every label into
+    4096 even buckets.
     """
     rows = df.select(F.col(f"`{label}`").alias("label"), tie_key(F.col(f"`{key}`")).alias("__t"),
                      F.col(f"`{key}`").alias("__k")).where("label is not null") \
@@ -212,6 +213,8 @@ def md5_cutoffs(df: DataFrame, label: str, key: str, ranks: Column) -> DataFrame
     placed = counts.withColumns({
         "upto": F.sum("size").over(W.partitionBy("label").orderBy("bucket")),
         "n": F.sum("size").over(W.partitionBy("label"))})
+    if per_label is not None:
+        placed = placed.join(per_label, "label")
     wanted = (placed.withColumn("pair", F.explode(F.arrays_zip(
         F.sequence(F.lit(1), F.size(ranks)).alias("i"), ranks.alias("rank"))))
         .select("label", "bucket", "n", "pair.i", "pair.rank", "size", "upto")
