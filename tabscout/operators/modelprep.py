@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabscout.operators.profile import (
-    Profile, columns_of, fence, frequencies, guarded_corr, per_column, ref, topk_per_column)
+    Profile, columns_of, fence, frequencies, guarded_corr, number_cell, per_column, ref, topk_per_column)
 from tabscout.plans import sizing
 from tabscout.plans.durable import durable
 from tabscout.plans.orderstats import dense_ids, md5_cutoffs, quantiles, tie_key
@@ -62,7 +62,8 @@ def integer_ranges(df: DataFrame) -> DataFrame:
     whole = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType))]
     if not whole:
         return df.sparkSession.createDataFrame([], "name string, span double")
-    return per_column(df, whole, lambda c: [(F.max(ref(c)).cast("double") - F.min(ref(c)).cast("double")).alias("span")]).withColumnRenamed("column", "name")
+    span = (F.max("value") - F.min("value")).alias("span")
+    return per_column(df, whole, number_cell, [span]).withColumnRenamed("column", "name").select("name", "span")
 
 
 def problem_types(columns: DataFrame, spans: DataFrame, strict: bool = False) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from tabscout.plans.orderstats import quantiles
 
-# Columns aggregated together in one pass; wider tables take several column-pruned passes.
-COLUMNS_PER_PASS = 40
+# Columns (or pairs of them) turned into rows together; wider tables take several column-pruned passes.
+COLUMNS_PER_PASS = 200
 PAIRS_PER_PASS = 300
 # Strings longer than this are compared by length and SHA-256 when rows are compared.
 DIGEST_FROM = 64
@@ -60,18 +60,26 @@ def frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
             .groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def per_column(df: DataFrame, columns: Sequence[str], metrics) -> DataFrame:
-    """One row per column from single-pass aggregates; ``metrics(name)`` lists them."""
-    columns = list(columns)
+def per_column(df: DataFrame, columns: Sequence[str], cell, metrics: Sequence[Column]) -> DataFrame:
+    """One row per column: ``cell(name)`` lists the fields that ``metrics`` aggregate.
+
+    Columns become rows inside each task and are aggregated there, so one short
+    generated loop serves any number of columns and only totals are shuffled.
+    """
     passes = []
     for start in range(0, len(columns), COLUMNS_PER_PASS):
-        chunk = columns[start:start + COLUMNS_PER_PASS]
-        wide = df.agg(*[F.struct(F.lit(c).alias("column"), *metrics(c)).alias(f"s{i}")
-                        for i, c in enumerate(chunk)])
-        passes.append(wide.select(F.inline(F.array(*[f"s{i}" for i in range(len(chunk))]))))
+        chunk = list(columns[start:start + COLUMNS_PER_PASS])
+        cells = F.array(*[F.struct(F.lit(i).alias("__c"), *cell(c)) for i, c in enumerate(chunk)])
+        totals = df.select(F.inline(cells)).groupBy("__c").agg(*metrics)
+        names = F.array(*[F.lit(c) for c in chunk])
+        passes.append(totals.withColumn("column", F.element_at(names, F.col("__c") + 1)).drop("__c"))
     return reduce(DataFrame.unionByName, passes)
 
 
+def number_cell(name: str) -> list[Column]:
+    return [ref(name).cast("double").alias("value")]
+
+
 def distinct_rows(df: DataFrame) -> DataFrame:
     """One row per distinct row of ``df`` with its number of copies (``cnt``)."""
     keys = []
@@ -164,19 +172,19 @@ class Profile:
     @cached_property
     def counts(self) -> DataFrame:
         """column, total_rows, missing_count, zero_count."""
-        def metrics(name):
-            zero = F.count(F.when(ref(name) == 0, 1)) if name in self.numeric else F.lit(0).cast("bigint")
-            return [F.count(F.lit(1)).alias("total_rows"),
-                    (F.count(F.lit(1)) - F.count(ref(name))).alias("missing_count"), zero.alias("zero_count")]
-        return per_column(self.df, self.names, metrics)
+        def cell(name):
+            zero = ref(name) == 0 if name in self.numeric else F.lit(False)
+            return [ref(name).isNull().alias("missing"), zero.alias("zero")]
+        return per_column(self.df, self.names, cell, [
+            F.count(F.lit(1)).alias("total_rows"), F.count_if("missing").alias("missing_count"), F.count_if("zero").alias("zero_count")])
 
     @cached_property
     def columns(self) -> DataFrame:
         unique = self.frequencies.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
         joined = (self._schema_rows
-                  .join(self.counts.withColumnRenamed("column", "name"), "name")
+                  .join(self.counts.withColumnRenamed("column", "name"), "name", "left")
                   .join(unique.withColumnRenamed("column", "name"), "name", "left")
-                  .withColumn("unique_count", F.coalesce("unique_count", F.lit(0).cast("bigint"))))
+                  .na.fill(0, ["total_rows", "missing_count", "zero_count", "unique_count"]))
         return self._keep(joined.select(
             "ord", "name", "dtype", "column_type", "total_rows", "unique_count",
             percent("unique_count", "total_rows").alias("unique_percentage"), "missing_count",
@@ -190,11 +198,13 @@ class Profile:
 
     @cached_property
     def numeric_stats(self) -> DataFrame:
-        def metrics(name):
-            c = ref(name).cast("double")
-            return [F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"),
-                    F.stddev_samp(c).alias("std"), skewness(c).alias("skewness"), kurtosis(c).alias("kurtosis")]
-        moments = per_column(self.df, self.numeric, metrics).where("n > 0")
+        if not self.numeric:
+            return self.spark.createDataFrame([], "column string, min double, max double, mean double, median double, std double, "
+                                                  "q25 double, q75 double, skewness double, kurtosis double")
+        c = F.col("value")
+        moments = per_column(self.df, self.numeric, number_cell, [
+            F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"),
+            F.stddev_samp(c).alias("std"), skewness(c).alias("skewness"), kurtosis(c).alias("kurtosis")]).where("n > 0")
         return moments.join(self.quartiles.drop("n"), "column").select(
             "column", "min", "max", "mean", F.col("q")[1].alias("median"), "std",
             F.col("q")[0].alias("q25"), F.col("q")[2].alias("q75"), "skewness", "kurtosis")
@@ -214,11 +224,12 @@ class Profile:
 
     @cached_property
     def datetime_stats(self) -> DataFrame:
-        def metrics(name):
-            lo, hi = F.min(ref(name)), F.max(ref(name))
-            return [lo.cast("timestamp_ntz").alias("min_date"), hi.cast("timestamp_ntz").alias("max_date"),
-                    F.timestamp_diff("DAY", lo, hi).alias("range_days")]
-        return per_column(self.df, self.datetime, metrics).where("min_date is not null")
+        if not self.datetime:
+            return self.spark.createDataFrame([], "column string, min_date timestamp_ntz, max_date timestamp_ntz, range_days long")
+        lo, hi = F.min("value"), F.max("value")
+        return per_column(self.df, self.datetime, lambda name: [ref(name).cast("timestamp_ntz").alias("value")], [
+            lo.alias("min_date"), hi.alias("max_date"), F.timestamp_diff("DAY", lo, hi).alias("range_days")]) \
+            .where("min_date is not null").select("column", "min_date", "max_date", "range_days")
 
     @cached_property
     def pairs(self) -> DataFrame | None:
@@ -342,14 +353,18 @@ def topk_per_column(freq: DataFrame, k: int = 5) -> DataFrame:
 
 def pair_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame | None:
     """Pearson of every pair, over the rows where both are present."""
-    pairs = [(i, a, b) for i, (a, b) in enumerate(combinations(columns, 2))]
+    pairs = list(combinations(columns, 2))
     if not pairs:
         return None
     passes = []
+    x, y = F.col("x"), F.col("y")
+    r = F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
     for start in range(0, len(pairs), PAIRS_PER_PASS):
         chunk = pairs[start:start + PAIRS_PER_PASS]
-        wide = df.agg(*[guarded_corr(ref(a), ref(b)).alias(f"r{i}") for i, a, b in chunk])
-        rows = [F.struct(F.lit(i).alias("ord"), F.lit(a).alias("column1"), F.lit(b).alias("column2"),
-                         F.col(f"r{i}").alias("correlation")) for i, a, b in chunk]
-        passes.append(wide.select(F.inline(F.array(*rows))))
+        cells = F.array(*[F.struct(F.lit(i).alias("i"), ref(a).cast("double").alias("x"), ref(b).cast("double").alias("y"))
+                          for i, (a, b) in enumerate(chunk)])
+        found = df.select(F.inline(cells)).where("x is not null and y is not null").groupBy("i").agg(r.alias("correlation"))
+        named = F.element_at(F.array(*[F.struct(F.lit(a).alias("column1"), F.lit(b).alias("column2")) for a, b in chunk]), F.col("i") + 1)
+        passes.append(found.select((F.col("i") + start).alias("ord"), named.alias("p"), "correlation")
+                      .select("ord", "p.column1", "p.column2", "correlation"))
     return reduce(DataFrame.unionByName, passes).where("correlation is not null")

@@ -128,8 +128,9 @@ def overview(df: DataFrame) -> DataFrame:
     """One row: total_rows, the overview text and the tips text about a table."""
     columns = column_classes(df)
     of = {k: [n for n, kind in columns if kind == k] for k in ("categorical", "numeric", "datetime")}
-    missing = per_column(df, df.columns, lambda c: [F.count(F.lit(1)).alias("n"), F.count(ref(c)).alias("present")])
-    gaps = missing.withColumn("share", percent(F.col("n") - F.col("present"), "n")).agg(
+    missing = per_column(df, df.columns, lambda c: [ref(c).isNull().alias("missing")],
+                         [F.count(F.lit(1)).alias("n"), F.count_if("missing").alias("gaps")])
+    gaps = missing.withColumn("share", percent("gaps", "n")).agg(
         F.max("n").alias("total_rows"), F.array_sort(F.collect_list(F.when(F.col("share") > 5, F.struct("column", "share")))).alias("gaps"))
     tips = F.array_join(F.transform("gaps", lambda g: F.format_string("• **%s** has %.1f%% missing values — consider imputation or removal.", g["column"], g["share"])), "\n")
     names = [f"{label}: {', '.join(of[kind][:k])}." for kind, label, k in

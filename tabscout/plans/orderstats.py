@@ -13,13 +13,17 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabscout.plans import sizing
 
 BUCKETS = 1024
-SAMPLE_ROWS = 100_000
+SAMPLE_ROWS = 50_000
+# Rows that one task may sort when the wanted buckets have been found.
+FINAL_ROWS = 2_000_000
+COLUMNS_PER_PASS = 16
 
 
 def _and(conditions: Sequence[Column]) -> Column:
@@ -34,23 +38,20 @@ def same_keys(left: str, right: str, keys: Sequence[str]) -> list[Column]:
 def cut_points(df: DataFrame, columns: Sequence[str], buckets: int = BUCKETS) -> dict[str, list[float]]:
     """Split points per double column, taken from a bounded sample of its rows."""
     rows = df.count()
-    fraction = min(1.0, SAMPLE_ROWS / max(rows, 1))
-    sample = df if fraction == 1.0 else df.sample(fraction=fraction, seed=7)
-    probs = [i / buckets for i in range(1, buckets)]
-    finite = [F.percentile(F.when(F.abs(F.col(f"`{c}`")) < float("inf"), F.col(f"`{c}`")), probs).alias(f"e{i}")
-              for i, c in enumerate(columns)]
-    found = sample.agg(*finite).first()
+    sample = df.select(*_cols(columns))
+    if rows > SAMPLE_ROWS:
+        sample = sample.sample(fraction=SAMPLE_ROWS / rows, seed=7)
+    drawn = sample.limit(2 * SAMPLE_ROWS).toPandas()
     result = {}
-    for i, c in enumerate(columns):
-        points: set[float] = set()
-        previous = None
-        for point in found[i] or []:
-            points.add(point)
-            if point == previous:
-                # A value filling several cuts is hot: close its bucket right above it.
-                points.add(math.nextafter(point, math.inf))
-            previous = point
-        result[c] = [-math.inf, *sorted(points or {0.0}), math.inf]
+    for c in columns:
+        values = np.sort(drawn[c].to_numpy(dtype="float64", na_value=np.nan))
+        values = values[np.isfinite(values)]
+        picked = values[np.linspace(0, len(values) - 1, min(buckets, len(values))).astype(int)] if len(values) else values
+        points, counts = np.unique(picked, return_counts=True)
+        # A value filling several cuts is hot: close its bucket right above it.
+        hot = np.nextafter(points[counts > 1], np.inf)
+        inner = np.union1d(points, hot).tolist() or [0.0]
+        result[c] = [-math.inf, *inner, math.inf]
     return result
 
 
@@ -74,90 +75,133 @@ def quantiles(
     """Exact, linearly interpolated quantiles of numeric columns, per key.
 
     Returns ``keys..., column, n, q`` with ``q`` an array in the order of ``probs``;
-    nulls are skipped and a column without values gives no row.
+    nulls are skipped and a column without values gives no row. Inputs estimated above
+    ``small_bytes`` never bring a whole column or group to one task.
     """
     columns, probs, keys = list(columns), list(probs), list(keys)
     numbers = [F.col(f"`{c}`").cast("double") for c in columns]
     data = df.select(*_cols(keys), *[F.when(~F.isnan(v), v).alias(f"__v{i}") for i, v in enumerate(numbers)])
-    if sizing.is_small(data, small_bytes):
-        return _hash_quantiles(data, columns, probs, keys)
-    return _bucket_quantiles(data, columns, probs, keys)
-
-
-def _hash_quantiles(data, columns, probs, keys) -> DataFrame:
-    aggs = [F.struct(F.lit(c).alias("column"), F.count(f"__v{i}").alias("n"),
-                     F.percentile(f"__v{i}", probs).alias("q")).alias(f"__s{i}")
-            for i, c in enumerate(columns)]
-    wide = data.groupBy(*_cols(keys)).agg(*aggs)
-    return (wide.select(*_cols(keys),
-                        F.explode(F.array(*[f"__s{i}" for i in range(len(columns))])).alias("s"))
-            .select(*_cols(keys), "s.*").where("n > 0"))
-
-
-def _bucket_quantiles(data, columns, probs, keys) -> DataFrame:
-    cuts = cut_points(data, [f"__v{i}" for i in range(len(columns))])
-    bucketed = with_buckets(data, cuts, "b")
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"__v{i}").alias("value"), F.col(f"__v{i}b").cast("int").alias("bucket"))
-        for i, c in enumerate(columns)])).alias("s")
-    rows = (bucketed.select(*_cols(keys), cells)
-            .select(*_cols(keys), "s.*").where("value is not null"))
-    group = [*keys, "column"]
-    weighted = rows.withColumn("cnt", F.lit(1).cast("bigint"))
-    if keys:
-        # Many groups: collapse equal values first, so no hot value is shuffled raw.
-        weighted = rows.groupBy(*_cols(group), "bucket", "value").agg(F.count("*").alias("cnt"))
-    wanted = _ranks_by_bucket(weighted, group, F.array(*[
-        _rank_pair(i, p) for i, p in enumerate(probs)]))
-    picked = _values_at(weighted, wanted, group, few_targets=not keys)
-    per_prob = picked.groupBy(*_cols(group), "n", "want.i").agg(
-        F.max("want.frac").alias("frac"),
-        F.min("value").alias("lo"), F.max("value").alias("hi"))
-    value = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")
-    return (per_prob.groupBy(*_cols(group), "n")
-            .agg(F.sort_array(F.collect_list(F.struct("i", value.alias("v")))).alias("q"))
-            .select(*_cols(group), "n", F.col("q.v").alias("q")))
+    small = sizing.is_small(data, small_bytes)
+    if not small and not keys:
+        return _narrowed_quantiles(data, columns, probs)
+    group = [*keys, "__column"]
+    freq = _melt(data, columns, keys)
+    found = _interpolate(_running_counts(freq, group), group, probs) if small else _ranged_quantiles(freq, group, probs)
+    names = F.array(*[F.lit(c) for c in columns])
+    return found.select(*_cols(keys), F.element_at(names, F.col("__column") + 1).alias("column"), "n", "q")
 
 
 def _cols(names):
     return [F.col(f"`{k}`") for k in names]
 
 
-def _rank_pair(i: int, p: float) -> Column:
-    position = (F.col("n") - 1) * F.lit(float(p))
-    return F.struct(
-        F.lit(i).alias("i"), (position - F.floor(position)).alias("frac"),
-        F.array(F.floor(position) + 1, F.ceil(position) + 1).alias("ranks"))
+def _melt(data: DataFrame, columns, keys=()) -> DataFrame:
+    """keys..., __column (position), value, cnt: equal values of a column (and key) collapsed to one row."""
+    cells = F.array(*[F.struct(F.lit(i).alias("__column"), F.col(f"__v{i}").alias("value")) for i in range(len(columns))])
+    return (data.select(*_cols(keys), F.inline(cells)).where("value is not null")
+            .groupBy(*_cols([*keys, "__column"]), "value").agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def _ranks_by_bucket(weighted, group, wants: Column) -> DataFrame:
-    """One row per wanted rank, placed in the bucket that holds it."""
-    counts = weighted.groupBy(*_cols(group), "bucket").agg(F.sum("cnt").alias("size"))
-    running = W.partitionBy(*_cols(group)).orderBy("bucket")
-    placed = counts.withColumns({
-        "upto": F.sum("size").over(running),
-        "n": F.sum("size").over(W.partitionBy(*_cols(group))),
-    })
-    return (placed.withColumn("want", F.explode(wants))
-            .withColumn("rank", F.explode(F.array_distinct("want.ranks")))
-            .where("rank > upto - size and rank <= upto")
-            .withColumn("local", F.col("rank") - (F.col("upto") - F.col("size")))
-            .select(*_cols(group), "bucket", "n", "want", "local"))
-
-
-def _values_at(weighted, wanted, group, few_targets: bool) -> DataFrame:
-    at = [*group, "bucket"]
-    buckets = wanted.select(*_cols(at)).distinct()
-    if few_targets:
-        # No keys: at most two ranks per column and probability are wanted.
-        buckets, wanted = F.broadcast(buckets), F.broadcast(wanted)
-    inside = (weighted.alias("l").join(buckets.alias("r"), _and(same_keys("l", "r", at)), "left_semi")
-              .groupBy(*_cols(at), "value").agg(F.sum("cnt").alias("cnt")))
-    upto = F.sum("cnt").over(W.partitionBy(*_cols(at)).orderBy("value"))
-    ranked = inside.withColumn("upto", upto)
-    return (ranked.alias("l").join(wanted.alias("r"), _and(
-        same_keys("l", "r", at) + [F.expr("r.local <= l.upto and r.local > l.upto - l.cnt")]))
-        .select(*[F.col(f"l.`{k}`") for k in group], "r.n", "r.want", "l.value"))
+def _running_counts(freq: DataFrame, group) -> DataFrame:
+    ordered = W.partitionBy(*_cols(group)).orderBy("value")
+    return freq.withColumns({"upto": F.sum("cnt").over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow)),
+                             "n": F.sum("cnt").over(ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
+
+
+def _interpolate(running: DataFrame, group, probs) -> DataFrame:
+    """Read quantiles off rows (value, upto, n) that include every wanted rank."""
+    aggs = []
+    for i, p in enumerate(probs):
+        position = (F.col("n") - 1) * F.lit(float(p))
+        aggs += [F.min(F.when(F.col("upto") >= F.floor(position) + 1, F.col("value"))).alias(f"lo{i}"),
+                 F.min(F.when(F.col("upto") >= F.ceil(position) + 1, F.col("value"))).alias(f"hi{i}")]
+    found = running.groupBy(*_cols(group), "n").agg(*aggs)
+    values = []
+    for i, p in enumerate(probs):
+        position = (F.col("n") - 1) * F.lit(float(p))
+        values.append(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (position - F.floor(position)))
+    return found.select(*_cols(group), "n", F.array(*values).alias("q"))
+
+
+def _ranged_quantiles(freq: DataFrame, group, probs) -> DataFrame:
+    """Many groups, any of them large: sort by range, then look only into the slices that hold a rank."""
+    from tabscout.plans.durable import durable
+
+    # Slices must not move between the two reads below.
+    ranged = durable(freq.repartitionByRange(*_cols(group), "value").withColumn("part", F.spark_partition_id()))
+    slices = ranged.groupBy(*_cols(group), "part").agg(F.sum("cnt").alias("size"))
+    whole = W.partitionBy(*_cols(group))
+    placed = slices.withColumns({"last": F.sum("size").over(whole.orderBy("part")), "n": F.sum("size").over(whole)})
+    ranks = F.array_distinct(F.flatten(F.array(*[
+        F.array(F.floor((F.col("n") - 1) * F.lit(float(p))) + 1, F.ceil((F.col("n") - 1) * F.lit(float(p))) + 1) for p in probs])))
+    holding = placed.where(F.exists(ranks, lambda r: (r > F.col("last") - F.col("size")) & (r <= F.col("last"))))
+    inside = ranged.alias("l").join(holding.alias("r"), _and(same_keys("l", "r", [*group, "part"]))) \
+        .select(*[F.col(f"l.`{k}`") for k in group], "l.part", "l.value", "l.cnt", "r.n", (F.col("r.last") - F.col("r.size")).alias("before"))
+    local = F.sum("cnt").over(W.partitionBy(*_cols(group), "part").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return _interpolate(inside.withColumn("upto", F.col("before") + local), group, probs)
+
+
+def _narrowed_quantiles(data: DataFrame, columns, probs) -> DataFrame:
+    """Whole columns: find the buckets holding the wanted ranks, then look only inside them."""
+    counts = data.agg(*[F.count(f"__v{i}").alias(f"n{i}") for i in range(len(columns))]).first()
+    rows = []
+    for start in range(0, len(columns), COLUMNS_PER_PASS):
+        chunk = [i for i in range(start, min(start + COLUMNS_PER_PASS, len(columns))) if counts[i]]
+        wanted = {f"__v{i}": sorted({f((counts[i] - 1) * p) + 1 for p in probs for f in (math.floor, math.ceil)}) for i in chunk}
+        found = select_ranks(data.select(*wanted), wanted) if wanted else {}
+        for i in chunk:
+            q = []
+            for p in probs:
+                position = (counts[i] - 1) * p
+                lo, hi = (found[f"__v{i}", f(position) + 1] for f in (math.floor, math.ceil))
+                q.append(lo + (hi - lo) * (position - math.floor(position)))
+            rows.append((columns[i], counts[i], [float(v) for v in q]))
+    return data.sparkSession.createDataFrame(rows, "column string, n long, q array<double>")  # one row per column
+
+
+def select_ranks(data: DataFrame, wanted: dict[str, list[int]], final_rows: int | None = None) -> dict[tuple[str, int], float]:
+    """The values at 1-based ``wanted`` ranks of each double column; nulls are skipped.
+
+    Each round counts the rows of every bucket and keeps the buckets that hold a rank as
+    the columns of the next round, so the rows looked at shrink by the bucket count.
+    """
+    columns = list(wanted)
+    final_rows = FINAL_ROWS if final_rows is None else final_rows
+    sizes = data.agg(*[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    if max(sizes) <= final_rows:
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in columns])
+        freq = data.select(F.inline(cells)).where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+        running = _running_counts(freq, ["column"])
+        ask = F.lit(None).cast("array<bigint>")
+        for c, ranks in wanted.items():
+            ask = F.when(F.col("column") == c, F.array(*[F.lit(r).cast("bigint") for r in ranks])).otherwise(ask)
+        hits = running.withColumn("rank", F.explode(F.filter(ask, lambda r: (r <= F.col("upto")) & (r > F.col("upto") - F.col("cnt")))))
+        return {(h["column"], h["rank"]): h["value"] for h in hits.select("column", "rank", "value").collect()}
+    cuts = cut_points(data, columns)
+    bucketed = with_buckets(data, cuts, "__b")
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"`{c}__b`").cast("int").alias("b"), F.col(f"`{c}`").isNotNull().alias("ok")) for i, c in enumerate(columns)])
+    counted = bucketed.select(F.inline(cells)).where("ok").groupBy("c", "b").agg(F.count(F.lit(1)).alias("n")).collect()  # columns x buckets
+    result, parts, asked = {}, {}, {}
+    for i, c in enumerate(columns):
+        before = 0
+        for b, n in sorted((r["b"], r["n"]) for r in counted if r["c"] == i):
+            inside = [r for r in wanted[c] if before < r <= before + n]
+            low, high = cuts[c][b], cuts[c][b + 1]
+            if inside and high == math.nextafter(low, math.inf):
+                result.update({(c, r): low for r in inside})
+            elif inside:
+                name = f"p{len(parts)}"
+                parts[name] = F.when((F.col(f"`{c}`") >= low) & ((F.col(f"`{c}`") < high) | F.lit(high == math.inf)), F.col(f"`{c}`")).alias(name)
+                asked[name] = (c, before, inside)
+            before += n
+    if parts:
+        names = list(parts)
+        deeper = data.select(*parts.values()).where(reduce(lambda a, b: a | b, [F.col(n).isNotNull() for n in names]))
+        found = select_ranks(deeper, {n: [r - asked[n][1] for r in asked[n][2]] for n in names}, final_rows)
+        for (name, rank), value in found.items():
+            c, before, _ = asked[name]
+            result[c, rank + before] = value
+    return result
 
 
 def tie_key(column: Column) -> Column:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-# A hash aggregate may hold every distinct value of inputs up to this size.
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
+# One task may sort the distinct values of inputs up to this size.
+SMALL_INPUT_BYTES = 64 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int | None:

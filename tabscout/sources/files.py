@@ -8,7 +8,7 @@ from urllib.parse import quote
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tabscout.operators.profile import Profile, clean, frequencies, per_column, ref, topk_per_column
+from tabscout.operators.profile import Profile, clean, frequencies, number_cell, per_column, ref, topk_per_column
 
 REPLACEMENT = "\N{REPLACEMENT CHARACTER}"
 SUFFIXES = (".csv", ".xlsx")
@@ -138,8 +138,8 @@ def describe_columns(df: DataFrame) -> DataFrame:
     others = [c for c in profile.names if c not in profile.numeric]
     out = base.withColumns({c: F.lit(None).cast("double") for c in ("min", "max", "mean")})
     if profile.numeric:
-        spans = per_column(profile.df, profile.numeric, lambda c: [
-            F.min(ref(c)).cast("double").alias("min"), F.max(ref(c)).cast("double").alias("max"), F.avg(ref(c)).alias("mean")]).withColumnRenamed("column", "name")
+        spans = per_column(profile.df, profile.numeric, number_cell, [
+            F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean")]).withColumnRenamed("column", "name")
         out = base.join(spans, "name", "left")
     top = topk_per_column(frequencies(profile.df, others), SAMPLE_VALUES)
     samples = top.groupBy(F.col("column").alias("name")).agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("s"))
