@@ -48,16 +48,48 @@ def value_text(field: T.StructField) -> Column:
     if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
         return (c + F.lit(0.0)).cast("string")  # -0.0 equals 0.0
     if isinstance(field.dataType, (T.MapType, T.StructType, T.ArrayType, T.VariantType)):
-        return F.to_json(F.struct(c))
-    return c.cast("string")
+        return F.when(c.isNotNull(), F.to_json(F.struct(c)))
+    return F.hex(c) if isinstance(field.dataType, T.BinaryType) else c.cast("string")
 
 
 def frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, value, cnt) for each distinct non-null value, counted in one shuffle."""
+    """(column, value, cnt) for each distinct non-null value as text, counted in one shuffle."""
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
-    cells = [F.struct(F.lit(f.name).alias("column"), value_text(f).alias("value")) for f in fields]
-    return (df.select(F.inline(F.array(*cells))).where("value is not null")
-            .groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt")))
+    cells = F.array(*[F.struct(F.lit(i).alias("__c"), value_text(f).alias("value")) for i, f in enumerate(fields)])
+    counted = (df.select(F.inline(cells)).where("value is not null")
+               .groupBy("__c", "value").agg(F.count(F.lit(1)).alias("cnt")))
+    return counted.select(F.element_at(F.array(*[F.lit(f.name) for f in fields]), F.col("__c") + 1).alias("column"), "value", "cnt")
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(column, unique_count) of non-null values, compared in their own type; none for an all-null column."""
+    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
+    families: dict[str, list] = {}
+    for i, f in enumerate(fields):
+        kind = f.dataType.simpleString()
+        if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            kind = "bigint"
+        elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            kind = "double"
+        elif isinstance(f.dataType, (T.StringType, T.BinaryType, T.MapType, T.StructType, T.ArrayType, T.VariantType)):
+            kind = "string"
+        families.setdefault(kind, []).append((i, f))
+    parts = []
+    for kind, members in families.items():
+        if kind == "string":
+            cells = [F.struct(F.lit(i).alias("__c"), *compact(value_text(f), "value")) for i, f in members]
+        else:
+            cells = [F.struct(F.lit(i).alias("__c"), ref(f.name).cast(kind).alias("value")) for i, f in members]
+        values = df.select(F.inline(F.array(*cells))).where("value is not null")
+        parts.append(values.distinct().groupBy("__c").agg(F.count(F.lit(1)).alias("unique_count")))
+    names = F.array(*[F.lit(f.name) for f in fields])
+    return reduce(DataFrame.unionByName, parts).select(F.element_at(names, F.col("__c") + 1).alias("column"), "unique_count")
+
+
+def compact(text: Column, name: str) -> list[Column]:
+    """A text as two narrow fields: its length, and itself or (when long) its SHA-256."""
+    size = F.octet_length(text)
+    return [size.alias(f"{name}_size"), F.when(size > DIGEST_FROM, F.sha2(text.cast("binary"), 256)).otherwise(text.cast("string")).alias(name)]
 
 
 def per_column(df: DataFrame, columns: Sequence[str], cell, metrics: Sequence[Column]) -> DataFrame:
@@ -88,10 +120,7 @@ def distinct_rows(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, (T.MapType, T.VariantType)):
             keys.append(F.to_json(F.struct(c)).alias(f"k{i}"))
         elif isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            # Long values travel as length and digest, so the shuffle stays narrow.
-            size = F.octet_length(c)
-            keys += [size.alias(f"k{i}n"),
-                     F.when(size > DIGEST_FROM, F.sha2(c.cast("binary"), 256)).otherwise(c.cast("string")).alias(f"k{i}")]
+            keys += compact(value_text(f), f"k{i}")
         else:
             keys.append(c.alias(f"k{i}"))
     named = df.select(*keys)
@@ -158,10 +187,6 @@ class Profile:
             "total_rows", F.lit(len(self.names)).alias("total_columns"),
             "duplicate_rows", "duplicate_percentage"))
 
-    @cached_property
-    def frequencies(self) -> DataFrame:
-        return frequencies(self.df)
-
     @cached_property
     def _schema_rows(self) -> DataFrame:
         rows = [(i, f.name, f.dataType.simpleString(), column_class(f.dataType)) for i, f in enumerate(self.fields)]
@@ -180,7 +205,7 @@ class Profile:
 
     @cached_property
     def columns(self) -> DataFrame:
-        unique = self.frequencies.groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+        unique = distinct_counts(self.df)
         joined = (self._schema_rows
                   .join(self.counts.withColumnRenamed("column", "name"), "name", "left")
                   .join(unique.withColumnRenamed("column", "name"), "name", "left")

@@ -176,13 +176,13 @@ def argmax_group(df: DataFrame, category: str, number: str | None = None) -> Dat
 
 def distinct_count(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
     """Non-null distinct values per column."""
-    from tabscout.operators.profile import frequencies
+    from tabscout.operators.profile import distinct_counts
 
     if approximate:
         cells = [F.struct(F.lit(c).alias("column"), F.approx_count_distinct(ref(c)).alias("unique_count"))
                  for c in columns]
         return df.agg(F.array(*cells).alias("c")).select(F.inline("c"))
-    return frequencies(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+    return distinct_counts(df, columns)
 
 
 def count_distinct_where(df: DataFrame, keys: Sequence[str], column: str, condition: Column) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tabscout.operators.profile import Profile, clean, frequencies, number_cell, per_column, ref, topk_per_column
 
-REPLACEMENT = "\N{REPLACEMENT CHARACTER}"
 SUFFIXES = (".csv", ".xlsx")
 HEAD_ROWS = 500
 PREVIEW_ROWS = 10
@@ -34,8 +33,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
 
 
 def _encoding(spark: SparkSession, path: str) -> str:
-    # Bytes that are not UTF-8 are decoded to the replacement character without an error.
-    bad = spark.read.text(path).where(F.col("value").contains(REPLACEMENT)).limit(1)
+    # The reader would replace bytes that are not UTF-8 without an error.
+    bad = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1)
     if bad.isEmpty():
         return "UTF-8"
     legacy = spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "true"
