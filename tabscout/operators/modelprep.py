@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tabscout.operators.profile import (
     Profile, columns_of, fence, frequencies, guarded_corr, number_cell, per_column, ref, topk_per_column)
 from tabscout.plans import sizing
-from tabscout.plans.durable import durable
+from tabscout.plans.durable import LOOKUP_ROWS, durable, lookup
 from tabscout.plans.orderstats import dense_ids, md5_cutoffs, quantiles, tie_key
 
 # Column names that usually hold the target.
@@ -20,8 +20,7 @@ TARGET_NAMES = [
     "churn", "fraud", "default", "outcome", "result", "status", "rating", "score", "grade", "rank", "survived", "approved",
 ]
 TEXT_NULL = "None"
-# A code table up to this many rows of bounded text is sent to every executor.
-BROADCAST_CODES = 100_000
+# A code table is sent to every executor only when its text is no longer than this.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
@@ -163,7 +162,7 @@ def encode(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
     """Replace a text column by its code; a text not seen when fitting gets code 0."""
     size = codes.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("b")).first()
     table = codes.select(F.col("value").alias("__value"), F.col("code").alias("__code"))
-    if size["n"] <= BROADCAST_CODES and (size["b"] or 0) <= BROADCAST_BYTES:
+    if size["n"] <= LOOKUP_ROWS and (size["b"] or 0) <= BROADCAST_BYTES:
         table = F.broadcast(table)
     text = F.coalesce(ref(column).cast("string"), F.lit(TEXT_NULL))
     # Codes are unique, so with a large table a hot text only lengthens one side, which AQE splits.
@@ -231,7 +230,7 @@ def test_share(rows: int) -> float:
 def _with_cuts(df: DataFrame, label: str, key: str, cuts: DataFrame) -> DataFrame:
     per_label = cuts.groupBy(F.col("label").alias("__label")).agg(F.sort_array(F.collect_list(F.struct("i", "cut"))).alias("__cuts"))
     here = F.struct(tie_key(ref(key)).alias("__t"), ref(key).alias("__k"))
-    return (df.join(per_label, ref(label) == F.col("__label"), "left")
+    return (df.join(lookup(per_label), ref(label) == F.col("__label"), "left")
             .withColumn("__passed", F.size(F.filter("__cuts", lambda c: here > c["cut"]))))
 
 

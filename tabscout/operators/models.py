@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from tabscout.operators.modelprep import TrainingData, class_balance, class_weights, prepare, stratified_folds
 from tabscout.operators.oversample import is_severe, smote
 from tabscout.operators.profile import ref
-from tabscout.plans.durable import durable
+from tabscout.plans.durable import durable, lookup
 
 log = logging.getLogger(__name__)
 SEED = 42
@@ -77,7 +77,7 @@ def _sizes(rows: int, tuned: bool) -> tuple[int, int, int, int, float]:
 
 def with_weights(df: DataFrame, target: str) -> DataFrame:
     """Add the balanced class weight of each row as ``weight``."""
-    weights = class_weights(df, target).select(F.col("class").alias("__class"), "weight")
+    weights = lookup(class_weights(df, target).select(F.col("class").alias("__class"), "weight"))
     return df.join(weights, ref(target) == F.col("__class"), "left").drop("__class")
 
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tabscout.operators.profile import ref
-from tabscout.plans.durable import durable
+from tabscout.plans.durable import durable, lookup
 from tabscout.plans.orderstats import md5_cutoffs, tie_key
 
 PIVOTS = 64
@@ -47,7 +47,7 @@ def nearest(points: DataFrame, k: int, pivots: int = PIVOTS, block: int = BLOCK)
             yield pdf.assign(cell=cell, dist=d[np.arange(len(cell)), cell])
 
     placed = durable(points.mapInPandas(assign, "label string, pid string, vec array<double>, cell int, dist double"))
-    cells = placed.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius"))
+    cells = lookup(placed.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius")))
 
     def reach(pdf: pd.DataFrame) -> pd.DataFrame:
         # At most one row per pivot: how far from its centre a cell must look for k neighbours.
@@ -61,7 +61,7 @@ def nearest(points: DataFrame, k: int, pivots: int = PIVOTS, block: int = BLOCK)
             far[i] = (2 * r + limit) * (1 + 1e-9) + 1e-9
         return pd.DataFrame({"label": [pdf["label"].iloc[0]], "far": [far.tolist()], "total": [int(n.sum())]})
 
-    reaches = cells.groupBy("label").applyInPandas(reach, "label string, far array<double>, total long")
+    reaches = lookup(cells.groupBy("label").applyInPandas(reach, "label string, far array<double>, total long"), 1000)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -114,8 +114,8 @@ def smote(df: DataFrame, vec: str, target: str, key: str, k: int | None = None,
     if k is None:
         first = sizes.orderBy("label").limit(1).first()
         k = min(NEIGHBOURS, max(1, (first["m"] if first else 2) - 1))
-    need = durable(sizes.withColumn("extra", largest - F.col("m")).where("extra > 0")
-                   .select("label", "m", F.floor(F.col("extra") / F.col("m")).alias("each"), (F.col("extra") % F.col("m")).alias("left")))
+    need = lookup(sizes.withColumn("extra", largest - F.col("m")).where("extra > 0")
+                  .select("label", "m", F.floor(F.col("extra") / F.col("m")).alias("each"), (F.col("extra") % F.col("m")).alias("left")))
     small = rows.join(need, "label")
     vectors = small.withColumn("pid", F.md5(F.to_json(F.struct("vec")).cast("binary")))
     distinct = vectors.groupBy("label", "pid").agg(F.first("vec").alias("vec"), F.count(F.lit(1)).alias("copies"))

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+# A lookup table is sent to every executor only up to this many rows.
+LOOKUP_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,3 +38,13 @@ def durable(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path on the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def lookup(df: DataFrame, most: int | None = None) -> DataFrame:
+    """``df`` materialised and counted: broadcast when it is small, joined by shuffle when not.
+
+    The count is known before the join is planned, so the large side is not shuffled
+    first only to find that the small side fits.
+    """
+    kept = durable(df)
+    return F.broadcast(kept) if kept.count() <= (LOOKUP_ROWS if most is None else most) else kept

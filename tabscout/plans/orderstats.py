@@ -18,12 +18,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabscout.plans import sizing
+from tabscout.plans.durable import durable, lookup
 
 BUCKETS = 1024
 SAMPLE_ROWS = 50_000
 # Rows that one task may sort when the wanted buckets have been found.
 FINAL_ROWS = 2_000_000
 COLUMNS_PER_PASS = 16
+MD5_DIGITS = 4
 
 
 def _and(conditions: Sequence[Column]) -> Column:
@@ -35,9 +37,8 @@ def same_keys(left: str, right: str, keys: Sequence[str]) -> list[Column]:
     return [F.col(f"{left}.`{k}`").eqNullSafe(F.col(f"{right}.`{k}`")) for k in keys]
 
 
-def cut_points(df: DataFrame, columns: Sequence[str], buckets: int = BUCKETS) -> dict[str, list[float]]:
-    """Split points per double column, taken from a bounded sample of its rows."""
-    rows = df.count()
+def cut_points(df: DataFrame, columns: Sequence[str], rows: int) -> dict[str, list[float]]:
+    """Split points per double column, taken from a bounded sample of its ``rows`` rows."""
     sample = df.select(*_cols(columns))
     if rows > SAMPLE_ROWS:
         sample = sample.sample(fraction=SAMPLE_ROWS / rows, seed=7)
@@ -46,7 +47,7 @@ def cut_points(df: DataFrame, columns: Sequence[str], buckets: int = BUCKETS) ->
     for c in columns:
         values = np.sort(drawn[c].to_numpy(dtype="float64", na_value=np.nan))
         values = values[np.isfinite(values)]
-        picked = values[np.linspace(0, len(values) - 1, min(buckets, len(values))).astype(int)] if len(values) else values
+        picked = values[np.linspace(0, len(values) - 1, min(BUCKETS, len(values))).astype(int)] if len(values) else values
         points, counts = np.unique(picked, return_counts=True)
         # A value filling several cuts is hot: close its bucket right above it.
         hot = np.nextafter(points[counts > 1], np.inf)
@@ -125,8 +126,6 @@ def _interpolate(running: DataFrame, group, probs) -> DataFrame:
 
 def _ranged_quantiles(freq: DataFrame, group, probs) -> DataFrame:
     """Many groups, any of them large: sort by range, then look only into the slices that hold a rank."""
-    from tabscout.plans.durable import durable
-
     # Slices must not move between the two reads below.
     ranged = durable(freq.repartitionByRange(*_cols(group), "value").withColumn("part", F.spark_partition_id()))
     slices = ranged.groupBy(*_cols(group), "part").agg(F.sum("cnt").alias("size"))
@@ -135,7 +134,7 @@ def _ranged_quantiles(freq: DataFrame, group, probs) -> DataFrame:
     ranks = F.array_distinct(F.flatten(F.array(*[
         F.array(F.floor((F.col("n") - 1) * F.lit(float(p))) + 1, F.ceil((F.col("n") - 1) * F.lit(float(p))) + 1) for p in probs])))
     holding = placed.where(F.exists(ranks, lambda r: (r > F.col("last") - F.col("size")) & (r <= F.col("last"))))
-    inside = ranged.alias("l").join(holding.alias("r"), _and(same_keys("l", "r", [*group, "part"]))) \
+    inside = ranged.alias("l").join(lookup(holding).alias("r"), _and(same_keys("l", "r", [*group, "part"]))) \
         .select(*[F.col(f"l.`{k}`") for k in group], "l.part", "l.value", "l.cnt", "r.n", (F.col("r.last") - F.col("r.size")).alias("before"))
     local = F.sum("cnt").over(W.partitionBy(*_cols(group), "part").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow))
     return _interpolate(inside.withColumn("upto", F.col("before") + local), group, probs)
@@ -153,14 +152,14 @@ def _narrowed_quantiles(data: DataFrame, columns, probs) -> DataFrame:
             q = []
             for p in probs:
                 position = (counts[i] - 1) * p
-                lo, hi = (found[f"__v{i}", f(position) + 1] for f in (math.floor, math.ceil))
+                lo, hi = (found[f"__v{i}", f(position) + 1][0] for f in (math.floor, math.ceil))
                 q.append(lo + (hi - lo) * (position - math.floor(position)))
             rows.append((columns[i], counts[i], [float(v) for v in q]))
     return data.sparkSession.createDataFrame(rows, "column string, n long, q array<double>")  # one row per column
 
 
-def select_ranks(data: DataFrame, wanted: dict[str, list[int]], final_rows: int | None = None) -> dict[tuple[str, int], float]:
-    """The values at 1-based ``wanted`` ranks of each double column; nulls are skipped.
+def select_ranks(data: DataFrame, wanted: dict[str, list[int]], final_rows: int | None = None) -> dict[tuple[str, int], tuple[float, int]]:
+    """(value, rows below it) at the 1-based ``wanted`` ranks of each double column; nulls are skipped.
 
     Each round counts the rows of every bucket and keeps the buckets that hold a rank as
     the columns of the next round, so the rows looked at shrink by the bucket count.
@@ -176,8 +175,9 @@ def select_ranks(data: DataFrame, wanted: dict[str, list[int]], final_rows: int
         for c, ranks in wanted.items():
             ask = F.when(F.col("column") == c, F.array(*[F.lit(r).cast("bigint") for r in ranks])).otherwise(ask)
         hits = running.withColumn("rank", F.explode(F.filter(ask, lambda r: (r <= F.col("upto")) & (r > F.col("upto") - F.col("cnt")))))
-        return {(h["column"], h["rank"]): h["value"] for h in hits.select("column", "rank", "value").collect()}
-    cuts = cut_points(data, columns)
+        return {(h["column"], h["rank"]): (h["value"], h["below"])
+                for h in hits.select("column", "rank", "value", (F.col("upto") - F.col("cnt")).alias("below")).collect()}
+    cuts = cut_points(data, columns, max(sizes))
     bucketed = with_buckets(data, cuts, "__b")
     cells = F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"`{c}__b`").cast("int").alias("b"), F.col(f"`{c}`").isNotNull().alias("ok")) for i, c in enumerate(columns)])
     counted = bucketed.select(F.inline(cells)).where("ok").groupBy("c", "b").agg(F.count(F.lit(1)).alias("n")).collect()  # columns x buckets
@@ -188,7 +188,7 @@ def select_ranks(data: DataFrame, wanted: dict[str, list[int]], final_rows: int
             inside = [r for r in wanted[c] if before < r <= before + n]
             low, high = cuts[c][b], cuts[c][b + 1]
             if inside and high == math.nextafter(low, math.inf):
-                result.update({(c, r): low for r in inside})
+                result.update({(c, r): (low, before) for r in inside})
             elif inside:
                 name = f"p{len(parts)}"
                 parts[name] = F.when((F.col(f"`{c}`") >= low) & ((F.col(f"`{c}`") < high) | F.lit(high == math.inf)), F.col(f"`{c}`")).alias(name)
@@ -198,9 +198,9 @@ def select_ranks(data: DataFrame, wanted: dict[str, list[int]], final_rows: int
         names = list(parts)
         deeper = data.select(*parts.values()).where(reduce(lambda a, b: a | b, [F.col(n).isNotNull() for n in names]))
         found = select_ranks(deeper, {n: [r - asked[n][1] for r in asked[n][2]] for n in names}, final_rows)
-        for (name, rank), value in found.items():
+        for (name, rank), (value, below) in found.items():
             c, before, _ = asked[name]
-            result[c, rank + before] = value
+            result[c, rank + before] = (value, below + before)
     return result
 
 
@@ -212,63 +212,61 @@ def tie_key(column: Column) -> Column:
 def every_nth(df: DataFrame, order: str, key: str, points: int, columns: Sequence[str]) -> DataFrame:
     """Rows 1, 1+s, 1+2s, … of ``df`` ordered by (``order``, md5 of ``key``).
 
-    ``s`` is max(1, rows // points). Returns ``idx`` (0-based) and ``columns``.
+    ``s`` is max(1, rows // points), so fewer than twice ``points`` rows are drawn.
+    Returns ``idx`` (0-based) and ``columns``; ``order`` is a number, date or time.
     """
-    data = df.select(*_cols(columns), F.col(f"`{order}`").alias("__x"), F.col(f"`{key}`").alias("__k")) \
-        .where(F.col("__x").isNotNull())
-    as_number = F.unix_micros(F.col("__x").cast("timestamp")) if "timestamp" in dict(df.dtypes)[order] \
-        else F.datediff(F.col("__x"), F.lit("1970-01-01")) if dict(df.dtypes)[order] == "date" else F.col("__x")
-    numbered = data.withColumns({"__n": as_number.cast("double"), "__t": tie_key(F.col("__k"))})
-    cuts = cut_points(numbered.select("__n"), ["__n"])
-    points_list = cuts["__n"]
-    hot = [i for i in range(len(points_list) - 1) if points_list[i + 1] == math.nextafter(points_list[i], math.inf)]
-    # Inside a one-value bucket only the md5 orders rows, so its prefix splits the bucket.
-    part = F.when(F.col("__nb").isin(hot), F.conv(F.substring("__t", 1, 3), 16, 10).cast("int")).otherwise(0) \
-        if hot else F.lit(0)
-    rows = with_buckets(numbered, cuts, "b").withColumn(
-        "bucket", F.struct(F.col("__nb").cast("int").alias("b"), part.alias("p")))
-    # One counter per bucket: a small, bounded table, so its offsets fit one task.
-    counts = rows.groupBy("bucket").agg(F.count("*").alias("size"))
-    placed = counts.withColumns({
-        "upto": F.sum("size").over(W.orderBy("bucket")),
-        "n": F.sum("size").over(W.partitionBy(F.lit(0)))})
-    stride = F.greatest(F.floor(F.col("n") / points), F.lit(1))
-    first = F.ceil((F.col("upto") - F.col("size")) / stride) * stride
-    holding = placed.withColumns({"stride": stride, "offset": F.col("upto") - F.col("size")}) \
-        .where(first < F.col("upto")).select("bucket", "stride", "offset")
-    # At most two buckets per drawn point hold a wanted rank.
-    chosen = rows.join(F.broadcast(holding), "bucket")
-    rank = F.row_number().over(W.partitionBy("bucket").orderBy("__x", "__t", "__k")) - 1 + F.col("offset")
-    return (chosen.withColumn("idx", rank).where("idx % stride = 0")
-            .select(F.col("idx").cast("bigint").alias("idx"), *_cols(columns)))
+    kind = dict(df.dtypes)[order]
+    x = F.col(f"`{order}`")
+    if kind.startswith("timestamp"):
+        x = F.unix_micros(x.cast("timestamp"))
+    elif kind == "date":
+        x = F.unix_date(x)
+    data = df.select(*_cols(columns), x.cast("double").alias("__x"), F.col(f"`{key}`").alias("__key")).where("__x is not null")
+    rows = data.count()
+    ranks = range(1, rows + 1, max(1, rows // points))
+    found = select_ranks(data.select("__x"), {"__x": list(ranks)}) if rows else {}
+    at: dict[float, list[tuple[int, int]]] = {}
+    for (_, rank), (value, below) in sorted(found.items()):
+        at.setdefault(value, []).append((rank - below, rank - 1))
+    # One row per drawn position: the values to look at, and places among equal values.
+    targets = df.sparkSession.createDataFrame(
+        [(v, [p for p, _ in places], [i for _, i in places]) for v, places in at.items()], "label double, places array<long>, idx array<long>")
+    equal = data.join(F.broadcast(targets.select(F.col("label").alias("__x"))), "__x", "left_semi")
+    cuts = md5_cutoffs(equal, "__x", "__key", F.col("places"), targets)
+    drawn = cuts.select(F.col("label").alias("__x"), F.col("cut.__k").alias("__key"), F.element_at("idx", F.col("i")).alias("idx"))
+    return equal.join(F.broadcast(drawn), ["__x", "__key"]).select("idx", *_cols(columns)).dropDuplicates(["idx"])
 
 
 def md5_cutoffs(df: DataFrame, label: str, key: str, ranks: Column, per_label: DataFrame | None = None) -> DataFrame:
     """Per label, the (md5, key) of the rows at 1-based ``ranks`` in md5 order.
 
     ``ranks`` is an array expression over ``n`` (rows of the label) and the columns of
-    ``per_label``. md5 is uniform, so its first three hex digits cut every label into
-    4096 even buckets.
+    ``per_label``. md5 is uniform, so its first hex digits cut every label, however
+    large, into even buckets, and only the buckets that hold a rank are sorted.
     """
     rows = df.select(F.col(f"`{label}`").alias("label"), tie_key(F.col(f"`{key}`")).alias("__t"),
                      F.col(f"`{key}`").alias("__k")).where("label is not null") \
-        .withColumn("bucket", F.substring("__t", 1, 3))
-    counts = rows.groupBy("label", "bucket").agg(F.count("*").alias("size"))
+        .withColumn("bucket", F.substring("__t", 1, MD5_DIGITS))
+    counts = rows.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("size"))
+    whole = W.partitionBy("label").orderBy("bucket")
     placed = counts.withColumns({
-        "upto": F.sum("size").over(W.partitionBy("label").orderBy("bucket")),
-        "n": F.sum("size").over(W.partitionBy("label"))})
+        "upto": F.sum("size").over(whole.rowsBetween(W.unboundedPreceding, W.currentRow)),
+        "n": F.sum("size").over(whole.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
+    carried = []
     if per_label is not None:
         placed = placed.join(per_label, "label")
+        carried = [c for c in per_label.columns if c != "label"]
     wanted = (placed.withColumn("pair", F.explode(F.arrays_zip(
         F.sequence(F.lit(1), F.size(ranks)).alias("i"), ranks.alias("rank"))))
-        .select("label", "bucket", "n", "pair.i", "pair.rank", "size", "upto")
-        .where("rank > upto - size and rank <= upto")
-        .withColumn("local", F.col("rank") - F.col("upto") + F.col("size")))
+        .where("pair.rank > upto - size and pair.rank <= upto")
+        .select("label", "bucket", "n", "pair.i", *carried, (F.col("pair.rank") - F.col("upto") + F.col("size")).alias("local")))
     targets = wanted.select("label", "bucket").distinct()
-    ranked = rows.join(targets, ["label", "bucket"], "left_semi").withColumn(
-        "local", F.row_number().over(W.partitionBy("label", "bucket").orderBy("__t", "__k")))
-    return (ranked.join(wanted, ["label", "bucket", "local"])
-            .select("label", "n", "i", F.struct("__t", "__k").alias("cut")))
+    # Rows with the same key are collapsed, so a key with very many copies is one row here.
+    inside = rows.join(targets, ["label", "bucket"], "left_semi").groupBy("label", "bucket", "__t", "__k").agg(F.count(F.lit(1)).alias("cnt"))
+    order = W.partitionBy("label", "bucket").orderBy("__t", "__k").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = inside.withColumn("last", F.sum("cnt").over(order))
+    return (ranked.join(wanted, ["label", "bucket"]).where("local > last - cnt and local <= last")
+            .select("label", "n", "i", *carried, F.struct("__t", "__k").alias("cut")))
 
 
 def dense_ids(distinct: DataFrame, column: str) -> DataFrame:
@@ -277,8 +275,6 @@ def dense_ids(distinct: DataFrame, column: str) -> DataFrame:
     ``distinct`` holds every value once. Range partitions are sorted in parallel;
     only one offset per partition is computed centrally.
     """
-    from tabscout.plans.durable import durable
-
     ranged = durable(distinct.select(F.col(f"`{column}`").alias("value"))
                      .repartitionByRange("value").withColumn("part", F.spark_partition_id()))
     sizes = ranged.groupBy("part").agg(F.count("*").alias("size"))

@@ -51,7 +51,7 @@ def test_encode_large_table_without_broadcast(spark, monkeypatch):
     df = spark.range(500).selectExpr("id", "if(id % 3 = 0, 'hot', concat('v', id)) as s")
     codes = mp.fit_codes(df, "s")
     small = {r.id: r.s for r in mp.encode(df, "s", codes).collect()}
-    monkeypatch.setattr(mp, "BROADCAST_CODES", 0)
+    monkeypatch.setattr(mp, "LOOKUP_ROWS", 0)
     assert small == {r.id: r.s for r in mp.encode(df, "s", codes).collect()}
     assert mp.encode(spark.createDataFrame([("new",), (None,)], "s string"), "s", codes).where("s = 0").count() == 2
 
