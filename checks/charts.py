@@ -1,11 +1,10 @@
 from pyspark.sql import functions as F
 
-from checks.profile import columns_sql, corr_sql, dup_sql, gappy, outliers_sql, r, recommend_sql
+from checks.profile import columns_sql, corr_sql, gappy, outliers_sql
 from checks.registry import query
 from tabscout.operators import charts
 from tabscout.operators.analysis import analyze
 from tabscout.operators.charts import Catalogue
-from tabscout.operators.profile import Profile
 from tabscout.plans.durable import durable
 
 SETS = ("customer", "part", "orders", "gappy")

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
-from checks.charts import CATALOGUE_SQL, SETS, catalogue, union
-from checks.profile import columns_sql, dup_sql, r, recommend_sql
+from checks.charts import CATALOGUE_SQL, catalogue, union
+from checks.profile import dup_sql, r, recommend_sql
 from checks.registry import query
 from tabscout.operators import chartdata as cd, insights as ins
 

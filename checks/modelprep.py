@@ -200,15 +200,28 @@ def class_weight(t):
     return r(mp.class_weights(t.lineitem, "l_returnflag"), "weight", digits=6)
 
 
-@query("prep_fitted")
+FEATURES = {"c_nationkey": "n", "c_mktsegment": "m", "c_nationkey_squared": "n * n", "c_nationkey_log": "ln(1 + n)", "c_mktsegment_squared": "m * m",
+            "c_mktsegment_log": "ln(1 + m)", "c_nationkey_x_c_mktsegment": "n * m"}
+PREP_SQL = f"""WITH b AS (SELECT c_acctbal, c_nationkey::DOUBLE AS n, (dense_rank() OVER (ORDER BY c_mktsegment) - 1)::DOUBLE AS m FROM customer),
+f AS (SELECT c_acctbal, {", ".join(f"{v} AS {k}" for k, v in FEATURES.items())} FROM b),
+q AS (SELECT {", ".join(f"median({k}) AS {k}_c, quantile_cont({k}, 0.75) - quantile_cont({k}, 0.25) AS {k}_w" for k in FEATURES)} FROM f)
+SELECT c_acctbal, {", ".join(f"round(({k} - {k}_c) / {k}_w, 6) AS {k}" for k in FEATURES)} FROM f, q"""
+
+
+@query("prep_fitted", PREP_SQL)
 def prep_fitted(t):
-    return mp.fit_prep(gappy(t), "value")[1]
+    return r(mp.fit_prep(t.customer, "c_acctbal")[1], *FEATURES, digits=6).select("c_acctbal", *FEATURES)
 
 
-@query("prep_fitted_transform")
+@query("prep_fitted_transform", PREP_SQL.replace("SELECT c_acctbal, round", "SELECT round"))
 def prep_fitted_transform(t):
-    prep, _ = mp.fit_prep(t.part, "p_retailprice")
-    return prep.transform(t.part)
+    prep, _ = mp.fit_prep(t.customer, "c_acctbal")
+    return r(prep.transform(t.customer.drop("c_acctbal")), *FEATURES, digits=6).select(*FEATURES)
+
+
+@query("prep_fitted_gaps")
+def prep_fitted_gaps(t):
+    return mp.fit_prep(gappy(t), "value")[1]
 
 
 @query("prep_live", """

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from checks.profile import r
 from checks.registry import query
-from tabscout.operators import models as m, modelprep as mp
+from tabscout.operators import models as m
 
 
 def labelled(t):
@@ -75,10 +75,15 @@ def train_mlp_cls(t):
     return result(m.train_and_rank(labelled(t), "quality", "classification", "doc_id", only=["Neural Network"], folds=None))
 
 
-@query("train_linear_reg")
+@query("train_linear_reg", """
+WITH o AS (SELECT o_custkey AS x, o_totalprice AS y, row_number() OVER (ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) AS r, count(*) OVER () AS n FROM orders),
+s AS (SELECT *, r <= round(n * CAST(least(0.2, greatest(0.1, 5.0 / n)) AS DOUBLE)) AS test FROM o), m AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM s WHERE NOT test),
+p AS (SELECT y, a * x + b AS p FROM s, m WHERE test)
+SELECT 'Linear Regression' AS model_name, round(1 - avg((y - p) * (y - p)) / var_pop(y), 6) AS r2_score, round(sqrt(avg((y - p) * (y - p))), 2) AS rmse, round(avg(abs(y - p)), 2) AS mae FROM p""")
 def train_linear_reg(t):
-    lines = t.lineitem.select(F.expr("l_orderkey * 1000000 + l_partkey * 10 + l_linenumber").alias("line_id"), "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_extendedprice")
-    return result(m.train_and_rank(lines, "l_extendedprice", "regression", "line_id", only=["Linear Regression"], folds=None))
+    out = m.train_and_rank(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), "o_totalprice", "regression", "o_orderkey", only=["Linear Regression"], folds=None)
+    return out.select("model_name", F.round(F.col("metrics")["r2_score"], 6).alias("r2_score"), F.round(F.col("metrics")["rmse"], 2).alias("rmse"),
+                      F.round(F.col("metrics")["mae"], 2).alias("mae"))
 
 
 @query("cross_validate")

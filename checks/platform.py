@@ -101,12 +101,12 @@ def list_dataset_by_id(t):
 
 
 @query("rank_models", """
-WITH m AS (SELECT l_returnflag AS dataset_id, l_suppkey AS model_name, round(avg(l_extendedprice) / 100000, 9) AS test_score FROM lineitem GROUP BY 1, 2)
+WITH m AS (SELECT l_returnflag AS dataset_id, l_suppkey AS model_name, round(sqrt(avg(l_extendedprice)) / 400, 6) AS test_score FROM lineitem GROUP BY 1, 2)
 SELECT dataset_id, model_name, test_score, round(test_score * 100, 1) AS accuracy,
 row_number() OVER (PARTITION BY dataset_id ORDER BY test_score DESC, model_name) = 1 AS is_best FROM m""")
 def rank_models(t):
     results = t.lineitem.groupBy(F.col("l_returnflag").alias("dataset_id"), F.col("l_suppkey").alias("model_name")) \
-        .agg(F.round(F.avg("l_extendedprice") / 100000, 9).alias("test_score"))
+        .agg(F.round(F.sqrt(F.avg("l_extendedprice")) / 400, 6).alias("test_score"))
     return pf.rank_models(results, "dataset_id", "test_score", "model_name")
 
 

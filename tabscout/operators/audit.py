@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabscout.operators.profile import ref
+from tabscout.functions.text import ref
 
 
 @dataclass(frozen=True)

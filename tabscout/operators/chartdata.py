@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from tabscout.operators.profile import fence, guarded_corr, percent, ref, skewness
+from tabscout.functions.stats import fence, guarded_corr, percent, skewness
+from tabscout.functions.text import ref
 from tabscout.operators.query import group_topk, value_counts
 from tabscout.plans.orderstats import every_nth, quantiles, tie_key
 

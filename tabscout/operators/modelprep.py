@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tabscout.operators.profile import (
-    Profile, columns_of, fence, frequencies, guarded_corr, number_cell, per_column, ref, topk_per_column)
-from tabscout.plans import sizing
+from tabscout.functions.stats import guarded_corr
+from tabscout.functions.text import ref
+from tabscout.operators.profile import Profile, columns_of, number_cell, per_column, top_values
 from tabscout.plans.durable import LOOKUP_ROWS, durable, lookup
 from tabscout.plans.orderstats import dense_ids, md5_cutoffs, quantiles, tie_key
 
@@ -122,7 +121,7 @@ def fit_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
 
 def fit_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     """Most frequent text per column; ties: the smallest."""
-    return {r["column"]: r["value"] for r in topk_per_column(frequencies(df, columns), 1).collect()} if columns else {}
+    return {r["column"]: r["value"] for r in top_values(df, columns, 1).collect()} if columns else {}
 
 
 def fill(df: DataFrame, values: Mapping[str, object]) -> DataFrame:

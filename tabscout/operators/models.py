@@ -14,9 +14,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tabscout.functions.text import ref
 from tabscout.operators.modelprep import TrainingData, class_balance, class_weights, prepare, stratified_folds
 from tabscout.operators.oversample import is_severe, smote
-from tabscout.operators.profile import ref
 from tabscout.plans.durable import durable, lookup
 
 log = logging.getLogger(__name__)
@@ -48,10 +48,10 @@ def classifiers(rows: int, features: int, classes: int, tuned: bool = False, bal
     else:
         hidden = [100, 50] if features < 50 else [100]
     return [
-        Candidate("Logistic Regression", lambda: LogisticRegression(maxIter=2000, **common, **weight), balanced),
+        Candidate("Logistic Regression", lambda: LogisticRegression(maxIter=2000, tol=1e-4, **common, **weight), balanced),
         Candidate("Random Forest", lambda: RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=2, seed=SEED, **common, **weight), balanced),
         Candidate("Gradient Boosting", boosting),
-        Candidate("Neural Network", lambda: MultilayerPerceptronClassifier(layers=[features, *hidden, classes], maxIter=1000, seed=SEED, **common)),
+        Candidate("Neural Network", lambda: MultilayerPerceptronClassifier(layers=[features, *hidden, classes], maxIter=1000, tol=1e-4, seed=SEED, **common)),
     ]
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tabscout.operators.profile import ref
+from tabscout.functions.text import ref
 from tabscout.plans.durable import durable, lookup
 from tabscout.plans.orderstats import md5_cutoffs, tie_key
 

@@ -10,9 +10,9 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tabscout.operators.profile import ref
+from tabscout.functions.text import ref
 
 
 @dataclass(frozen=True)

@@ -8,6 +8,9 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from tabscout.functions.stats import fence, kurtosis, percent, skewness, strength
+from tabscout.functions.text import ref
+from tabscout.plans.durable import durable
 from tabscout.plans.orderstats import quantiles
 
 # Columns (or pairs of them) turned into rows together; wider tables take several column-pruned passes.
@@ -17,10 +20,6 @@ PAIRS_PER_PASS = 300
 DIGEST_FROM = 64
 
 
-def ref(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def column_class(dtype: T.DataType) -> str:
     """numeric, datetime or categorical; a boolean is categorical."""
     if isinstance(dtype, T.NumericType):
@@ -52,15 +51,6 @@ def value_text(field: T.StructField) -> Column:
     return F.hex(c) if isinstance(field.dataType, T.BinaryType) else c.cast("string")
 
 
-def frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, value, cnt) for each distinct non-null value as text, counted in one shuffle."""
-    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
-    cells = F.array(*[F.struct(F.lit(i).alias("__c"), value_text(f).alias("value")) for i, f in enumerate(fields)])
-    counted = (df.select(F.inline(cells)).where("value is not null")
-               .groupBy("__c", "value").agg(F.count(F.lit(1)).alias("cnt")))
-    return counted.select(F.element_at(F.array(*[F.lit(f.name) for f in fields]), F.col("__c") + 1).alias("column"), "value", "cnt")
-
-
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, unique_count) of non-null values, compared in their own type; none for an all-null column."""
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
@@ -134,38 +124,8 @@ def duplicates(df: DataFrame) -> DataFrame:
     return counted.withColumn("duplicate_percentage", percent("duplicate_rows", "total_rows"))
 
 
-def percent(part: str | Column, whole: str | Column) -> Column:
-    part = F.col(part) if isinstance(part, str) else part
-    whole = F.col(whole) if isinstance(whole, str) else whole
-    return F.try_divide(part.cast("double"), whole.cast("double")) * 100
-
-
-def guarded_corr(a: Column, b: Column) -> Column:
-    """Pearson over rows where both are present; null when a side is constant."""
-    x, y = F.when(b.isNotNull(), a.cast("double")), F.when(a.isNotNull(), b.cast("double"))
-    spread = F.stddev_pop(x) * F.stddev_pop(y)
-    return F.try_divide(F.covar_pop(x, y), F.nullif(spread, F.lit(0.0)))
-
-
-def strength(r: Column) -> Column:
-    size = F.abs(r)
-    return F.when(size >= 0.7, "strong").when(size >= 0.4, "moderate").otherwise("weak")
-
-
-def skewness(c: Column) -> Column:
-    """Bias-corrected sample skewness; null below three values or on a constant."""
-    n = F.count(c).cast("double")
-    return F.when(n > 2, F.skewness(c) * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0)))
-
-
-def kurtosis(c: Column) -> Column:
-    """Bias-corrected sample excess kurtosis; null below four values or on a constant."""
-    n = F.count(c).cast("double")
-    return F.when(n > 3, F.try_divide(((n + 1) * F.kurtosis(c) + 6) * (n - 1), (n - 2) * (n - 3)))
-
-
 class Profile:
-    """All profile sections of one table; each is a lazy DataFrame.
+    """All profile sections of one table, each a DataFrame built when first read.
 
     ``keep`` (e.g. ``durable``) materialises the core sections once, so that the rules
     derived from them do not scan the table again.
@@ -236,7 +196,7 @@ class Profile:
 
     def top_values(self, k: int = 5) -> DataFrame:
         """The ``k`` most frequent values per categorical column, with their share."""
-        return topk_per_column(frequencies(self.df, self.categorical), k)
+        return top_values(self.df, self.categorical, k)
 
     @cached_property
     def categorical_stats(self) -> DataFrame:
@@ -363,17 +323,46 @@ class Profile:
         return wide.select(F.inline(F.array(*rows))).where("ord <= 6")
 
 
-def fence(q1: Column, q3: Column, k: float = 1.5) -> tuple[Column, Column]:
-    return q1 - (q3 - q1) * k, q3 + (q3 - q1) * k
+def _compact_cells(fields) -> list[list[Column]]:
+    return [[F.lit(i).alias("__c"), *compact(value_text(f), "value")] for i, f in enumerate(fields)]
+
 
+def compact_frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(__c, value_size, value, cnt): one row per distinct value; long texts as their digest."""
+    fields = [df.schema[c] for c in columns]
+    cells = F.array(*[F.struct(*cell) for cell in _compact_cells(fields)])
+    return (df.select(F.inline(cells)).where("value is not null")
+            .groupBy("__c", "value_size", "value").agg(F.count(F.lit(1)).alias("cnt")))
 
-def topk_per_column(freq: DataFrame, k: int = 5) -> DataFrame:
-    """Most frequent values per column; ties in order of the value."""
-    best = W.partitionBy("column").orderBy(F.desc("cnt"), "value")
+
+def rank_frequencies(freq: DataFrame, k: int) -> DataFrame:
+    """The ``k`` most frequent values per column, ties in order of the (compact) value."""
+    best = W.partitionBy("__c").orderBy(F.desc("cnt"), "value", "value_size")
     # The rank filter lets each task keep only k rows per column before the shuffle.
-    top = freq.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    totals = freq.groupBy("column").agg(F.sum("cnt").alias("total"))
-    return top.join(totals, "column").select("column", "rank", "value", "cnt", percent("cnt", "total").alias("percentage"))
+    return freq.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
+    """column, rank, value, cnt, percentage of the ``k`` most frequent non-null values per column.
+
+    Long texts are counted by digest; only the texts that win are read back whole.
+    """
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, rank int, value string, cnt long, percentage double")
+    freq = compact_frequencies(df, columns)
+    totals = freq.groupBy("__c").agg(F.sum("cnt").alias("total"))
+    top = durable(rank_frequencies(freq, k).join(totals, "__c"))  # k rows per column
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("__c") + 1).alias("column")
+    digests = top.where(F.col("value_size") > DIGEST_FROM).select("__c", "value_size", "value")
+    text = F.col("value")
+    if not digests.isEmpty():
+        fields = [df.schema[c] for c in columns]
+        cells = F.array(*[F.struct(*cell, value_text(f).alias("text")) for cell, f in zip(_compact_cells(fields), fields)])
+        found = (df.select(F.inline(cells)).join(F.broadcast(digests), ["__c", "value_size", "value"])
+                 .groupBy("__c", "value_size", "value").agg(F.min("text").alias("text")))
+        top = top.join(found, ["__c", "value_size", "value"], "left")
+        text = F.coalesce("text", "value")
+    return top.select(name, "rank", text.alias("value"), "cnt", percent("cnt", "total").alias("percentage"))
 
 
 def pair_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame | None:

@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabscout.functions.text import like, ref
 from tabscout.plans import sizing
 from tabscout.plans.orderstats import quantiles, same_keys
 
@@ -21,8 +22,7 @@ COMPARISONS = {
     "<": lambda c, v: c < v,
     ">=": lambda c, v: c >= v,
     "<=": lambda c, v: c <= v,
-    # No escape character: a backslash stands for itself.
-    "like": lambda c, v: c.like(v.replace("\\", "\\\\")),
+    "like": like,
     "in": lambda c, v: c.isin(list(v)) if v else F.lit(False),
     "between": lambda c, v: c.between(v[0], v[1]),
 }
@@ -33,11 +33,6 @@ AGGREGATES = {
 }
 
 
-def ref(name: str) -> Column:
-    """A column by its exact name, dots and spaces included."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 @dataclass(frozen=True)
 class Filter:
     column: str

@@ -8,8 +8,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tabscout.functions.stats import percent
+from tabscout.functions.text import contains_any, ref
 from tabscout.operators.chartdata import suggest_for_result
-from tabscout.operators.profile import column_class, per_column, percent, ref
+from tabscout.operators.profile import column_class, per_column
 from tabscout.operators.query import MAX_ROWS, run
 
 # Phrases that mark a conversational question.
@@ -37,19 +39,12 @@ ALL_WELL = "• No major data quality issues detected. Consider normalizing nume
 FOUND = "Here is the data matching your query."
 
 
-def _contains_any(text: Column, words: Sequence[str]) -> Column:
-    hit = F.lit(False)
-    for w in words:
-        hit = hit | text.contains(w)
-    return hit
-
-
 def _strings(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
 def with_intent(questions: DataFrame) -> DataFrame:
-    return questions.withColumn("intent", F.when(_contains_any(F.lower("question"), TRIGGERS), "conversational").otherwise("data_query"))
+    return questions.withColumn("intent", F.when(contains_any(F.lower("question"), TRIGGERS), "conversational").otherwise("data_query"))
 
 
 def with_mentions(questions: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -148,7 +143,7 @@ def overview(df: DataFrame) -> DataFrame:
 def answer_conversation(questions: DataFrame, df: DataFrame) -> DataFrame:
     """``text_response`` of conversational questions about ``df``; the fixed reply for data queries."""
     known = overview(df).select(F.struct("overview", "tips").alias("o")).scalar()
-    closing = F.when(_contains_any(F.lower("question"), ADVICE_WORDS), known["tips"]).otherwise(EXAMPLES)
+    closing = F.when(contains_any(F.lower("question"), ADVICE_WORDS), known["tips"]).otherwise(EXAMPLES)
     text = F.concat_ws("\n\n", known["overview"], closing)
     return with_intent(questions).withColumn("text_response", F.when(F.col("intent") == "conversational", text).otherwise(FOUND))
 

@@ -8,7 +8,8 @@ from urllib.parse import quote
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tabscout.operators.profile import Profile, clean, frequencies, number_cell, per_column, ref, topk_per_column
+from tabscout.functions.text import ref
+from tabscout.operators.profile import Profile, clean, number_cell, per_column, top_values
 
 SUFFIXES = (".csv", ".xlsx")
 HEAD_ROWS = 500
@@ -140,7 +141,6 @@ def describe_columns(df: DataFrame) -> DataFrame:
         spans = per_column(profile.df, profile.numeric, number_cell, [
             F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean")]).withColumnRenamed("column", "name")
         out = base.join(spans, "name", "left")
-    top = topk_per_column(frequencies(profile.df, others), SAMPLE_VALUES)
-    samples = top.groupBy(F.col("column").alias("name")).agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("s"))
+    samples = top_values(profile.df, others, SAMPLE_VALUES).groupBy(F.col("column").alias("name")).agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("s"))
     return out.join(samples, "name", "left").select("ord", "name", "dtype", "type", "unique_count", "missing_count", "missing_percentage", "min", "max", "mean",
                                                     F.col("s.value").alias("sample_values"))

@@ -1,7 +1,6 @@
 """The strategies for large inputs against brute force, with hot values and hot groups."""
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 

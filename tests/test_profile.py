@@ -75,10 +75,17 @@ def test_hot_value_ties_and_top(spark):
     df = spark.range(3000).selectExpr("if(id % 3 = 0, 'hot', concat('v', id % 500)) as s")
     top = [(r["rank"], r["value"]) for r in Profile(df).top_values().orderBy("rank").collect()]
     assert top[0] == (1, "hot") and len(top) == 5
-    plan = p.topk_per_column(p.frequencies(df), 5)._jdf.queryExecution().executedPlan().toString()
+    plan = p.rank_frequencies(p.compact_frequencies(df, ["s"]), 5)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
 
 
+def test_long_texts_come_back_whole(spark):
+    df = spark.range(30).selectExpr("repeat(concat('t', id % 4), 100) as s", "if(id < 2, null, concat('u', id % 3)) as u")
+    top = {(r.column, r["rank"]): (r.value, r.cnt) for r in p.top_values(df, ["s", "u"], 2).collect()}
+    assert {v for (c, _), v in top.items() if c == "s"} == {("t0" * 100, 8), ("t1" * 100, 8)}
+    assert top["u", 1] == ("u2", 10)
+
+
 def test_wide_table_takes_several_passes(spark, monkeypatch):
     monkeypatch.setattr(p, "COLUMNS_PER_PASS", 3)
     monkeypatch.setattr(p, "PAIRS_PER_PASS", 4)
