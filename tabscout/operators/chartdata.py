@@ -60,6 +60,9 @@ def line(df: DataFrame, x: str, y: str, key: str, points: int = 100) -> DataFram
     return drawn.select("idx", shown.alias("x"), ref(y).cast("double").alias("y"))
 
 
+# Ways a text may hold a date, besides the ISO forms.
+DATE_FORMATS = ["M/d/yyyy", "d/M/yyyy", "yyyy/M/d", "d-M-yyyy", "MMM d, yyyy", "d MMM yyyy"]
+
 FIVE = [0.0, 0.25, 0.5, 0.75, 1.0]
 
 
@@ -201,7 +204,7 @@ def suggest_for_result(df: DataFrame, sample: int = 5) -> dict:
     checks = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(df.columns):
         checks.append(F.count(ref(c)).alias(f"present{i}"))
-        parsed = F.try_to_timestamp(ref(c)) if c in texts else F.lit(None)
+        parsed = F.coalesce(F.try_to_timestamp(ref(c)), *[F.try_to_timestamp(ref(c), F.lit(p)) for p in DATE_FORMATS]) if c in texts else F.lit(None)
         checks.append(F.count(parsed).alias(f"dates{i}"))
     seen = rows.agg(*checks).first()
     if seen["n"] == 0:

@@ -233,6 +233,8 @@ class Profile:
         """Values outside the 1.5 x IQR fences, for columns with four values or more."""
         fences = self.quartiles.where("n >= 4").select(
             "column", "n", *[e.alias(a) for e, a in zip(fence(F.col("q")[0], F.col("q")[2]), ("lower_bound", "upper_bound"))])
+        if not self.numeric:
+            return self.spark.createDataFrame([], "column string, outlier_count long, outlier_percentage double, lower_bound double, upper_bound double")
         cells = [F.struct(F.lit(c).alias("column"), ref(c).cast("double").alias("value")) for c in self.numeric]
         # One row of fences per column of the table.
         beyond = (self.df.select(F.inline(F.array(*cells))).join(F.broadcast(fences), "column")

@@ -43,32 +43,41 @@ def _strings(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
 
+def _lowered(questions: DataFrame) -> DataFrame:
+    """Lower-case text as a column of its own, so that the rules share it."""
+    return questions if "__lower" in questions.columns else questions.withColumn("__lower", F.lower("question"))
+
+
 def with_intent(questions: DataFrame) -> DataFrame:
-    return questions.withColumn("intent", F.when(contains_any(F.lower("question"), TRIGGERS), "conversational").otherwise("data_query"))
+    chatty = contains_any(F.col("__lower"), TRIGGERS)
+    return _tidy(_lowered(questions).withColumn("intent", F.when(chatty, "conversational").otherwise("data_query")), questions)
+
+
+def _tidy(out: DataFrame, given: DataFrame) -> DataFrame:
+    return out if "__lower" in given.columns else out.drop("__lower")
 
 
 def with_mentions(questions: DataFrame, names: Sequence[str]) -> DataFrame:
     """``mentioned``: the column names found in the question, longest first."""
-    lower = F.lower("question")
     by_length = sorted(names, key=len, reverse=True)
-    hits = [F.when(lower.contains(n.lower()), F.lit(n)) for n in by_length]
-    return questions.withColumn("mentioned", F.array_compact(F.array(*hits)))
+    hits = [F.when(F.col("__lower").contains(n.lower()), F.lit(n)) for n in by_length]
+    return _tidy(_lowered(questions).withColumn("mentioned", F.array_compact(F.array(*hits))), questions)
 
 
 def with_limit(questions: DataFrame) -> DataFrame:
     """``asked``: the number after top, first, last, bottom, show or list."""
-    found = F.regexp_extract(F.lower("question"), LIMIT, 1)
+    found = F.regexp_extract("__lower", LIMIT, 1)
     number = F.try_to_number(F.nullif(found, F.lit("")), F.lit("9" * 18)).cast("bigint")
-    return questions.withColumn("asked", F.when(F.length(found) > 18, F.lit(MAX_ROWS).cast("bigint")).otherwise(number))
+    asked = F.when(F.length(found) > 18, F.lit(MAX_ROWS).cast("bigint")).otherwise(number)
+    return _tidy(_lowered(questions).withColumn("asked", asked), questions)
 
 
 def with_pattern(questions: DataFrame) -> DataFrame:
-    lower = F.lower("question")
     chosen = F.lit("default")
     for name, regex in reversed(PATTERNS.items()):
         # (?U): word boundaries respect letters beyond ASCII.
-        chosen = F.when(lower.rlike("(?U)" + regex), name).otherwise(chosen)
-    return questions.withColumn("pattern", chosen)
+        chosen = F.when(F.col("__lower").rlike("(?U)" + regex), name).otherwise(chosen)
+    return _tidy(_lowered(questions).withColumn("pattern", chosen), questions)
 
 
 def route(questions: DataFrame, columns: Sequence[tuple[str, str]]) -> DataFrame:
@@ -76,7 +85,7 @@ def route(questions: DataFrame, columns: Sequence[tuple[str, str]]) -> DataFrame
     names = [n for n, _ in columns]
     numeric = [n for n, k in columns if k == "numeric"]
     categorical = [n for n, k in columns if k == "categorical"]
-    read = with_pattern(with_limit(with_mentions(with_intent(questions), names)))
+    read = with_pattern(with_limit(with_mentions(with_intent(_lowered(questions)), names))).drop("__lower")
     pattern, mentioned = F.col("pattern"), F.col("mentioned")
     none = F.lit(None).cast("string")
     first_number = F.lit((numeric or names)[0])
@@ -179,3 +188,8 @@ def history_row(answer: dict, spark, user_id: str, dataset_id: str) -> DataFrame
         text(json.dumps(answer["spec"]) if answer["spec"] else None).alias("generated_query"), preview.alias("result_preview"),
         F.lit(answer["seconds"] * 1000.0).alias("execution_ms"), F.lit(answer["error"] is None).alias("was_successful"),
         text(answer["error"]).alias("error_message"), F.current_timestamp().alias("timestamp"))
+
+
+def append_history(row: DataFrame, path: str) -> None:
+    """Add history rows to the stored history."""
+    row.write.mode("append").parquet(path)

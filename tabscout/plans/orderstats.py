@@ -80,6 +80,8 @@ def quantiles(
     ``small_bytes`` never bring a whole column or group to one task.
     """
     columns, probs, keys = list(columns), list(probs), list(keys)
+    if not columns:
+        return df.limit(0).select(*_cols(keys), F.lit("").alias("column"), F.lit(0).cast("bigint").alias("n"), F.array().cast("array<double>").alias("q"))
     numbers = [F.col(f"`{c}`").cast("double") for c in columns]
     data = df.select(*_cols(keys), *[F.when(~F.isnan(v), v).alias(f"__v{i}") for i, v in enumerate(numbers)])
     small = sizing.is_small(data, small_bytes)
@@ -223,8 +225,12 @@ def every_nth(df: DataFrame, order: str, key: str, points: int, columns: Sequenc
         x = F.unix_date(x)
     data = df.select(*_cols(columns), x.cast("double").alias("__x"), F.col(f"`{key}`").alias("__key")).where("__x is not null")
     rows = data.count()
+    if rows <= FINAL_ROWS:
+        place = F.row_number().over(W.orderBy("__x", tie_key(F.col("__key")), "__key")) - 1  # few enough for one task
+        return (data.withColumn("idx", place.cast("bigint")).where(F.col("idx") % max(1, rows // points) == 0)
+                .select("idx", *_cols(columns)))
     ranks = range(1, rows + 1, max(1, rows // points))
-    found = select_ranks(data.select("__x"), {"__x": list(ranks)}) if rows else {}
+    found = select_ranks(data.select("__x"), {"__x": list(ranks)})
     at: dict[float, list[tuple[int, int]]] = {}
     for (_, rank), (value, below) in sorted(found.items()):
         at.setdefault(value, []).append((rank - below, rank - 1))

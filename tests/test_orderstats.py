@@ -52,8 +52,10 @@ def test_all_null_column(spark):
         assert [r.column for r in o.quantiles(df, ["v", "w"], [0.5], small_bytes=small).collect()] == ["w"]
 
 
-@pytest.mark.parametrize("n", [1, 99, 100, 101, 5000])
-def test_every_nth_with_one_hot_time(spark, n):
+@pytest.mark.parametrize("final", [10, 1 << 20])
+@pytest.mark.parametrize("n", [0, 1, 99, 101, 5000])
+def test_every_nth_with_one_hot_time(spark, n, final, monkeypatch):
+    monkeypatch.setattr(o, "FINAL_ROWS", final)
     df = spark.range(n).selectExpr("id", "if(id % 3 = 0, timestamp'2024-01-01', timestamp_seconds(pmod(xxhash64(id), 1000000))) as ts", "id * 2 as y")
     pdf = df.withColumn("t", o.tie_key(F.col("id"))).toPandas().sort_values(["ts", "t"]).reset_index(drop=True)
     want = pdf.iloc[::max(1, n // 100)]

@@ -50,13 +50,16 @@ def test_question_words_follow_letters(spark):
     assert by["top " + "9" * 30].query.limit == 200 and by[""].query.limit == 10
 
 
-def test_ask(employees, spark):
+def test_ask(employees, spark, folder):
     answer = nl.ask(employees, "What is this about?")
     assert answer["intent"] == "conversational" and "**4 rows**" in answer["text_response"] and answer["result"] is None
     answer = nl.ask(employees, "average salary by department")
     assert {r.department: r.avg_salary for r in answer["result"].collect()}["IT"] == 77500.0 and answer["chart"]["type"] == "bar"
     row = nl.history_row(answer, spark, "u", "d").first()
     assert row.was_successful and "77500" in row.result_preview
+    for _ in range(2):
+        nl.append_history(nl.history_row(answer, spark, "u", "d"), folder + "/history")
+    assert spark.read.parquet(folder + "/history").count() == 2
     assert "missing values" in nl.ask(employees.withColumn("salary", F.when(F.col("id") > 1, F.col("salary"))), "suggest how to clean it")["text_response"]
 
 

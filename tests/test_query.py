@@ -104,6 +104,8 @@ def test_chart_for_result(spark, employees):
     assert suggest_for_result(totals)["type"] == "bar"
     assert suggest_for_result(employees.select("id", "salary"))["type"] == "scatter"
     assert suggest_for_result(employees.limit(0))["type"] == "table"
+    dates = spark.createDataFrame([("1/31/2023", 5), ("Feb 2, 2023", 6)], "day string, n int")
+    assert suggest_for_result(dates)["type"] == "line"
     days = spark.createDataFrame([("2023-01-01", 5), ("2023-01-02", 6)], "day string, n int")
     assert suggest_for_result(days) == {"type": "line", "x_axis": "day", "y_axis": "n", "reason": "Time series data detected"}
 
