@@ -5,13 +5,12 @@ from checks.registry import query
 from tabscout.operators import charts
 from tabscout.operators.analysis import analyze
 from tabscout.operators.charts import Catalogue
-from tabscout.plans.durable import durable
 
 SETS = ("customer", "part", "orders", "gappy")
 
 
-def catalogue(t, names=SETS, keep=durable):
-    return Catalogue.of({n: gappy(t) if n == "gappy" else getattr(t, n) for n in names}, keep=keep)
+def catalogue(t, names=SETS):
+    return Catalogue.of({n: gappy(t) if n == "gappy" else getattr(t, n) for n in names})
 
 
 def union(make):

@@ -4,6 +4,7 @@ from checks.charts import CATALOGUE_SQL, catalogue, union
 from checks.profile import dup_sql, r, recommend_sql
 from checks.registry import query
 from tabscout.operators import chartdata as cd, insights as ins
+from tabscout.operators.charts import Catalogue
 
 BASE = f"""WITH {CATALOGUE_SQL}, basic AS ({union(dup_sql)}),
 quality AS (SELECT dataset_id, 100 - sum(missing_count) * 100.0::DOUBLE / sum(total_rows) AS q FROM cols GROUP BY 1),
@@ -58,7 +59,7 @@ def info(t):
     return t.part.limit(1).select(F.lit("part").alias("dataset_id"), F.lit("p_type").alias("target_column"), F.lit("classification").alias("problem_type"))
 
 
-PROFILE_RULES = {"ins_quality": ins.quality, "ins_missing": ins.missing, "ins_duplicates": ins.duplicates, "ins_corr": ins.correlations,
+PROFILE_RULES = {"ins_quality": ins.quality, "ins_missing": ins.missing, "ins_corr": ins.correlations,
                  "ins_outliers": ins.outliers, "ins_types": ins.types, "ins_highcard": ins.high_cardinality, "ins_from_reco": ins.from_recommendations}
 for _name, _rule in PROFILE_RULES.items():
     @query(_name, sql(_name))
@@ -66,6 +67,14 @@ for _name, _rule in PROFILE_RULES.items():
         return shape(rule(catalogue(t)))
 
 
+@query("ins_duplicates", """
+SELECT 'documents' AS dataset_id, 30 AS ord, 'duplicates' AS rule, 'data_quality' AS category, CASE WHEN d * 100.0 / n > 5 THEN 'high' ELSE 'medium' END AS priority,
+format('{:,}', d) || ' Duplicate Rows Detected' AS title, d::DOUBLE AS number
+FROM (SELECT CAST(sum(c) AS BIGINT) AS n, CAST(sum(c - 1) AS BIGINT) AS d FROM (SELECT count(*) AS c FROM documents GROUP BY text, lang)) WHERE d > 0""")
+def ins_duplicates(t):
+    return shape(ins.duplicates(Catalogue.of({"documents": t.documents.select("text", "lang")})))
+
+
 @query("ins_model", sql("ins_model"))
 def ins_model(t):
     return shape(ins.models(model_results(t)))

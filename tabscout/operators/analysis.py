@@ -30,7 +30,7 @@ def analyze(df: DataFrame, dataset_id: str, key: str | None = None, limit: int =
     if key is None:
         df, key = df.withColumn("__row", charts.row_text(df)), "__row"
     shown = [c for c in df.columns if c != "__row"]
-    catalogue = Catalogue.of({dataset_id: Profile(df, shown, keep=durable)})
+    catalogue = Catalogue.of({dataset_id: Profile(df, shown)})
     ranked = durable(charts.page(charts.recommend(catalogue), limit, offset))
     chosen = ranked.orderBy("rank").collect()  # one page of chart settings
     rows, found = [], []

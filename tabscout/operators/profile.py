@@ -127,12 +127,12 @@ def duplicates(df: DataFrame) -> DataFrame:
 class Profile:
     """All profile sections of one table, each a DataFrame built when first read.
 
-    ``keep`` (e.g. ``durable``) materialises the core sections once, so that the rules
-    derived from them do not scan the table again.
+    The core sections (one row per column or pair) are materialised by ``keep`` when
+    first read, so that the rules derived from them do not scan the table again.
     """
 
-    def __init__(self, df: DataFrame, columns: Sequence[str] | None = None, keep=None):
-        self._keep = keep or (lambda section: section)
+    def __init__(self, df: DataFrame, columns: Sequence[str] | None = None, keep=durable):
+        self._keep = keep
         self.df = clean(df if columns is None else df.select(*[ref(c) for c in columns]))
         self.fields = self.df.schema.fields
         self.names = [f.name for f in self.fields]

@@ -2,7 +2,6 @@ import math
 
 from tabscout.operators import profile as p
 from tabscout.operators.profile import Profile
-from tabscout.plans.durable import durable
 
 
 def by_name(df, key="name"):
@@ -20,7 +19,7 @@ def test_missing_values(gaps):
 
 
 def test_ranking_table(ranking):
-    prof = Profile(ranking, keep=durable)
+    prof = Profile(ranking)
     pairs = {(r.column1, r.column2): r for r in prof.correlations().collect()}
     assert math.isclose(pairs["value_a", "value_b"].correlation, 1.0) and pairs["value_a", "value_b"].strength == "strong"
     outliers = by_name(prof.outliers, "column")
