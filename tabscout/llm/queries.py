@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabscout.llm import chat, lines, mixing, quality, sharding
-from tabscout.llm.common import text_of
+from tabscout.llm import chat, decontam, html, lines, mixing, neardup, quality, sharding, spans, tokens
+from tabscout.llm.common import back, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -39,6 +39,21 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
 
 
+@query
+def op2_hyperminhash(spark, sf_dir):
+    out = neardup.near_duplicates(table(spark, sf_dir, "documents"), neardup.Params(words=3, percent=85))
+    return out.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
+                      F.coalesce(F.col("d") == F.col("component"), F.col("component").isNull()).alias("kept"))
+
+
+@query
+def op3_sentence_spans(spark, sf_dir):
+    out = spans.repeated_spans(table(spark, sf_dir, "documents"))
+    return out.select(back("d").alias("doc_id"), F.size("spans").cast("bigint").alias("n_spans"),
+                      F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["size"]).alias("n_bytes"),
+                      F.transform("spans", lambda s: F.array(s["first"], s["first"] + s["size"])).alias("spans"))
+
+
 @query
 def op4_repetition_coverage(spark, sf_dir):
     out = quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -69,6 +84,14 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(length(safe) + 13 + CASE WHEN starts THEN 7 + length(role) ELSE 0 END) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
 
 
+@query
+def op6_transducer_tokens(spark, sf_dir):
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "tokens.*")
+
+
 @query
 def op7_source_mix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -83,3 +106,16 @@ def op8_uniform_shards(spark, sf_dir):
     out = sharding.shard(rows, ["doc_id", "text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("bigint").alias("slot"),
                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op9_recurrent_blocks(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html.main_text(pages, html.fit(pages)).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query
+def op10_qgram_bands(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find_items(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.item_id", "f.edits", F.col("f.start").alias("start"), F.col("f.end").alias("end"))
