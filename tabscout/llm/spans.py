@@ -57,7 +57,7 @@ def runs(texts: list[bytes], sentences: int = SENTENCES, words: int = WORDS) ->
 
 
 def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per text with repeats: ``d``, ``k`` and ``spans`` (first byte, bytes), the merged runs that occurred before.
+    """One row per text with repeats: ``d``, ``k`` (upper half of the text key) and ``spans`` (first byte, bytes), the merged runs that occurred before.
 
     The first place of a run is the smallest id (null first), then text key, then position;
     a later run in the same text is a repeat as well. Null and empty texts have no runs, and
@@ -70,7 +70,7 @@ def repeated_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WOR
             doc, h1, h2, first, size, _ = runs(texts, sentences, words)
             d, k = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-                h1.view(np.int64), ((h2 >> U(32)).astype(np.uint32).view(np.int32)), d[doc], (k[doc] & 0xFFFFFFFF).astype(np.uint32).view(np.int32),
+                h1.view(np.int64), ((h2 >> U(32)).astype(np.uint32).view(np.int32)), d[doc], (k[doc] >> 32).astype(np.int32),
                 first.astype(np.int32), size.astype(np.int32))], names=["h1", "h2", "d", "k", "first", "size"])
 
     found = docs.select(id_of(doc).alias("d"), text_key(body).alias("k"), body.alias("t")).mapInArrow(run, "h1 bigint, h2 int, d bigint, k int, first int, size int")
@@ -100,7 +100,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without_spans(docs: DataFrame, spans: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``d`` and ``text`` of every row of ``docs`` without its repeats."""
     body = text_of(text)
-    rows = docs.select(id_of(doc).alias("d"), text_key(body).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("k"), body.alias("t"))
+    rows = docs.select(id_of(doc).alias("d"), F.shiftright(text_key(body), 32).cast("int").alias("k"), body.alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches, "t"):
