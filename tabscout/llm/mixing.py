@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabscout.llm.common import NO_ID, back, cut, id_of, text_key, text_of
+from tabscout.llm.common import cut, id_of, text_key, text_of
 
 # The weights that sources take in turn, in code point order.
 WEIGHTS = (5, 2, 1)
@@ -41,9 +41,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     upto = everything.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
     level = ((share * F.sum("source_size").over(everything) - (F.sum("cap").over(upto) - F.col("cap")))
              / (F.sum("w").over(everything) - (F.sum("w").over(upto) - F.col("w"))))
-    # A source is full if the level that holds once all before it are full reaches its limit; the first that isn't sets the level.
+    # A source is full if the level that holds once all before it are full reaches its limit. The level
+    # rises up to the first that is not, which sets it, and would fall after it.
     stepped = cap.withColumn("level", level).withColumn("full", F.col("level") * F.col("w") >= F.col("cap"))
-    final = F.min(F.when(~F.col("full"), F.col("level"))).over(everything)
+    final = F.max(F.when(~F.col("full"), F.col("level"))).over(everything)
     return stepped.withColumn("final", final).select(
         "source", "source_size", F.when(F.col("full") | F.col("final").isNull(), F.col("cap")).otherwise(F.least(F.col("final") * F.col("w"), F.col("cap"))).alias("target"))
 
@@ -80,15 +81,34 @@ def flight(pi: np.ndarray, constraints: np.ndarray, rng: np.random.Generator) ->
     return pi
 
 
-def land(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Round the last rows so that their words come nearest to what the probabilities say; ties by chance."""
+def land(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator, trades: int = 4) -> np.ndarray:
+    """Round the last rows so that their words come nearest to what the probabilities say; ties by chance.
+
+    In a small source even the best rounding can be far off, as one row may hold much of the
+    words. Then a few trades of a taken row for another, or for none, close the gap.
+    """
     left = [i for i in range(len(pi)) if EPS < pi[i] < 1 - EPS]
-    if left:
-        wanted = (pi[left] * size[left]).sum()
-        ways = [[b >> j & 1 for j in range(len(left))] for b in range(1 << len(left))]
-        best = min(ways, key=lambda w: (abs(np.dot(w, size[left]) - wanted), rng.random()))
-        pi = pi.copy()
-        pi[left] = best
+    if not left:
+        return pi
+    wanted = (pi * size).sum()
+    pi = pi.copy()
+    rest = wanted - (np.delete(pi, left) * np.delete(size, left)).sum()
+    ways = [[b >> j & 1 for j in range(len(left))] for b in range(1 << len(left))]
+    pi[left] = min(ways, key=lambda w: (abs(np.dot(w, size[left]) - rest), rng.random()))
+    for _ in range(trades):
+        gap = (pi * size).sum() - wanted
+        taken, free = np.append(np.flatnonzero(pi > 0.5), -1), np.append(np.flatnonzero(pi <= 0.5), -1)
+        out, into = np.append(size[taken[:-1]], 0.0), np.append(size[free[:-1]], 0.0)
+        order = np.argsort(into, kind="stable")
+        near = np.searchsorted(into[order], out - gap)
+        pairs = [(abs(gap - out[i] + into[order[j]]), i, order[j]) for i in range(len(out)) for j in (near[i] - 1, near[i]) if 0 <= j < len(order)]
+        best, i, j = min(pairs)
+        if best >= abs(gap):
+            break
+        if taken[i] >= 0:
+            pi[taken[i]] = 0
+        if free[j] >= 0:
+            pi[free[j]] = 1
     return pi
 
 
