@@ -170,7 +170,10 @@ def project_search(t):
 
 
 @query("chart_suggest_result", """
-SELECT * FROM (VALUES ('bar', 'o_orderstatus', 'n'), ('scatter', 'l_quantity', 'l_tax'), ('line', 'day', 'n'), ('table', '', '')) v(type, x_axis, y_axis)""")
+SELECT 'bar' AS type, 'o_orderstatus' AS x_axis, 'n' AS y_axis, count(DISTINCT o_orderstatus) AS rows FROM orders
+UNION ALL SELECT 'scatter', 'l_quantity', 'l_tax', count(*) FROM lineitem
+UNION ALL SELECT 'line', 'day', 'n', count(DISTINCT CAST(o_orderdate AS DATE)) FROM orders
+UNION ALL SELECT 'table', '', '', count(*) FROM part""")
 def chart_suggest_result(t):
     results = [
         t.orders.groupBy("o_orderstatus").agg(F.count("*").alias("n")),
@@ -179,9 +182,9 @@ def chart_suggest_result(t):
         t.part.select("p_name", "p_brand")]
     out = None
     for df in results:
-        # The shape comes from the result's first rows; one row per query result.
+        # The type comes from the result's schema and first rows; the rows to draw are counted.
         found = cd.suggest_for_result(df)
-        row = df.limit(1).select(F.lit(found["type"]).alias("type"), F.lit(found.get("x_axis", "")).alias("x_axis"),
-                                 F.lit(found.get("y_axis", "")).alias("y_axis"))
+        row = df.agg(F.count("*").alias("rows")).select(F.lit(found["type"]).alias("type"), F.lit(found.get("x_axis", "")).alias("x_axis"),
+                                 F.lit(found.get("y_axis", "")).alias("y_axis"), "rows")
         out = row if out is None else out.unionByName(row)
     return out

@@ -56,7 +56,7 @@ def model_results(t):
 
 
 def info(t):
-    return t.part.limit(1).select(F.lit("part").alias("dataset_id"), F.lit("p_type").alias("target_column"), F.lit("classification").alias("problem_type"))
+    return t.part.agg(F.count("*").alias("rows")).select(F.lit("part").alias("dataset_id"), F.lit("p_type").alias("target_column"), F.lit("classification").alias("problem_type"))
 
 
 PROFILE_RULES = {"ins_quality": ins.quality, "ins_missing": ins.missing, "ins_corr": ins.correlations,
@@ -167,17 +167,15 @@ def exec_summary(t):
 
 
 @query("order_priority", """
-SELECT o_orderkey, p AS priority, o_orderdate FROM (SELECT *, CASE WHEN o_orderpriority < '3' THEN 'high' WHEN o_orderpriority < '4' THEN 'medium' ELSE 'low' END AS p FROM orders)
-ORDER BY CASE p WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, o_orderdate DESC, o_orderkey LIMIT 500""")
+SELECT o_orderkey, p AS priority, o_orderdate, row_number() OVER (ORDER BY {order}) AS position FROM (SELECT *, CASE WHEN o_orderpriority < '3' THEN 'high' WHEN o_orderpriority < '4' THEN 'medium' ELSE 'low' END AS p FROM orders)""".replace("{order}", "CASE p WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, o_orderdate DESC, o_orderkey"))
 def order_priority(t):
-    return ins.by_priority(with_priority(t), "o_orderdate", "o_orderkey").limit(500).select("o_orderkey", "priority", "o_orderdate")
+    return ins.by_priority(with_priority(t), "o_orderdate", "o_orderkey").select("o_orderkey", "priority", "o_orderdate", "position")
 
 
 @query("order_priority_as_written", """
-SELECT o_orderkey, p AS priority, o_orderdate FROM (SELECT *, CASE WHEN o_orderpriority < '3' THEN 'high' WHEN o_orderpriority < '4' THEN 'medium' ELSE 'low' END AS p FROM orders)
-ORDER BY p DESC, o_orderdate DESC, o_orderkey LIMIT 500""")
+SELECT o_orderkey, p AS priority, o_orderdate, row_number() OVER (ORDER BY {order}) AS position FROM (SELECT *, CASE WHEN o_orderpriority < '3' THEN 'high' WHEN o_orderpriority < '4' THEN 'medium' ELSE 'low' END AS p FROM orders)""".replace("{order}", "p DESC, o_orderdate DESC, o_orderkey"))
 def order_priority_as_written(t):
-    return ins.by_priority(with_priority(t), "o_orderdate", "o_orderkey", as_written=True).limit(500).select("o_orderkey", "priority", "o_orderdate")
+    return ins.by_priority(with_priority(t), "o_orderdate", "o_orderkey", as_written=True).select("o_orderkey", "priority", "o_orderdate", "position")
 
 
 def with_priority(t):

@@ -164,11 +164,13 @@ def feat_interact(t):
 
 
 @query("drop_low_variance", """
-SELECT name FROM (SELECT 'l_quantity' AS name, var_pop(l_quantity) AS v FROM lineitem UNION ALL SELECT 'l_discount', var_pop(l_discount) FROM lineitem
+SELECT name, round(v, 6) AS variance FROM (SELECT 'l_quantity' AS name, var_pop(l_quantity) AS v FROM lineitem UNION ALL SELECT 'l_discount', var_pop(l_discount) FROM lineitem
 UNION ALL SELECT 'l_tax', var_pop(l_tax) FROM lineitem UNION ALL SELECT 'l_linenumber', var_pop(l_linenumber) FROM lineitem) WHERE v > 0.01""")
 def drop_low_variance(t):
-    kept = mp.varied(t.lineitem, ["l_quantity", "l_discount", "l_tax", "l_linenumber"])
-    return t.lineitem.limit(1).select(F.explode(F.array(*[F.lit(c) for c in kept])).alias("name"))
+    columns = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+    found = mp.variances(t.lineitem, columns).where("variance > 0.01")
+    assert sorted(mp.varied(t.lineitem, columns)) == sorted(r["name"] for r in found.collect())  # one row a column
+    return r(found, "variance", digits=6)
 
 
 @query("strat_split", """
@@ -225,9 +227,24 @@ def prep_fitted_gaps(t):
 
 
 @query("prep_live", """
+WITH c AS (SELECT *, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS code FROM customer),
+p AS (SELECT c_custkey, code, c_nationkey::DOUBLE AS n, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS a, row_number() OVER (PARTITION BY code ORDER BY md5(CAST(c_custkey AS VARCHAR)), c_custkey)
+  <= CAST(round(count(*) OVER (PARTITION BY code) * CAST(least(0.2, greatest(0.1, 5.0 / count(*) OVER ())) AS DOUBLE)) AS BIGINT) AS s FROM c),
+f AS (SELECT * REPLACE (coalesce(a, avg(a) OVER ()) AS a) FROM p),
+m AS (SELECT avg(n) AS nm, stddev_pop(n) AS ns, avg(a) AS am, stddev_pop(a) AS s_a FROM f WHERE NOT s)
+SELECT c_custkey, s::INTEGER AS is_test, code::DOUBLE AS c_mktsegment, round((n - nm) / ns, 6) AS c_nationkey, round((a - am) / s_a, 6) AS c_acctbal FROM f, m""")
+def prep_live(t):
+    """NaN and infinities are gaps, filled by the mean of all rows."""
+    odd = F.expr("case when c_custkey % 10 = 0 then double('NaN') when c_custkey % 5 = 0 then double('Infinity') else c_acctbal end")
+    data = mp.prepare(t.customer.drop("c_name").withColumn("c_acctbal", odd), "c_mktsegment", "classification", "c_custkey")
+    rows = data.train.withColumn("is_test", F.lit(0)).unionByName(data.test.withColumn("is_test", F.lit(1)))
+    return r(rows, "c_nationkey", "c_acctbal", digits=6).select("c_custkey", "is_test", "c_mktsegment", "c_nationkey", "c_acctbal")
+
+
+@query("prep_live_counts", """
 SELECT count(*) AS rows, count(*) FILTER (WHERE s) AS test_rows FROM (SELECT row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(CAST(c_custkey AS VARCHAR)), c_custkey)
 <= CAST(round(count(*) OVER (PARTITION BY c_mktsegment) * CAST(least(0.2, greatest(0.1, 5.0 / count(*) OVER ())) AS DOUBLE)) AS BIGINT) AS s FROM customer)""")
-def prep_live(t):
+def prep_live_counts(t):
     data = mp.prepare(t.customer.drop("c_name"), "c_mktsegment", "classification", "c_custkey")
     return data.train.withColumn("s", F.lit(0)).unionByName(data.test.withColumn("s", F.lit(1))).agg(F.count("*").alias("rows"), F.sum("s").alias("test_rows"))
 

@@ -1,4 +1,4 @@
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from checks.profile import r
 from checks.registry import query
@@ -51,26 +51,43 @@ def score_sanitize(t):
     return r(t.customer.select("c_custkey", m.sanitize_score(s).alias("cv_score"), m.sanitize_score(s, False).alias("test_score")), "cv_score", "test_score", digits=6)
 
 
+CLASS_METRICS, NUMBER_METRICS = "accuracy,auc_roc,f1_score,precision,recall", "mae,mse,r2_score,rmse"
+
+
 def result(df):
-    return df.select("model_name", "test_score", "cv_score", "is_best", F.size("feature_importance").alias("features"), "metrics")
+    """What must hold whatever a model learns: names, metrics, ranges, the best flag, importances that add up."""
+    best = F.max(F.struct("test_score", "is_best")).over(W.partitionBy(F.lit(0)))  # a handful of models
+    ok = F.col("error").isNull() & (F.col("test_score") <= 1) & F.coalesce(F.col("cv_score") <= 1, F.lit(True))
+    sums = F.aggregate("feature_importance", F.lit(0.0), lambda a, f: a + f["importance"])
+    tree = F.col("model_name").isin("Random Forest", "Gradient Boosting")
+    return df.select("model_name", (ok & F.when(tree, F.coalesce(F.abs(sums - 1) < 1e-6, F.lit(True))).otherwise(True)).alias("sound"),
+                     (F.col("cv_score").isNotNull()).alias("validated"), F.coalesce(F.size("feature_importance"), F.lit(0)).alias("features"),
+                     F.array_join(F.array_sort(F.map_keys("metrics")), ",").alias("metrics"),
+                     (F.col("is_best") == (F.col("test_score") == best["test_score"])).alias("flagged"))
+
 
+def result_sql(*models, metrics=CLASS_METRICS, validated=False):
+    """``models``: (name, features with an importance)."""
+    return "\nUNION ALL\n".join(f"""SELECT '{n}' AS model_name, true AS sound, {str(validated).lower()} AS validated, CAST({k} AS INTEGER) AS features,
+'{metrics}' AS metrics, true AS flagged""" for n, k in models)
 
-@query("train_lr")
+
+@query("train_lr", result_sql(("Logistic Regression", 2)))
 def train_lr(t):
     return result(m.train_and_rank(t.customer.drop("c_name"), "c_mktsegment", "classification", "c_custkey", only=["Logistic Regression"], folds=None))
 
 
-@query("train_rf")
+@query("train_rf", result_sql(("Random Forest", 2)))
 def train_rf(t):
     return result(m.train_and_rank(t.customer.drop("c_name"), "c_mktsegment", "classification", "c_custkey", only=["Random Forest"], folds=None))
 
 
-@query("train_gbt")
+@query("train_gbt", result_sql(("Gradient Boosting", 2), metrics=NUMBER_METRICS))
 def train_gbt(t):
     return result(m.train_and_rank(t.part.drop("p_name", "p_brand", "p_type"), "p_retailprice", "regression", "p_partkey", only=["Gradient Boosting"], folds=None))
 
 
-@query("train_mlp_cls")
+@query("train_mlp_cls", result_sql(("Neural Network", 0)))
 def train_mlp_cls(t):
     return result(m.train_and_rank(labelled(t), "quality", "classification", "doc_id", only=["Neural Network"], folds=None))
 
@@ -86,24 +103,42 @@ def train_linear_reg(t):
                       F.round(F.col("metrics")["mae"], 2).alias("mae"))
 
 
-@query("cross_validate")
+@query("cross_validate", result_sql(("Logistic Regression", 5), validated=True))
 def cross_validate(t):
     return result(m.train_and_rank(labelled(t), "quality", "classification", "doc_id", only=["Logistic Regression"]))
 
 
-@query("feature_importance")
+@query("feature_importance", """
+SELECT 'Random Forest' AS model_name, unnest(['lang', 'n_chars', 'source', 'word_length', 'words']) AS feature, true AS counted, 1.0::DOUBLE AS total""")
 def feature_importance(t):
     out = m.train_and_rank(labelled(t), "quality", "classification", "doc_id", only=["Random Forest"], folds=None)
-    return out.select("model_name", F.explode("feature_importance").alias("f")).select("model_name", "f.feature", "f.importance")
+    total = F.aggregate("feature_importance", F.lit(0.0), lambda a, f: a + f["importance"])
+    return out.select("model_name", F.round(total, 6).alias("total"), F.explode("feature_importance").alias("f")).select(
+        "model_name", "f.feature", (F.col("f.importance") >= 0).alias("counted"), "total")
+
+
+@query("feature_importance_linear", """
+WITH o AS (SELECT o_custkey AS x, o_totalprice AS y, row_number() OVER (ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) AS r, count(*) OVER () AS n FROM orders),
+s AS (SELECT *, r <= round(n * CAST(least(0.2, greatest(0.1, 5.0 / n)) AS DOUBLE)) AS test FROM o)
+SELECT 'o_custkey' AS feature, round(abs(regr_slope(y, x)) * stddev_pop(x), 2) AS importance FROM s WHERE NOT test""")
+def feature_importance_linear(t):
+    """With one scaled feature the coefficient has a closed form."""
+    out = m.train_and_rank(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), "o_totalprice", "regression", "o_orderkey", only=["Linear Regression"], folds=None)
+    return out.select(F.explode("feature_importance").alias("f")).select("f.feature", F.round("f.importance", 2).alias("importance"))
+
+
+@query("train_gbt_cls", result_sql(("Gradient Boosting", 5)))
+def train_gbt_cls(t):
+    return result(m.train_and_rank(labelled(t), "quality", "classification", "doc_id", only=["Gradient Boosting"], folds=None))
 
 
-@query("train_rank")
+@query("train_rank", result_sql(("Logistic Regression", 5), ("Random Forest", 5), ("Neural Network", 0), validated=True))
 def train_rank(t):
     names = ["Logistic Regression", "Random Forest", "Neural Network"]
     return result(m.train_and_rank(labelled(t), "quality", "classification", "doc_id", only=names, folds=2))
 
 
-@query("train_rank_regression")
+@query("train_rank_regression", result_sql(("Linear Regression", 2), ("Random Forest", 2), metrics=NUMBER_METRICS, validated=True))
 def train_rank_regression(t):
     table = t.part.drop("p_name", "p_brand")
     return result(m.train_and_rank(table, "p_retailprice", "regression", "p_partkey", only=["Linear Regression", "Random Forest"], folds=2, tuned=True))

@@ -247,3 +247,11 @@ SELECT 4, 'Min c_custkey', min(c_custkey)::DOUBLE FROM customer UNION ALL SELECT
 SELECT 6, 'Data Completeness', (count(c_custkey) + count(c_name) + count(c_nationkey) + count(c_acctbal) + count(c_mktsegment)) * 100.0::DOUBLE / (count(*) * 5) FROM customer)""")
 def kpi_cards(t):
     return r(Profile(t.customer).kpi_cards().drop("value"), "number")
+
+
+@query("top_texts", """
+WITH c AS (SELECT text AS value, count(*) AS cnt FROM documents GROUP BY 1)
+SELECT CAST(row_number() OVER (ORDER BY cnt DESC, value) AS INTEGER) AS rank, md5(value) AS digest, cnt FROM c ORDER BY cnt DESC, value LIMIT 40""")
+def top_texts(t):
+    """Whole texts, most of them tied: the smallest come first."""
+    return p.top_values(t.documents, ["text"], 40).select("rank", F.md5(F.col("value").cast("binary")).alias("digest"), "cnt")

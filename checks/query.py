@@ -201,3 +201,12 @@ SELECT o_custkey, count(DISTINCT o_orderkey) AS total,
 count(DISTINCT o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS matching FROM orders GROUP BY o_custkey""")
 def agg_filter(t):
     return q.count_distinct_where(t.orders, ["o_custkey"], "o_orderkey", F.col("o_orderstatus") == "F")
+
+
+@query("agg_median_nan", """
+SELECT l_returnflag, median(v) AS median_v, count(v) + count(*) FILTER (WHERE l_linenumber = 1) AS count_v FROM (
+SELECT l_returnflag, l_linenumber, CASE WHEN l_linenumber <> 1 THEN l_extendedprice END AS v FROM lineitem) GROUP BY 1""")
+def agg_median_nan(t):
+    """NaN is no value for a median, in small and large inputs alike; it is one for a count."""
+    odd = t.lineitem.withColumn("v", F.expr("if(l_linenumber = 1, double('NaN'), l_extendedprice)"))
+    return run(odd, {"groupby": ["l_returnflag"], "aggregations": [{"column": "v", "function": "median"}, {"column": "v", "function": "count"}]})

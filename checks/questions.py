@@ -87,9 +87,9 @@ ADVICE = " OR ".join(f"contains(lower(question), '{w}')" for w in nl.ADVICE_WORD
 
 
 @query("nl_summary", f"""
-WITH o AS (SELECT 'This dataset contains **' || count(*) || ' rows** and **5 columns**.' || E'\\n\\nCategorical columns: c_name, c_mktsegment.\\n\\nNumeric columns: c_custkey, c_nationkey, c_acctbal.\\n\\n'
-|| 'For example, **c_custkey** ranges from ' || min(c_custkey)::DOUBLE || ' to ' || max(c_custkey)::DOUBLE || ' (avg: ' || printf('%.2f', avg(c_custkey)) || ').' AS known FROM customer)
-SELECT conv_id, turn, {INTENT} AS intent, CASE WHEN {CONV} THEN known || E'\\n\\n' || CASE WHEN {ADVICE} THEN E'**Recommendations:**\\n{nl.ALL_WELL}' ELSE '{nl.EXAMPLES}' END ELSE '{nl.FOUND}' END AS text_response FROM {ASKED}, o""")
+WITH o AS (SELECT 'The table has **' || count(*) || ' rows** and **5 columns**.' || E'\\n\\nCategorical columns: c_name, c_mktsegment.\\n\\nNumeric columns: c_custkey, c_nationkey, c_acctbal.\\n\\n'
+|| '**c_custkey** lies between ' || min(c_custkey)::DOUBLE || ' and ' || max(c_custkey)::DOUBLE || ', on average ' || printf('%.2f', avg(c_custkey)) || '.' AS known FROM customer)
+SELECT conv_id, turn, {INTENT} AS intent, CASE WHEN {CONV} THEN known || E'\\n\\n' || CASE WHEN {ADVICE} THEN E'**What to do:**\\n{nl.ALL_WELL}' ELSE '{nl.EXAMPLES}' END ELSE '{nl.FOUND}' END AS text_response FROM {ASKED}, o""")
 def nl_summary(t):
     return nl.answer_conversation(asked(t), t.customer).select("conv_id", "turn", "intent", "text_response")
 

@@ -14,6 +14,24 @@ def src_csv(t):
     return f.read_csv(t.spark, path)
 
 
+@query("src_csv_encodings", """
+SELECT enc, CAST(doc_id AS INTEGER) AS doc_id, source, replace(substr(text, 1, 60), chr(10), ' ') AS text FROM documents, (VALUES ('utf8'), ('bom'), ('latin')) e(enc) WHERE lang = 'fr'""")
+def src_csv_encodings(t):
+    """UTF-8, UTF-8 with a mark at the start, and one byte a character."""
+    rows = t.documents.where("lang = 'fr'").select("doc_id", "source", F.replace(F.substring("text", 1, 60), F.lit("\n"), F.lit(" ")).alias("text"))
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), "source", F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"')))
+    out = None
+    for name, encoding, mark in (("utf8", "UTF-8", ""), ("bom", "UTF-8", "\ufeff"), ("latin", "ISO-8859-1", "")):
+        path = scratch_path(t.spark, name)
+        head = t.spark.range(1).select(F.lit(mark + "doc_id,source,text").alias("line"), F.lit(0).alias("o"))
+        body = rows.select(line.alias("line"), F.lit(1).alias("o"))
+        # One file, its header first: an upload is one file. Its rows are cells of 60 characters.
+        (head.unionByName(body).coalesce(1).sortWithinPartitions("o").select("line").write.option("encoding", encoding).text(path))
+        found = f.read_csv(t.spark, path).select(F.lit(name).alias("enc"), F.col("doc_id").cast("int").alias("doc_id"), "source", "text")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("src_file", """
 SELECT 'csv' AS source, CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation
 UNION ALL SELECT 'json', n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT 'parquet', n_nationkey, n_name, n_regionkey FROM nation""")

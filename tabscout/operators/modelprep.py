@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabscout.functions.stats import guarded_corr
 from tabscout.functions.text import ref
-from tabscout.operators.profile import Profile, columns_of, number_cell, per_column, top_values
-from tabscout.plans.durable import LOOKUP_ROWS, durable, lookup
+from tabscout.operators.profile import Profile, clean, columns_of, number_cell, per_column, top_values, value_text
+from tabscout.plans.durable import BROADCAST_BYTES, LOOKUP_ROWS, durable, lookup
 from tabscout.plans.orderstats import dense_ids, md5_cutoffs, quantiles, tie_key
 
 # Column names that usually hold the target.
@@ -19,8 +19,6 @@ TARGET_NAMES = [
     "churn", "fraud", "default", "outcome", "result", "status", "rating", "score", "grade", "rank", "survived", "approved",
 ]
 TEXT_NULL = "None"
-# A code table is sent to every executor only when its text is no longer than this.
-BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 # -- choosing target and types from the column profile (one row per column and dataset) --
@@ -125,7 +123,9 @@ def fit_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
 
 
 def fill(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
-    return df.withColumns({c: F.coalesce(ref(c).cast("double") if isinstance(v, float) else ref(c), F.lit(v)) for c, v in values.items()}) if values else df
+    """Gaps replaced by a number, or by a text in the value's text form."""
+    kinds = {f.name: f for f in df.schema.fields}
+    return df.withColumns({c: F.coalesce(ref(c).cast("double") if isinstance(v, float) else value_text(kinds[c]), F.lit(v)) for c, v in values.items()}) if values else df
 
 
 def fit_fences(df: DataFrame, columns: Sequence[str], k: float = 3.0, most: float = 0.05) -> dict[str, tuple[float, float]]:
@@ -212,6 +212,11 @@ def add_interaction(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.withColumns({f"{a}_x_{b}": x * y, f"{a}_div_{b}": F.try_divide(x, y + F.lit(1e-10))})
 
 
+def variances(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(name, variance): the population variance of each column; null where there is none."""
+    return per_column(df, columns, number_cell, [F.var_pop("value").alias("variance")]).select(F.col("column").alias("name"), "variance")
+
+
 def varied(df: DataFrame, columns: Sequence[str], threshold: float | None = 0.01) -> list[str]:
     """Columns whose population variance exceeds ``threshold``; with None, whose variance is not zero."""
     if not columns:
@@ -287,7 +292,7 @@ class FittedPrep:
     scales: dict[str, tuple[float, float]] = field(default_factory=dict)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = fill(df.drop(*self.dropped), self.fills)
+        out = fill(clean(df).drop(*self.dropped), self.fills)
         out = clip(out, fit_fences(out, _features(out, self.target)))  # fences follow the table at hand
         out = _engineer(_encode_all(out, self.codes), self)
         return scale(out.select(*[ref(c) for c in self.kept], *[ref(self.target)] if self.target in out.columns else []), self.scales)
@@ -313,6 +318,7 @@ def fit_prep(df: DataFrame, target: str, problem_type: str | None = None) -> tup
 
     Datetime columns are left out of the features.
     """
+    df = clean(df)  # NaN and infinities are gaps here as in the profile
     profile = Profile(df)
     columns = profile.columns.withColumn("dataset_id", F.lit(""))
     if problem_type is None:
@@ -323,6 +329,8 @@ def fit_prep(df: DataFrame, target: str, problem_type: str | None = None) -> tup
     prep.dropped += [c for c in profile.datetime if c != target]
     gaps = {r["name"] for r in columns.where("missing_count > 0").collect()}
     texts = [c for c in columns_of(out, "categorical") if c != target]
+    # Other kinds become text before they are encoded, so a text may fill them.
+    out = out.withColumns({f.name: value_text(f) for f in out.schema.fields if f.name in texts and f.dataType.typeName() != "string"})
     prep.fills = {**fit_medians(out, [c for c in _features(out, target) if c in gaps]), **fit_modes(out, [c for c in texts if c in gaps])}
     out = fill(out, prep.fills)
     out = clip(out, fit_fences(out, _features(out, target)))
@@ -352,7 +360,7 @@ class TrainingData:
 
 def prepare(df: DataFrame, target: str, problem_type: str, key: str) -> TrainingData:
     """The live preparation: drop, encode, fill, split, scale; ``key`` orders the split and is no feature."""
-    out = drop_null_target(df, target)
+    out = drop_null_target(clean(df), target)
     if problem_type == "classification":
         sizes = out.groupBy(ref(target)).count().where("count >= 2").limit(2).count()
         if sizes < 2:

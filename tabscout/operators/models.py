@@ -215,12 +215,14 @@ def train_one(candidate: Candidate, data: TrainingData, key: str, folds: int | N
 
 
 RESULT = ("model_name string, model_type string, test_score double, cv_score double, training_time double, "
-          "feature_importance array<struct<feature: string, importance: double>>, metrics map<string, double>")
+          "feature_importance array<struct<feature: string, importance: double>>, metrics map<string, double>, error string")
+FIELDS = ("model_name", "model_type", "test_score", "cv_score", "training_time", "feature_importance", "metrics", "error")
+ERROR_LENGTH = 500
 
 
 def train_and_rank(df: DataFrame, target: str, problem_type: str, key: str, only: Sequence[str] | None = None,
                    folds: int | None = -1, tuned: bool = False) -> DataFrame:
-    """Train every candidate, skip those that fail, rank by test score.
+    """Train every candidate and rank by test score; one that fails has a row with its error and no score.
 
     One row per model (a handful), with scores fit for storage and the best one flagged.
     ``folds`` -1 chooses the number of folds from the data, None skips cross-validation.
@@ -246,9 +248,10 @@ def train_and_rank(df: DataFrame, target: str, problem_type: str, key: str, only
             results.append(train_one(candidate, data, key, folds, fit_on))
         except Exception as error:
             log.warning("training %s failed: %s", candidate.name, error)
-    ranked = df.sparkSession.createDataFrame(results, RESULT)
-    best = max((r["test_score"] for r in results), default=None)
-    first = next((r["model_name"] for r in results if r["test_score"] == best), None)
-    return (ranked.withColumns({"test_score_stored": sanitize_score(F.col("test_score"), False), "cv_score_stored": sanitize_score(F.col("cv_score")),
-                                "is_best": F.col("model_name") == F.lit(first), "accuracy": F.round(F.col("test_score") * 100, 1)})
-            .orderBy(F.desc("test_score"), "model_name"))
+            results.append({"model_name": candidate.name, "model_type": problem_type, "error": str(error)[:ERROR_LENGTH]})
+    ranked = df.sparkSession.createDataFrame([{**dict.fromkeys(FIELDS), **r} for r in results], RESULT)
+    scored = [r for r in results if r.get("test_score") is not None]
+    first = min(scored, key=lambda r: (-r["test_score"], r["model_name"]), default={"model_name": None})["model_name"]
+    return (ranked.withColumns({"test_score_stored": F.when(F.col("error").isNull(), sanitize_score(F.col("test_score"), False)), "cv_score_stored": sanitize_score(F.col("cv_score")),
+                                "is_best": F.coalesce(F.col("model_name") == F.lit(first), F.lit(False)), "accuracy": F.round(F.col("test_score") * 100, 1)})
+            .orderBy(F.desc_nulls_last("test_score"), "model_name"))

@@ -7,6 +7,7 @@ Work is cut into blocks of bounded size, so no task depends on the size of a cla
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from tabscout.functions.text import ref
 from tabscout.plans.durable import durable, lookup
 from tabscout.plans.orderstats import md5_cutoffs, tie_key
 
-PIVOTS = 64
+PIVOTS, MOST_PIVOTS = 64, 2048
 BLOCK = 2048
 SEVERE_RATIO = 3
 NEIGHBOURS = 5
@@ -27,14 +28,16 @@ def _distances(x: np.ndarray, points: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in points], axis=1)
 
 
-def nearest(points: DataFrame, k: int, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+def nearest(points: DataFrame, k: int, pivots: int | None = None, block: int = BLOCK) -> DataFrame:
     """The ``k`` nearest other points of the same label, exactly.
 
     ``points`` has label, pid and vec, with distinct (label, pid) and distinct vectors
     per label. Returns label, pid, rank, other, distance, vec (of the other point).
     """
     points = points.select(F.col("label").cast("string").alias("label"), "pid", F.col("vec").cast("array<double>").alias("vec"))
-    chosen = points.orderBy(tie_key(F.col("pid")), "label").limit(pivots).collect()  # a fixed number of pivots
+    if pivots is None:  # more cells for more points, so that a cell stays small
+        pivots = min(MOST_PIVOTS, max(PIVOTS, math.isqrt(points.count())))
+    chosen = points.orderBy(tie_key(F.col("pid")), "label").limit(pivots).collect()  # MOST_PIVOTS at most
     if not chosen:
         return points.select("label", "pid", F.lit(0).alias("rank"), F.col("pid").alias("other"), F.lit(0.0).alias("distance"), "vec")
     centres = np.array([r["vec"] for r in chosen])
@@ -87,12 +90,15 @@ def nearest(points: DataFrame, k: int, pivots: int = PIVOTS, block: int = BLOCK)
     def search(asked: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(asked) and len(around):
+            around = around.sort_values("pid")  # so that a stable sort by distance breaks ties by id
             x, others, ids = np.stack(asked["vec"].to_numpy()), np.stack(around["vec"].to_numpy()), around["pid"].to_numpy()
-            for pid, row in zip(asked["pid"], x):
-                d = np.sqrt(((others - row) ** 2).sum(axis=1))
-                d[ids == pid] = np.inf
-                best = np.lexsort((ids, d))[:k]
-                found += [(asked["label"].iloc[0], pid, ids[j], d[j], others[j]) for j in best if np.isfinite(d[j])]
+            own, label = asked["pid"].to_numpy(), asked["label"].iloc[0]
+            step = max(1, (1 << 22) // others.size)
+            for a in range(0, len(x), step):
+                d = np.sqrt(((x[a : a + step, None, :] - others[None]) ** 2).sum(axis=2))
+                d[own[a : a + step, None] == ids[None]] = np.inf
+                best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                found += [(label, own[a + i], ids[j], d[i, j], others[j]) for i, row in enumerate(best) for j in row if np.isfinite(d[i, j])]
         return pd.DataFrame(found, columns=["label", "pid", "other", "distance", "vec"])
 
     at = ["label", "cell", "a", "b"]

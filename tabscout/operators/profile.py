@@ -4,18 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import cached_property, reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from tabscout.functions.stats import fence, kurtosis, percent, skewness, strength
 from tabscout.functions.text import ref
-from tabscout.plans.durable import durable
+from tabscout.plans.durable import durable, lookup
 from tabscout.plans.orderstats import quantiles
 
-# Columns (or pairs of them) turned into rows together; wider tables take several column-pruned passes.
+# Columns turned into rows together; wider tables take several column-pruned passes.
 COLUMNS_PER_PASS = 200
-PAIRS_PER_PASS = 300
 # Strings longer than this are compared by length and SHA-256 when rows are compared.
 DIGEST_FROM = 64
 
@@ -288,19 +286,19 @@ class Profile:
                                  amount.cast("double").alias("amount"), description.alias("description"))
         low = rule(self.quality.where("quality_score < 80"), F.lit(1), "data_quality", "high",
                    F.lit("Improve Data Quality"), F.col("quality_score"),
-                   F.format_string("Data quality score is %.1f%%. Consider handling missing values and duplicates.", "quality_score"))
+                   F.format_string("The quality score is %.1f%%; fill gaps and look at repeated rows.", "quality_score"))
         missing = rule(self.columns.where("missing_percentage > 30"), F.col("ord") + 1000, "missing_data", "high",
                        F.format_string("High Missing Values in '%s'", "name"), F.col("missing_percentage"),
-                       F.format_string("Column has %.1f%% missing values. Consider imputation or removal.", "missing_percentage"))
+                       F.format_string("%.1f%% of its rows are empty: fill them or leave the column out.", "missing_percentage"))
         beyond = self.outliers.agg(F.count(F.lit(1)).alias("k"), F.sum("outlier_count").alias("total")).where("k > 0")
         outliers = rule(beyond, F.lit(1_000_000), "outliers", "medium", F.lit("Outliers Detected"), F.col("total"),
-                        F.format_string("Found %d outliers across %d columns. Review for data entry errors.", "total", "k"))
+                        F.format_string("%d far values in %d columns may be mistakes.", "total", "k"))
         strong = self.correlations().where("strength = 'strong'").agg(F.count(F.lit(1)).alias("k")).where("k > 0")
         related = rule(strong, F.lit(1_000_001), "correlations", "medium", F.lit("Strong Correlations Found"), F.col("k"),
-                       F.format_string("Found %d strong correlations. Consider feature selection to avoid multicollinearity.", "k"))
+                       F.format_string("%d pairs of columns say almost the same; keep one of each.", "k"))
         few = self.df.agg(F.count(F.lit(1)).alias("k")).where("k < 100")
         small = rule(few, F.lit(1_000_002), "sample_size", "high", F.lit("Small Dataset"), F.col("k"),
-                     F.format_string("Only %d rows. ML models may not be reliable. Collect more data.", "k"))
+                     F.format_string("%d rows are few to train on.", "k"))
         return reduce(DataFrame.unionByName, [low, missing, outliers, related, small])
 
     def headline(self) -> dict[str, DataFrame]:
@@ -326,61 +324,89 @@ class Profile:
 
 
 def _compact_cells(fields) -> list[list[Column]]:
-    return [[F.lit(i).alias("__c"), *compact(value_text(f), "value")] for i, f in enumerate(fields)]
+    return [[F.lit(i).alias("__c"), *compact(value_text(f), "value"), F.substring(value_text(f).cast("string"), 1, DIGEST_FROM).alias("head")] for i, f in enumerate(fields)]
 
 
 def compact_frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(__c, value_size, value, cnt): one row per distinct value; long texts as their digest."""
+    """(__c, value_size, value, head, cnt): one row per distinct value; long texts as their digest and first characters."""
     fields = [df.schema[c] for c in columns]
     cells = F.array(*[F.struct(*cell) for cell in _compact_cells(fields)])
     return (df.select(F.inline(cells)).where("value is not null")
-            .groupBy("__c", "value_size", "value").agg(F.count(F.lit(1)).alias("cnt")))
+            .groupBy("__c", "value_size", "value", "head").agg(F.count(F.lit(1)).alias("cnt")))
 
 
 def rank_frequencies(freq: DataFrame, k: int) -> DataFrame:
-    """The ``k`` most frequent values per column, ties in order of the (compact) value."""
-    best = W.partitionBy("__c").orderBy(F.desc("cnt"), "value", "value_size")
-    # The rank filter lets each task keep only k rows per column before the shuffle.
-    return freq.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    """What may be among the ``k`` most frequent values per column: values that tie in their first characters all stay."""
+    best = W.partitionBy("__c").orderBy(F.desc("cnt"), "head")
+    # The rank filter lets each task keep only these rows per column before the shuffle.
+    return freq.withColumn("rank", F.rank().over(best)).where(F.col("rank") <= k)
 
 
 def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
     """column, rank, value, cnt, percentage of the ``k`` most frequent non-null values per column.
 
-    Long texts are counted by digest; only the texts that win are read back whole.
+    Ties go to the smallest value. Long texts are counted by digest and compared by their
+    first characters; only those that may win are read back whole and compared as they are.
     """
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, rank int, value string, cnt long, percentage double")
     freq = compact_frequencies(df, columns)
     totals = freq.groupBy("__c").agg(F.sum("cnt").alias("total"))
-    top = durable(rank_frequencies(freq, k).join(totals, "__c"))  # k rows per column
+    top = durable(rank_frequencies(freq, k))
     name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("__c") + 1).alias("column")
     digests = top.where(F.col("value_size") > DIGEST_FROM).select("__c", "value_size", "value")
     text = F.col("value")
     if not digests.isEmpty():
+        # Usually k rows a column or fewer; more where many long texts begin alike, so the size is checked.
         fields = [df.schema[c] for c in columns]
-        cells = F.array(*[F.struct(*cell, value_text(f).alias("text")) for cell, f in zip(_compact_cells(fields), fields)])
-        found = (df.select(F.inline(cells)).join(F.broadcast(digests), ["__c", "value_size", "value"])
+        cells = F.array(*[F.struct(*cell[:3], value_text(f).cast("string").alias("text")) for cell, f in zip(_compact_cells(fields), fields)])
+        found = (df.select(F.inline(cells)).where(F.col("value_size") > DIGEST_FROM).join(lookup(digests), ["__c", "value_size", "value"])
                  .groupBy("__c", "value_size", "value").agg(F.min("text").alias("text")))
         top = top.join(found, ["__c", "value_size", "value"], "left")
         text = F.coalesce("text", "value")
-    return top.select(name, "rank", text.alias("value"), "cnt", percent("cnt", "total").alias("percentage"))
+    ordered = W.partitionBy("__c").orderBy(F.desc("cnt"), "text")
+    best = (top.select("__c", text.alias("text"), "cnt").withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k).join(totals, "__c"))
+    return best.select(name, "rank", F.col("text").alias("value"), "cnt", percent("cnt", "total").alias("percentage"))
+
+
+def _moments(columns: Sequence[str]):
+    """Per task: sums over the rows where both columns of a pair are present, from matrices of each Arrow batch."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        n = len(columns)
+        totals = np.zeros((6, n, n))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype("float64")
+            here = np.isfinite(x)
+            x, m = np.where(here, x, 0.0), here.astype("float64")
+            sums = x.T @ m  # of the first column, where the second is there
+            squares = (x * x).T @ m
+            totals += np.stack([m.T @ m, sums, sums.T, squares, squares.T, x.T @ x])
+        i, j = np.triu_indices(n, 1)
+        parts = [pa.array(i.astype("int32")), pa.array(j.astype("int32")), *[pa.array(t[i, j]) for t in totals]]
+        yield pa.RecordBatch.from_arrays(parts, names=["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+    return run
 
 
 def pair_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame | None:
-    """Pearson of every pair, over the rows where both are present."""
-    pairs = list(combinations(columns, 2))
-    if not pairs:
+    """Pearson of every pair, over the rows where both are present, in one scan for all pairs.
+
+    Values are centred by their column's mean first, so that sums of squares keep their digits.
+    """
+    if len(columns) < 2:
         return None
-    passes = []
-    x, y = F.col("x"), F.col("y")
-    r = F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start:start + PAIRS_PER_PASS]
-        cells = F.array(*[F.struct(F.lit(i).alias("i"), ref(a).cast("double").alias("x"), ref(b).cast("double").alias("y"))
-                          for i, (a, b) in enumerate(chunk)])
-        found = df.select(F.inline(cells)).where("x is not null and y is not null").groupBy("i").agg(r.alias("correlation"))
-        named = F.element_at(F.array(*[F.struct(F.lit(a).alias("column1"), F.lit(b).alias("column2")) for a, b in chunk]), F.col("i") + 1)
-        passes.append(found.select((F.col("i") + start).alias("ord"), named.alias("p"), "correlation")
-                      .select("ord", "p.column1", "p.column2", "correlation"))
-    return reduce(DataFrame.unionByName, passes).where("correlation is not null")
+    numbers = [ref(c).cast("double") for c in columns]
+    means = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(numbers)]).first()
+    centred = df.select(*[(v - F.lit(float(means[i] or 0.0))).alias(f"v{i}") for i, v in enumerate(numbers)])
+    sums = (centred.mapInArrow(_moments(columns), "i int, j int, n double, x double, y double, xx double, yy double, xy double")
+            .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")]))
+    # What is left of a constant column's squares is rounding.
+    spread = [F.when(F.col(s) - F.col(t) * F.col(t) / F.col("n") > F.col(s) * 1e-13, F.col(s) - F.col(t) * F.col(t) / F.col("n")) for s, t in (("xx", "x"), ("yy", "y"))]
+    r = (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.sqrt(spread[0] * spread[1])
+    names = F.array(*[F.lit(c) for c in columns])
+    k = len(columns)
+    ord_ = F.col("i") * (2 * k - F.col("i") - 1) / 2 + F.col("j") - F.col("i") - 1
+    return (sums.where("n > 0").select(ord_.cast("int").alias("ord"), F.element_at(names, F.col("i") + 1).alias("column1"),
+                                       F.element_at(names, F.col("j") + 1).alias("column2"), r.alias("correlation")).where("correlation is not null"))

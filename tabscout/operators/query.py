@@ -27,9 +27,14 @@ COMPARISONS = {
     "between": lambda c, v: c.between(v[0], v[1]),
 }
 
+def _median(column: Column) -> Column:
+    """NaN is no value for an order statistic, whatever the input's size."""
+    return F.median(F.when(~F.isnan(column.cast("double")), column))
+
+
 AGGREGATES = {
     "sum": F.sum, "mean": F.avg, "count": F.count,
-    "min": F.min, "max": F.max, "median": F.median,
+    "min": F.min, "max": F.max, "median": _median,
 }
 
 

@@ -13,6 +13,7 @@ from tabscout.functions.text import contains_any, ref
 from tabscout.operators.chartdata import suggest_for_result
 from tabscout.operators.profile import column_class, per_column
 from tabscout.operators.query import MAX_ROWS, run
+from tabscout.plans.durable import durable
 
 # Phrases that mark a conversational question.
 TRIGGERS = [
@@ -31,12 +32,13 @@ PATTERNS = {
     "sum": r"\bsum\b|\btotal\b",
     "show": r"\bshow\b|\blist\b|\bdisplay\b|\bgive\b|\bget\b",
 }
+# Fixed value: how a question names a number of rows.
 LIMIT = r"(?:top|first|last|bottom|show|list)\s+(\d+)"
 PREVIEW_ROWS = 50
 
-EXAMPLES = 'You can ask me things like: *"top 10 sales by region"*, *"average profit by category"*, or *"show rows where discount > 0.3"*.'
-ALL_WELL = "• No major data quality issues detected. Consider normalizing numeric columns before ML modelling."
-FOUND = "Here is the data matching your query."
+EXAMPLES = 'Try, for example: *"average price by flag"*, *"top 5 quantity"* or *"how many rows per status"*.'
+ALL_WELL = "• No column has many gaps. Scale the numbers before you train a model."
+FOUND = "These rows answer the question."
 
 
 def _strings(values: Sequence[str]) -> Column:
@@ -136,17 +138,17 @@ def overview(df: DataFrame) -> DataFrame:
                          [F.count(F.lit(1)).alias("n"), F.count_if("missing").alias("gaps")])
     gaps = missing.withColumn("share", percent("gaps", "n")).agg(
         F.max("n").alias("total_rows"), F.array_sort(F.collect_list(F.when(F.col("share") > 5, F.struct("column", "share")))).alias("gaps"))
-    tips = F.array_join(F.transform("gaps", lambda g: F.format_string("• **%s** has %.1f%% missing values — consider imputation or removal.", g["column"], g["share"])), "\n")
+    tips = F.array_join(F.transform("gaps", lambda g: F.format_string("• **%s**: %.1f%% of the rows are empty; fill or drop it.", g["column"], g["share"])), "\n")
     names = [f"{label}: {', '.join(of[kind][:k])}." for kind, label, k in
              (("categorical", "Categorical columns", 5), ("numeric", "Numeric columns", 5), ("datetime", "Date/time columns", 3)) if of[kind]]
-    text = [F.format_string("This dataset contains **%d rows** and **%d columns**.", "total_rows", F.lit(len(columns))), *[F.lit(n) for n in names]]
+    text = [F.format_string("The table has **%d rows** and **%d columns**.", "total_rows", F.lit(len(columns))), *[F.lit(n) for n in names]]
     rows = gaps
     if of["numeric"]:
         c = ref(of["numeric"][0]).cast("double")
         rows = gaps.withColumn("s", df.agg(F.struct(F.min(c).alias("lo"), F.max(c).alias("hi"), F.avg(c).alias("mean")).alias("s")).scalar())
-        text.append(F.format_string(f"For example, **{of['numeric'][0].replace('%', '%%')}** ranges from %s to %s (avg: %.2f).", "s.lo", "s.hi", "s.mean"))
+        text.append(F.format_string(f"**{of['numeric'][0].replace('%', '%%')}** lies between %s and %s, on average %.2f.", "s.lo", "s.hi", "s.mean"))
     return rows.select("total_rows", F.concat_ws("\n\n", *text).alias("overview"),
-                       F.concat(F.lit("**Recommendations:**\n"), F.when(F.size("gaps") == 0, ALL_WELL).otherwise(tips)).alias("tips"))
+                       F.concat(F.lit("**What to do:**\n"), F.when(F.size("gaps") == 0, ALL_WELL).otherwise(tips)).alias("tips"))
 
 
 def answer_conversation(questions: DataFrame, df: DataFrame) -> DataFrame:
@@ -168,7 +170,7 @@ def ask(df: DataFrame, question: str) -> dict:
     else:
         answer.update(text_response=FOUND, spec=to_spec(routed["query"]))
         try:
-            answer["result"] = run(df, answer["spec"])
+            answer["result"] = durable(run(df, answer["spec"]))  # 200 rows at most, read by the chart rule, the caller and the history
             answer["chart"] = suggest_for_result(answer["result"])
         except Exception as error:
             answer["error"] = str(error)

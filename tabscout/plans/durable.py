@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # A lookup table is sent to every executor only up to this many rows.
 LOOKUP_ROWS = 100_000
+# And up to this many bytes, written as text.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,10 +43,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def lookup(df: DataFrame, most: int | None = None) -> DataFrame:
-    """``df`` materialised and counted: broadcast when it is small, joined by shuffle when not.
+    """``df`` materialised and measured: broadcast when it is small, joined by shuffle when not.
 
-    The count is known before the join is planned, so the large side is not shuffled
+    Rows and bytes are known before the join is planned, so the large side is not shuffled
     first only to find that the small side fits.
     """
     kept = durable(df)
-    return F.broadcast(kept) if kept.count() <= (LOOKUP_ROWS if most is None else most) else kept
+    width = F.octet_length(F.to_json(F.struct("*")))
+    size = kept.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
+    small = size["n"] <= (LOOKUP_ROWS if most is None else most) and (size["b"] or 0) <= BROADCAST_BYTES
+    return F.broadcast(kept) if small else kept

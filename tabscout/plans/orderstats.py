@@ -2,9 +2,9 @@
 
 A value with rank r is found in three narrow steps: cut the value range into
 buckets, count rows per bucket (a small aggregate), then look only into the few
-buckets that hold a wanted rank. Bucket cuts come from a sample, but they only
-balance the work: counts and values always come from the whole data, so results
-are exact whatever the cuts are.
+buckets that hold a wanted rank. Bucket cuts come from a quantile sketch of the whole
+data, so every round leaves a known small share of the rows, sorted or not. They only
+balance the work: counts and values are exact whatever the cuts are.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ from tabscout.plans import sizing
 from tabscout.plans.durable import durable, lookup
 
 BUCKETS = 1024
-SAMPLE_ROWS = 50_000
 # Rows that one task may sort when the wanted buckets have been found.
 FINAL_ROWS = 2_000_000
 COLUMNS_PER_PASS = 16
-MD5_DIGITS = 4
+# Rows of a bucket of md5 order, about.
+MD5_BUCKET = 65_536
 
 
 def _and(conditions: Sequence[Column]) -> Column:
@@ -37,18 +37,14 @@ def same_keys(left: str, right: str, keys: Sequence[str]) -> list[Column]:
     return [F.col(f"{left}.`{k}`").eqNullSafe(F.col(f"{right}.`{k}`")) for k in keys]
 
 
-def cut_points(df: DataFrame, columns: Sequence[str], rows: int) -> dict[str, list[float]]:
-    """Split points per double column, taken from a bounded sample of its ``rows`` rows."""
-    sample = df.select(*_cols(columns))
-    if rows > SAMPLE_ROWS:
-        sample = sample.sample(fraction=SAMPLE_ROWS / rows, seed=7)
-    drawn = sample.limit(2 * SAMPLE_ROWS).toPandas()
+def cut_points(df: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]:
+    """Split points per double column, from a sketch of all its rows: no bucket holds more than about 2 / BUCKETS of them."""
+    shares = F.array(*[F.lit(i / BUCKETS) for i in range(BUCKETS + 1)])
+    row = df.agg(*[F.percentile_approx(f"`{c}`", shares, 2 * BUCKETS).alias(f"s{i}") for i, c in enumerate(columns)]).first()
     result = {}
-    for c in columns:
-        values = np.sort(drawn[c].to_numpy(dtype="float64", na_value=np.nan))
-        values = values[np.isfinite(values)]
-        picked = values[np.linspace(0, len(values) - 1, min(BUCKETS, len(values))).astype(int)] if len(values) else values
-        points, counts = np.unique(picked, return_counts=True)
+    for i, c in enumerate(columns):
+        values = np.array(row[i] or [], dtype="float64")
+        points, counts = np.unique(values[np.isfinite(values)], return_counts=True)
         # A value filling several cuts is hot: close its bucket right above it.
         hot = np.nextafter(points[counts > 1], np.inf)
         inner = np.union1d(points, hot).tolist() or [0.0]
@@ -149,7 +145,7 @@ def _narrowed_quantiles(data: DataFrame, columns, probs) -> DataFrame:
     for start in range(0, len(columns), COLUMNS_PER_PASS):
         chunk = [i for i in range(start, min(start + COLUMNS_PER_PASS, len(columns))) if counts[i]]
         wanted = {f"__v{i}": sorted({f((counts[i] - 1) * p) + 1 for p in probs for f in (math.floor, math.ceil)}) for i in chunk}
-        found = select_ranks(data.select(*wanted), wanted) if wanted else {}
+        found = select_ranks(data.select(*wanted), wanted, sizes=[counts[i] for i in chunk]) if wanted else {}
         for i in chunk:
             q = []
             for p in probs:
@@ -160,15 +156,18 @@ def _narrowed_quantiles(data: DataFrame, columns, probs) -> DataFrame:
     return data.sparkSession.createDataFrame(rows, "column string, n long, q array<double>")  # one row per column
 
 
-def select_ranks(data: DataFrame, wanted: dict[str, list[int]], final_rows: int | None = None) -> dict[tuple[str, int], tuple[float, int]]:
+def select_ranks(data: DataFrame, wanted: dict[str, list[int]], final_rows: int | None = None,
+                 sizes: Sequence[int] | None = None) -> dict[tuple[str, int], tuple[float, int]]:
     """(value, rows below it) at the 1-based ``wanted`` ranks of each double column; nulls are skipped.
 
     Each round counts the rows of every bucket and keeps the buckets that hold a rank as
     the columns of the next round, so the rows looked at shrink by the bucket count.
+    ``sizes``: the non-null rows of each column, where they are known.
     """
     columns = list(wanted)
     final_rows = FINAL_ROWS if final_rows is None else final_rows
-    sizes = data.agg(*[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    if sizes is None:
+        sizes = data.agg(*[F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(columns)]).first()
     if max(sizes) <= final_rows:
         cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in columns])
         freq = data.select(F.inline(cells)).where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
@@ -179,11 +178,11 @@ def select_ranks(data: DataFrame, wanted: dict[str, list[int]], final_rows: int
         hits = running.withColumn("rank", F.explode(F.filter(ask, lambda r: (r <= F.col("upto")) & (r > F.col("upto") - F.col("cnt")))))
         return {(h["column"], h["rank"]): (h["value"], h["below"])
                 for h in hits.select("column", "rank", "value", (F.col("upto") - F.col("cnt")).alias("below")).collect()}
-    cuts = cut_points(data, columns, max(sizes))
+    cuts = cut_points(data, columns)
     bucketed = with_buckets(data, cuts, "__b")
     cells = F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"`{c}__b`").cast("int").alias("b"), F.col(f"`{c}`").isNotNull().alias("ok")) for i, c in enumerate(columns)])
     counted = bucketed.select(F.inline(cells)).where("ok").groupBy("c", "b").agg(F.count(F.lit(1)).alias("n")).collect()  # columns x buckets
-    result, parts, asked = {}, {}, {}
+    result, parts, asked, held = {}, {}, {}, []
     for i, c in enumerate(columns):
         before = 0
         for b, n in sorted((r["b"], r["n"]) for r in counted if r["c"] == i):
@@ -195,11 +194,12 @@ def select_ranks(data: DataFrame, wanted: dict[str, list[int]], final_rows: int
                 name = f"p{len(parts)}"
                 parts[name] = F.when((F.col(f"`{c}`") >= low) & ((F.col(f"`{c}`") < high) | F.lit(high == math.inf)), F.col(f"`{c}`")).alias(name)
                 asked[name] = (c, before, inside)
+                held.append(n)
             before += n
     if parts:
         names = list(parts)
         deeper = data.select(*parts.values()).where(reduce(lambda a, b: a | b, [F.col(n).isNotNull() for n in names]))
-        found = select_ranks(deeper, {n: [r - asked[n][1] for r in asked[n][2]] for n in names}, final_rows)
+        found = select_ranks(deeper, {n: [r - asked[n][1] for r in asked[n][2]] for n in names}, final_rows, held)
         for (name, rank), (value, below) in found.items():
             c, before, _ = asked[name]
             result[c, rank + before] = (value, below + before)
@@ -223,7 +223,7 @@ def every_nth(df: DataFrame, order: str, key: str, points: int, columns: Sequenc
         x = F.unix_micros(x.cast("timestamp"))
     elif kind == "date":
         x = F.unix_date(x)
-    data = df.select(*_cols(columns), x.cast("double").alias("__x"), F.col(f"`{key}`").alias("__key")).where("__x is not null")
+    data = df.select(*_cols(columns), x.cast("double").alias("__x"), F.col(f"`{key}`").alias("__key")).where("__x is not null and not isnan(__x)")
     rows = data.count()
     if rows <= FINAL_ROWS:
         place = F.row_number().over(W.orderBy("__x", tie_key(F.col("__key")), "__key")) - 1  # few enough for one task
@@ -250,9 +250,11 @@ def md5_cutoffs(df: DataFrame, label: str, key: str, ranks: Column, per_label: D
     ``per_label``. md5 is uniform, so its first hex digits cut every label, however
     large, into even buckets, and only the buckets that hold a rank are sorted.
     """
-    rows = df.select(F.col(f"`{label}`").alias("label"), tie_key(F.col(f"`{key}`")).alias("__t"),
-                     F.col(f"`{key}`").alias("__k")).where("label is not null") \
-        .withColumn("bucket", F.substring("__t", 1, MD5_DIGITS))
+    labelled = df.where(F.col(f"`{label}`").isNotNull())
+    # So many hex digits that a bucket stays small even if one label has all rows.
+    digits = max(4, math.ceil(math.log(max(labelled.count(), 1) / MD5_BUCKET + 1, 16)))
+    rows = labelled.select(F.col(f"`{label}`").alias("label"), tie_key(F.col(f"`{key}`")).alias("__t"),
+                           F.col(f"`{key}`").alias("__k")).withColumn("bucket", F.substring("__t", 1, digits))
     counts = rows.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("size"))
     whole = W.partitionBy("label").orderBy("bucket")
     placed = counts.withColumns({
@@ -266,7 +268,7 @@ def md5_cutoffs(df: DataFrame, label: str, key: str, ranks: Column, per_label: D
         F.sequence(F.lit(1), F.size(ranks)).alias("i"), ranks.alias("rank"))))
         .where("pair.rank > upto - size and pair.rank <= upto")
         .select("label", "bucket", "n", "pair.i", *carried, (F.col("pair.rank") - F.col("upto") + F.col("size")).alias("local")))
-    targets = wanted.select("label", "bucket").distinct()
+    targets = lookup(wanted.select("label", "bucket").distinct())  # a bucket per label and rank: counted, so rows stay where they are
     # Rows with the same key are collapsed, so a key with very many copies is one row here.
     inside = rows.join(targets, ["label", "bucket"], "left_semi").groupBy("label", "bucket", "__t", "__k").agg(F.count(F.lit(1)).alias("cnt"))
     order = W.partitionBy("label", "bucket").orderBy("__t", "__k").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -275,6 +277,15 @@ def md5_cutoffs(df: DataFrame, label: str, key: str, ranks: Column, per_label: D
             .select("label", "n", "i", *carried, F.struct("__t", "__k").alias("cut")))
 
 
+def with_position(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
+    """Every row's place (from 1) in an order without ties; range partitions are sorted in parallel, offsets added."""
+    ranged = durable(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    offsets = sizes.select("__part", (F.sum("__size").over(W.orderBy("__part")) - F.col("__size")).alias("__before"))  # one row a part
+    local = F.row_number().over(W.partitionBy("__part").orderBy(*order))
+    return ranged.withColumn("__local", local).join(offsets, "__part").select(*_cols(df.columns), (F.col("__before") + F.col("__local")).cast("bigint").alias(name))
+
+
 def dense_ids(distinct: DataFrame, column: str) -> DataFrame:
     """0-based position of each value of ``column`` in sorted order.
 

@@ -60,7 +60,7 @@ def test_ask(employees, spark, folder):
     for _ in range(2):
         nl.append_history(nl.history_row(answer, spark, "u", "d"), folder + "/history")
     assert spark.read.parquet(folder + "/history").count() == 2
-    assert "missing values" in nl.ask(employees.withColumn("salary", F.when(F.col("id") > 1, F.col("salary"))), "suggest how to clean it")["text_response"]
+    assert "rows are empty" in nl.ask(employees.withColumn("salary", F.when(F.col("id") > 1, F.col("salary"))), "suggest how to clean it")["text_response"]
 
 
 def test_csv_encodings(spark, folder):

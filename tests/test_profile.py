@@ -87,7 +87,6 @@ def test_long_texts_come_back_whole(spark):
 
 def test_wide_table_takes_several_passes(spark, monkeypatch):
     monkeypatch.setattr(p, "COLUMNS_PER_PASS", 3)
-    monkeypatch.setattr(p, "PAIRS_PER_PASS", 4)
     df = spark.range(20).selectExpr(*[f"id * {i + 1} + pmod(xxhash64(id, {i}), 7) as c{i}" for i in range(8)])
     want = df.toPandas().corr()
     rows = p.pair_correlations(df, df.columns).collect()
