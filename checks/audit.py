@@ -31,8 +31,11 @@ rules("chk_range", ["lineitem", "customer"], lambda: [
 rules("chk_order", ["lineitem"], lambda: [a.after("lineitem", "l_extendedprice", "l_partkey")],
       row("lineitem.l_extendedprice > l_partkey", "order", "lineitem", "l_extendedprice <= l_partkey"))
 
+# Fixed value: the pattern of an e-mail address.
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}"
+
 rules("chk_regex", ["pages", "documents"], lambda: [
-    a.matches("pages", "url", r"^HTTPS://[a-z0-9.-]+/[a-z]{2}/[0-9]+"), a.matches("documents", "text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}")], union(
+    a.matches("pages", "url", r"^HTTPS://[a-z0-9.-]+/[a-z]{2}/[0-9]+"), a.matches("documents", "text", EMAIL, needs="@")], union(
     row("pages.url pattern", "regex", "pages", r"NOT regexp_matches(url, '^HTTPS://[a-z0-9.-]+/[a-z]{2}/[0-9]+', 'i')"),
     row("documents.text pattern", "regex", "documents", r"NOT regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}', 'i')")))
 

@@ -116,12 +116,22 @@ def chart_suggest_simple(t):
     return charts.suggest_simple(catalogue(t).columns)
 
 
-@query("analyze_dataset")
+@query("analyze_dataset", f"""{DIVERSE_SQL} SELECT dataset_id, rank, type, title, score, CAST(2 AS INTEGER) AS insights FROM ranked WHERE dataset_id = 'orders' AND rank <= 7""")
 def analyze_dataset(t):
-    return analyze(t.orders, "orders", key="o_orderkey").charts.select(
-        "dataset_id", "rank", "type", "title", "score", F.array_join("insights", " ").alias("insights"))
+    return analyze(t.orders, "orders", key="o_orderkey").charts.select("dataset_id", "rank", "type", "title", "score", F.size("insights").alias("insights"))
 
 
-@query("analyze_chart_data")
+#: Points behind each ranked chart of a table, by the chart type's own limit.
+POINTS_SQL = """points AS (SELECT rank, type, CAST(CASE WHEN type = 'histogram' THEN 20 WHEN type = 'scatter' THEN least(500, t.n)
+  WHEN type = 'line' THEN ceil(t.n / greatest(t.n // 100, 1)::DOUBLE) WHEN type = 'box' AND by_column IS NULL THEN 1
+  WHEN type = 'box' THEN least(10, unique_count) ELSE least(15, unique_count) END AS BIGINT) AS points
+  FROM ranked LEFT JOIN cols c ON c.dataset_id = ranked.dataset_id AND c.name = coalesce(ranked.categorical_column, ranked.by_column, ranked."column"),
+  (SELECT count(*) AS n FROM {table}) t WHERE ranked.dataset_id = '{table}' AND rank <= 7)"""
+
+
+@query("analyze_chart_data", f"{DIVERSE_SQL}, {POINTS_SQL.format(table='orders')} SELECT *, CAST(points AS INTEGER) AS last, true AS full FROM points")
 def analyze_chart_data(t):
-    return analyze(t.events, "events", key="event_id").chart_rows
+    """Every chart has all its points, in places without gaps, and no payload lacks its value."""
+    rows = analyze(t.orders, "orders", key="o_orderkey").chart_rows
+    return rows.groupBy("rank", "type").agg(F.count("*").alias("points"), F.max("place").alias("last"),
+                                            F.bool_and(F.col("payload").startswith("{") & ~F.col("payload").contains("NaN")).alias("full"))

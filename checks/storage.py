@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from checks.charts import DIVERSE_SQL, POINTS_SQL
 from checks.profile import columns_sql, r, topk_sql
 from checks.registry import query
 from tabscout.operators.analysis import analyze, report
@@ -121,7 +122,16 @@ def upload_cols(t):
     return r(out, "missing_percentage", "mean").withColumn("samples", F.array_join("sample_values", ",")).drop("sample_values")
 
 
-@query("report_bundle")
+@query("report_bundle", f"""{DIVERSE_SQL}, {POINTS_SQL.format(table='customer')},
+h AS (SELECT strftime(ts, '%Y-%m-%d %H:%M') || ' ' || props AS said, row_number() OVER (ORDER BY ts DESC, props) AS o FROM events)
+SELECT 'history' AS section, CAST(o AS INTEGER) AS ord, 1::BIGINT AS rows, said FROM h WHERE o <= 10
+UNION ALL SELECT 'chart_data', rank, points, NULL FROM points UNION ALL SELECT 'chart', rank, 1, title FROM ranked WHERE dataset_id = 'customer' AND rank <= 7
+UNION ALL SELECT 'insight', CAST(unnest(range(1, 6)) AS INTEGER), 1, NULL UNION ALL SELECT 'dataset', 1, 1, (SELECT count(*) FROM customer)::VARCHAR""")
 def report_bundle(t):
+    """Places of every section, titles of the charts, the last ten questions and the number of rows."""
     history = t.events.select("ts", F.col("props").alias("query_text"))
-    return report(analyze(t.customer, "customer", key="c_custkey"), "customer", history)
+    out = report(analyze(t.customer, "customer", key="c_custkey"), "customer", history)
+    field = lambda name: F.get_json_object("payload", f"$.{name}")
+    said = (F.when(F.col("section") == "history", F.concat_ws(" ", field("created_at"), field("query_text")))
+            .when(F.col("section") == "chart", field("title")).when(F.col("section") == "dataset", field("total_rows")))
+    return out.groupBy("section", F.col("ord").cast("int").alias("ord")).agg(F.count("*").alias("rows"), F.max(said).alias("said"))

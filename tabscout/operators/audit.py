@@ -60,8 +60,12 @@ def after(table: str, later: str, earlier: str) -> Check:
     return Check(table, "order", f"{table}.{later} > {earlier}", ref(later) <= ref(earlier))
 
 
-def matches(table: str, column: str, pattern: str) -> Check:
-    return Check(table, "regex", f"{table}.{column} pattern", ~ref(column).rlike("(?i)" + pattern))
+def matches(table: str, column: str, pattern: str, needs: str | None = None) -> Check:
+    """``needs`` is text that every match holds; values without it are not scanned by the pattern."""
+    found = ref(column).rlike("(?i)" + pattern)
+    if needs is not None:
+        found = F.when(ref(column).contains(needs), found).when(ref(column).isNotNull(), False)
+    return Check(table, "regex", f"{table}.{column} pattern", ~found)
 
 
 def not_null(table: str, column: str) -> Check:

@@ -139,13 +139,28 @@ def sanitize_score(score: Column, allow_null: bool = True) -> Column:
 
 # -- training --
 
-def cross_validate(candidate: Candidate, data: TrainingData, key: str, folds: int) -> float | None:
-    """Mean accuracy or R2 over stratified folds."""
+def _once(made: dict, name: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several models read, assembled and written once."""
+    if name not in made:
+        made[name] = durable(build())
+    return made[name]
+
+
+def _assembled(data: TrainingData, rows: DataFrame, weighted: bool, *extra: str) -> DataFrame:
+    rows = with_weights(rows, data.target) if weighted else rows
+    return assemble(rows, data.features, data.target, *extra, *(["weight"] if weighted else []))
+
+
+def _folded(data: TrainingData, key: str, folds: int, weighted: bool) -> DataFrame:
     grouped = data.problem_type == "classification"
     rows = data.train if grouped else data.train.withColumn("__all", F.lit(0))
-    rows = stratified_folds(rows, data.target if grouped else "__all", key, folds)
-    rows = with_weights(rows, data.target) if candidate.weighted else rows
-    folded = durable(assemble(rows, data.features, data.target, "fold", *(["weight"] if candidate.weighted else [])))
+    return _assembled(data, stratified_folds(rows, data.target if grouped else "__all", key, folds), weighted, "fold")
+
+
+def cross_validate(candidate: Candidate, data: TrainingData, key: str, folds: int, made: dict | None = None) -> float | None:
+    """Mean accuracy or R2 over stratified folds."""
+    grouped = data.problem_type == "classification"
+    folded = _once({} if made is None else made, ("folds", folds, candidate.weighted), lambda: _folded(data, key, folds, candidate.weighted))
     scores = []
     for i in range(folds):
         model = candidate.build().fit(folded.where(F.col("fold") != i))
@@ -183,12 +198,14 @@ def oversampled(data: TrainingData, key: str) -> DataFrame:
     return made.select(ref(key), ref(data.target), *[F.col("__vec")[i].alias(c) for i, c in enumerate(data.features)])
 
 
-def train_one(candidate: Candidate, data: TrainingData, key: str, folds: int | None, fit_on: DataFrame | None = None) -> dict:
-    """Fit on the training rows (or ``fit_on``), score on the test rows; ``folds`` None skips cross-validation."""
+def train_one(candidate: Candidate, data: TrainingData, key: str, folds: int | None, fit_on: DataFrame | None = None, made: dict | None = None) -> dict:
+    """Fit on the training rows (or ``fit_on``), score on the test rows; ``folds`` None skips cross-validation.
+
+    ``made`` keeps the assembled tables that several candidates share.
+    """
+    made = {} if made is None else made
     started = time.time()
-    rows = data.train if fit_on is None else fit_on
-    rows = with_weights(rows, data.target) if candidate.weighted else rows
-    train = durable(assemble(rows, data.features, data.target, *(["weight"] if candidate.weighted else [])))
+    train = _once(made, ("train", candidate.weighted), lambda: _assembled(data, data.train if fit_on is None else fit_on, candidate.weighted))
     model = candidate.build().fit(train)
     predicted = model.transform(assemble(data.test, data.features, data.target))
     if data.problem_type == "classification":
@@ -205,7 +222,7 @@ def train_one(candidate: Candidate, data: TrainingData, key: str, folds: int | N
     cv = None
     if folds:
         try:
-            cv = cross_validate(candidate, data, key, folds)
+            cv = cross_validate(candidate, data, key, folds, made)
         except Exception as error:
             log.warning("cross-validation of %s failed: %s", candidate.name, error)
             cv = score
@@ -240,12 +257,12 @@ def train_and_rank(df: DataFrame, target: str, problem_type: str, key: str, only
         chosen = regressors(rows, len(data.features), tuned)
     if folds == -1:
         folds = fold_count(data)
-    results = []
+    results, made = [], {}
     for candidate in chosen:
         if only and candidate.name not in only:
             continue
         try:
-            results.append(train_one(candidate, data, key, folds, fit_on))
+            results.append(train_one(candidate, data, key, folds, fit_on, made))
         except Exception as error:
             log.warning("training %s failed: %s", candidate.name, error)
             results.append({"model_name": candidate.name, "model_type": problem_type, "error": str(error)[:ERROR_LENGTH]})
