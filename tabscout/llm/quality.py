@@ -22,7 +22,7 @@ class Rules:
 
     least_words: int = 50
     most_repeat_words: int = 50  # percent of words in repeated windows of three
-    grams: tuple[tuple[int, float], ...] = ((2, 0.80), (3, 0.50), (5, 0.40), (8, 0.30))
+    grams: tuple[tuple[int, float], ...] = ((2, 0.80), (3, 0.60), (5, 0.55), (8, 0.50))
     most_line_chars: float = 0.40
     most_symbols: float = 0.25  # symbols a word
 
