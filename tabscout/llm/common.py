@@ -14,6 +14,8 @@ from tabscout.plans.durable import scratch_path, shared_dir
 NO_ID = -(2**63)
 #: Text bytes that a task holds as arrays at a time; one longer text is still taken whole.
 SLICE_BYTES = 2 << 20
+#: And rows of such a slice.
+SLICE_ROWS = 1000
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -60,7 +62,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tupl
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
         start, held = 0, 0
         for i, size in enumerate(sizes):
-            if i > start and held + size > SLICE_BYTES:
+            if i > start and (held + size > SLICE_BYTES or i - start >= SLICE_ROWS):
                 yield batch.slice(start, i - start), texts.slice(start, i - start).to_pylist()
                 start, held = i, 0
             held += size

@@ -8,8 +8,10 @@ on the full sets. Texts with equal sets are one class throughout, so copies cost
 Groups are linked without listing all their pairs. First every class of a bucket meets
 only the bucket's most connected class. Then, in buckets that still hold several
 components, the classes outside the largest meet those of other components, unless the
-number of shingles that they share with any class at all rules a link out. After that every
-pair of classes with a common bucket is confirmed, ruled out, or already connected.
+number of shingles that they share with any class at all rules a link out. Small buckets
+list such pairs; the classes of large ones, where pairs would be many, are compared in
+blocks of bounded size, which return links only. After that every pair of classes with a
+common bucket is confirmed, ruled out, or already connected.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -35,6 +38,8 @@ class Params:
     rows: int = 5
     mantissa: int = 10
     slack: float = 0.16  # an estimate may be so much too low: six standard deviations of 250 registers
+    listed: int = 32  # largest bucket whose pairs are listed
+    block: int = 512  # classes that a task compares with as many others
 
     @property
     def registers(self) -> int:
@@ -192,6 +197,54 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("c"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("c"), F.col("b").alias("root"))).distinct()
 
 
+def _compare(p: Params):
+    """Links between the classes outside a family's largest component and any others, one block of each."""
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        few, all_ = block[block["asks"]], block[~block["asks"]]
+        out: list[tuple[int, int]] = []
+        if len(few) and len(all_):
+            regs = np.frombuffer(b"".join(all_["regs"]), np.uint16).reshape(len(all_), -1)
+            c, root, n = all_["c"].to_numpy(), all_["root"].to_numpy(), all_["n"].to_numpy()
+            sets, ends = np.concatenate(all_["s"].to_list()), np.cumsum(n)
+            for own, own_root, own_n, own_regs, own_set in zip(few["c"], few["root"], few["n"], few["regs"], few["s"]):
+                likely = (root != own_root) & (100 * np.minimum(n, own_n) >= p.percent * np.maximum(n, own_n))
+                likely &= estimate(np.frombuffer(own_regs, np.uint16)[None], regs, p) >= p.percent / 100 - p.slack
+                if likely.any():
+                    mine = np.sort(own_set)
+                    at = np.minimum(np.searchsorted(mine, sets), len(mine) - 1)
+                    running = np.concatenate([[0], np.cumsum(mine[at] == sets)])
+                    shared = running[ends] - running[ends - n]
+                    hit = np.flatnonzero(likely & ((100 + p.percent) * shared >= p.percent * (n + own_n)))
+                    _, first = np.unique(root[hit], return_index=True)  # one link to a component is enough
+                    out += [(own, c[j]) for j in hit[first]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def family_links(able: DataFrame, classes: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """Links across components within families: classes that large buckets join, directly or by others.
+
+    ``able`` (b, c, root, ...) has the memberships of large buckets. Every class outside the
+    family's largest component is compared with every class of the other components, in
+    blocks of ``block`` classes by hash.
+    """
+    firsts = able.groupBy("b").agg(F.min("c").alias("first"))
+    joined = able.join(firsts, "b").where("c <> first").select(F.col("c").alias("a"), F.col("first").alias("b")).distinct()
+    family = components(joined).withColumnRenamed("root", "family")
+    member = stored(able.select("c", "root").distinct().join(family, "c"), "family")
+    main = member.groupBy("family", "root").count().groupBy("family").agg(F.max(F.struct("count", "root")).alias("m")).select("family", F.col("m.root").alias("main"))
+    sizes = (member.join(main, "family").groupBy("family", "main")
+             .agg(F.ceil(F.count("*") / p.block).cast("int").alias("parts"), F.ceil(F.count_if(F.col("root") != F.col("main")) / p.block).cast("int").alias("few_parts")))
+    rows = member.join(sizes, "family").where("few_parts > 0").join(classes.select("c", "n", "regs"), "c").join(sets, "c")
+    slot = lambda parts: F.pmod(F.xxhash64("c"), F.greatest(parts, F.lit(1))).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
+    fields = ["family", "i", "j", "c", "root", "n", "regs", "s"]
+    few = rows.where("root <> main").withColumn("i", slot(F.col("few_parts"))).withColumn("j", every(F.col("parts"))).select(F.lit(True).alias("asks"), *fields)
+    others = rows.withColumn("j", slot(F.col("parts"))).withColumn("i", every(F.col("few_parts"))).select(F.lit(False).alias("asks"), *fields)
+    return few.unionByName(others).groupBy("family", "i", "j").applyInPandas(_compare(p), "a bigint, b bigint")
+
+
 def link_classes(docs: DataFrame, p: Params = Params(), doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Signatures of every row of ``docs``, and (c, root) of the classes that link to others."""
     body = text_of(text)
@@ -218,7 +271,8 @@ def link_classes(docs: DataFrame, p: Params = Params(), doc: str = "doc_id", tex
     sized = own.select("c", F.size("s").alias("n")).join(alone, "c", "left").select("c", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("v"))
     able = stored(open_.join(sized.where(100 * F.col("v") >= p.percent * F.col("n")), "c"), "able")
     main = able.groupBy("b", "root").count().groupBy("b").agg(F.max(F.struct("count", "root")).alias("main")).select("b", "main.root")
-    few = able.join(main.withColumnRenamed("root", "main"), "b")
+    held = able.groupBy("b").agg(F.count("*").alias("size"))
+    few = able.join(main.withColumnRenamed("root", "main"), "b").join(held.where(F.col("size") <= p.listed).select("b"), "b", "left_semi")
     x = few.where("root <> main").select("b", *[F.col(c).alias(f"x_{c}") for c in ("c", "root", "n", "v")])
     y = few.select("b", *[F.col(c).alias(f"y_{c}") for c in ("c", "root", "n", "v", "main")])
     possible = (100 + p.percent) * F.least("x_v", "y_v") >= p.percent * (F.col("x_n") + F.col("y_n"))
@@ -226,7 +280,9 @@ def link_classes(docs: DataFrame, p: Params = Params(), doc: str = "doc_id", tex
     rest = (x.join(y, "b").where((F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("y_main")) | (F.col("x_c") < F.col("y_c"))) & possible)
             .select(F.least("x_c", "y_c").alias("a"), F.greatest("x_c", "y_c").alias("b")).distinct())
     new = confirmed(rest, classes, sets, p)
-    return signed, components(stored(links.unionByName(new), "links"))
+    wide = able.join(held.where(F.col("size") > p.listed).select("b"), "b", "left_semi")
+    more = family_links(wide, classes, sets, p)
+    return signed, components(stored(links.unionByName(new).unionByName(more), "links"))
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params(), doc: str = "doc_id", text: str = "text") -> DataFrame:
