@@ -10,6 +10,8 @@ from checks.compare import compare, connect
 SF_DIR = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
 #: Keys whose right answer has no rows.
 EMPTY = {"dsl_in_empty"}
+if SF_DIR.endswith("sf0.001"):  # too few rows for these to find any
+    EMPTY |= {"dsl_cast", "list_dataset_by_id"}
 
 
 @pytest.fixture(scope="module")
