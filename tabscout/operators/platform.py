@@ -33,16 +33,21 @@ class Child:
 
 def entity_summary(entities: DataFrame, owners: DataFrame, key: str, owner: str, owner_key: str, children: Sequence[Child],
                    lookup: tuple[DataFrame, str, str] | None = None) -> DataFrame:
-    """Each owned entity with its owner, an optional lookup row and distinct child counts."""
-    out = entities.join(owners, ref(owner) == ref(owner_key))
+    """Each owned entity with its owner, an optional lookup row and distinct child counts.
+
+    Children are joined first: they are counted by the entity's key, so one exchange of the
+    entities serves them all.
+    """
+    out, added = entities, []
+    for child in children:
+        out = out.join(child.counted(), ref(key) == F.col("__parent"), "left").drop("__parent") \
+            .withColumn(child.name, F.coalesce(ref(child.name), F.lit(0).cast("bigint")))
+        added += [child.name, *([f"best_{child.best}"] if child.best else [])]
+    out = out.join(owners, ref(owner) == ref(owner_key))
     if lookup:
         table, left, right = lookup
         out = out.join(table, ref(left) == ref(right), "left")
-    for child in children:
-        counted = child.counted()
-        out = out.join(counted, ref(key) == F.col("__parent"), "left").drop("__parent") \
-            .withColumn(child.name, F.coalesce(ref(child.name), F.lit(0).cast("bigint")))
-    return out
+    return out.select(*[ref(c) for c in out.columns if c not in added], *[ref(c) for c in added])
 
 
 def owner_stats(owners: DataFrame, entities: DataFrame, exports: DataFrame, history: DataFrame, *, owner_key: str, owner: str, key: str,
