@@ -272,7 +272,8 @@ def link_classes(docs: DataFrame, p: Params = Params(), doc: str = "doc_id", tex
     able = stored(open_.join(sized.where(100 * F.col("v") >= p.percent * F.col("n")), "c"), "able")
     main = able.groupBy("b", "root").count().groupBy("b").agg(F.max(F.struct("count", "root")).alias("main")).select("b", "main.root")
     held = able.groupBy("b").agg(F.count("*").alias("size"))
-    few = able.join(main.withColumnRenamed("root", "main"), "b").join(held.where(F.col("size") <= p.listed).select("b"), "b", "left_semi")
+    listed = able.join(held.where(F.col("size") <= p.listed).select("b"), "b", "left_semi")
+    few = stored(listed.join(main.withColumnRenamed("root", "main"), "b"), "listed")  # both sides of the join below
     x = few.where("root <> main").select("b", *[F.col(c).alias(f"x_{c}") for c in ("c", "root", "n", "v")])
     y = few.select("b", *[F.col(c).alias(f"y_{c}") for c in ("c", "root", "n", "v", "main")])
     possible = (100 + p.percent) * F.least("x_v", "y_v") >= p.percent * (F.col("x_n") + F.col("y_n"))
@@ -280,7 +281,7 @@ def link_classes(docs: DataFrame, p: Params = Params(), doc: str = "doc_id", tex
     rest = (x.join(y, "b").where((F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("y_main")) | (F.col("x_c") < F.col("y_c"))) & possible)
             .select(F.least("x_c", "y_c").alias("a"), F.greatest("x_c", "y_c").alias("b")).distinct())
     new = confirmed(rest, classes, sets, p)
-    wide = able.join(held.where(F.col("size") > p.listed).select("b"), "b", "left_semi")
+    wide = stored(able.join(held.where(F.col("size") > p.listed).select("b"), "b", "left_semi"), "wide")  # read three times
     more = family_links(wide, classes, sets, p)
     return signed, components(stored(links.unionByName(new).unionByName(more), "links"))
 
