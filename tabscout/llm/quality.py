@@ -18,20 +18,32 @@ SYMBOLS = b"#*$%&|<>"
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds. ``grams`` maps an n-gram length to the largest share of characters in repeated ones."""
+    """Thresholds. ``grams`` maps an n-gram length to the largest share of characters in later copies of repeated ones.
+
+    Two copies that the base rule just passes hold half of the words, one of them later: all limits
+    but that of two words, which the base rule does not see, lie below a quarter, and fall with the length.
+    """
 
     least_words: int = 50
     most_repeat_words: int = 50  # percent of words in repeated windows of three
-    grams: tuple[tuple[int, float], ...] = ((2, 0.80), (3, 0.60), (5, 0.55), (8, 0.50))
-    most_line_chars: float = 0.40
+    grams: tuple[tuple[int, float], ...] = ((2, 0.30), (3, 0.20), (5, 0.15), (8, 0.12))
+    most_line_chars: float = 0.20  # in later copies
     most_symbols: float = 0.25  # symbols a word
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def covered(first: np.ndarray, length: int, words: int) -> np.ndarray:
+    """Which of so many words lie in a run of ``length`` words from one of ``first``."""
+    cover = np.zeros(words + 1, np.int32)
+    np.add.at(cover, first, 1)
+    np.add.at(cover, first + length, -1)
+    return np.cumsum(cover)[:-1] > 0
+
+
 def measure(texts: list[bytes | None], lengths: tuple[int, ...]) -> dict[str, np.ndarray]:
-    """Counts of each text, and the share of its word characters in repeated n-grams (``gram_n``) and lines (``lines``)."""
+    """Counts of each text, and the share of its word characters in repeated n-grams (``gram_n``), in their later copies (``later_n``) and in later copies of lines (``lines``)."""
     w = Words.of(texts)
     n = len(texts)
     chars = w.chars()
@@ -46,12 +58,10 @@ def measure(texts: list[bytes | None], lengths: tuple[int, ...]) -> dict[str, np
     safe = np.maximum(word_chars, 1)
     for length in sorted({3, *lengths}):
         keys, at = w.grams(length)
-        hit = at[repeated(mixed(keys + w.doc[at].astype(U) * U(0xD6E8FEB86659FD93)))]
-        cover = np.zeros(len(w.hashes) + 1, np.int32)
-        np.add.at(cover, hit, 1)
-        np.add.at(cover, hit + length, -1)
-        inside = np.cumsum(cover)[:-1] > 0
+        own = mixed(keys + w.doc[at].astype(U) * U(0xD6E8FEB86659FD93))
+        inside = covered(at[repeated(own)], length, len(w.hashes))
         out[f"gram_{length}"] = per_doc(size * inside, w.doc) / safe
+        out[f"later_{length}"] = per_doc(size * covered(at[later(own)], length, len(w.hashes)), w.doc) / safe
         if length == 3:
             out["n_repeat_words"] = per_doc(inside, w.doc).astype(np.int64)
     # A line runs from one break to the next; only those with a word count.
@@ -79,18 +89,18 @@ def judge(found: dict[str, np.ndarray], rules: Rules) -> tuple[np.ndarray, np.nd
     failed = (words < rules.least_words) | (100 * found["n_repeat_words"] > rules.most_repeat_words * words)
     bad = failed | (found["lines"] > rules.most_line_chars) | (found["n_symbols"] > rules.most_symbols * words)
     for length, most in rules.grams:
-        bad |= found[f"gram_{length}"] > most
+        bad |= found[f"later_{length}"] > most
     return failed, ~bad
 
 
 def quality(docs: DataFrame, rules: Rules = Rules(), text: str = "text", into: str = "quality") -> DataFrame:
-    """``docs`` with a struct ``into``: counts, coverage by n-gram length and of repeated lines, ``base_failed`` and ``kept``.
+    """``docs`` with a struct ``into``: counts, coverage by n-gram length, of later copies alone and of repeated lines, ``base_failed`` and ``kept``.
 
     Null and empty texts have no words and fail. Every row is judged by its own whole text, so
     repeated rows agree. An input column called ``into`` is replaced. An empty table gives no rows.
     """
     lengths = tuple(n for n, _ in rules.grams)
-    shares = [f"gram_{n}" for n in sorted({3, *lengths})] + ["lines"]
+    shares = [f"{kind}_{n}" for kind in ("gram", "later") for n in sorted({3, *lengths})] + ["lines"]
     fields = [*[pa.field(c, pa.int64()) for c in COUNTS], *[pa.field(c, pa.float64()) for c in shares], pa.field("base_failed", pa.bool_()), pa.field("kept", pa.bool_())]
     ddl = ", ".join([*[f"{c}: bigint" for c in COUNTS], *[f"{c}: double" for c in shares], "base_failed: boolean", "kept: boolean"])
 
