@@ -31,6 +31,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+#: Bytes of a word that is still taken whole where characters are taken apart.
+LONG = 64
+
+
+def _unspaced(a: np.ndarray) -> np.ndarray:
+    """Which bytes belong to characters of Thai, Lao, Myanmar, Khmer, Chinese or Japanese script or full-width marks."""
+    one, two = a[:-1], a[1:]
+    three = ((one == 0xE0) & (two >= 0xB8) & (two <= 0xBB) | (one == 0xE1) & ((two >= 0x80) & (two <= 0x82) | (two == 0x9E) | (two == 0x9F))
+             | (one == 0xE2) & (two >= 0xBA) | (one >= 0xE3) & (one <= 0xE9) | (one == 0xEF) & ((two >= 0xA4) & (two <= 0xAB) | (two >= 0xBC)))
+    out = np.zeros(len(a) + 3, bool)
+    first = np.flatnonzero(three)
+    astral = np.flatnonzero((one == 0xF0) & (two >= 0xA0))
+    for i in range(4):
+        out[astral + i] = True
+        if i < 3:
+            out[first + i] = True
+    return out[: len(a)]
+
+
 @dataclass
 class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of several texts, in order."""
@@ -44,7 +63,8 @@ class Words:
     text_start: np.ndarray  # of each text, and the end: its first byte
 
     @classmethod
-    def of(cls, texts: list[bytes | None], lower: bool = False) -> Words:
+    def of(cls, texts: list[bytes | None], lower: bool = False, apart: bool = False) -> Words:
+        """``apart``: characters of scripts without blanks, and those of words of over LONG bytes, are words of their own."""
         joined = b" ".join([*(t or b"" for t in texts), b""])
         a = np.frombuffer(joined, np.uint8)
         if lower:
@@ -54,6 +74,13 @@ class Words:
         word = ~((a == 32) | ((a >= 9) & (a <= 13)))
         edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if apart:
+            single = _unspaced(a)
+            for b, e in zip(starts[ends - starts > LONG].tolist(), ends[ends - starts > LONG].tolist()):
+                single[b:e] = True
+            lead = (a & 0xC0) != 0x80
+            cuts = np.flatnonzero(word[1:] & word[:-1] & lead[1:] & (single[1:] | single[:-1])) + 1
+            starts, ends = np.union1d(starts, cuts), np.union1d(ends, cuts)
         running = np.concatenate([np.zeros(1, U), np.cumsum((a.astype(U) + U(1)) * powers(BASE, len(a)), dtype=U)])
         hashes = mixed((running[ends] - running[starts]) * powers(INVERSE, len(a) + 1)[starts] + (ends - starts).astype(U))
         first = np.searchsorted(starts, text_start)

@@ -48,7 +48,7 @@ def op2_hyperminhash(spark, sf_dir):
 
 @query
 def op3_sentence_spans(spark, sf_dir):
-    out = spans.repeated_spans(table(spark, sf_dir, "documents"))
+    out = spans.repeated_spans(table(spark, sf_dir, "documents"), close=True)
     return out.select(back("d").alias("doc_id"), F.size("spans").cast("bigint").alias("n_spans"),
                       F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["size"]).alias("n_bytes"),
                       F.transform("spans", lambda s: F.array(s["first"], s["first"] + s["size"])).alias("spans"))

@@ -3,9 +3,10 @@
 import dataclasses
 import random
 
+import numpy as np
 import pytest
 
-from tabscout.llm import quality
+from tabscout.llm import queries, quality, spans
 
 
 def made_words(rng, n):
@@ -48,3 +49,65 @@ def test_a_paragraph_pasted_twice_is_rejected(share):
     pasted = " ".join(planted(rng, 2, 5 * share, 1000)).encode()
     failed, kept = quality.judge(quality.measure([*clean, pasted], (2, 3, 5, 8)), quality.Rules())
     assert not failed.any() and kept.tolist() == [True, True, False]
+
+
+def shared_cover(one, two, **how):
+    """Of the second text, which bytes lie in a run of the first."""
+    doc, h1, h2, first, size, _ = spans.runs([one.encode(), two.encode()], **how)
+    known = set(zip(h1[doc == 0].tolist(), h2[doc == 0].tolist()))
+    out = np.zeros(len(two.encode()), bool)
+    for a, b, at, n in zip(h1[doc == 1].tolist(), h2[doc == 1].tolist(), first[doc == 1].tolist(), size[doc == 1].tolist()):
+        if (a, b) in known:
+            out[at : at + n] = True
+    return out
+
+
+def test_passage_of_51_words_without_punctuation():
+    """Found for every seed, all but its outer words, and nothing else."""
+    for seed in range(300):
+        rng = random.Random(seed)
+        passage = " ".join(made_words(rng, 51))
+        one, two = (" ".join([*made_words(rng, 30), passage, *made_words(rng, 30)]) for _ in range(2))
+        cover = shared_cover(one, two, close=True)
+        at = two.index(passage)
+        assert cover[at : at + len(passage)].sum() >= 38 * 7 and not cover[:at].any() and not cover[at + len(passage) :].any(), seed
+
+
+def test_passage_in_a_script_without_blanks():
+    for seed in range(50):
+        rng = random.Random(seed)
+        made = lambda n: "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(n))
+        passage = made(120)
+        one, two = made(50) + passage + made(50), made(50) + passage + made(50)
+        assert shared_cover(one, two, close=True).sum() >= 3 * 100, seed
+
+
+def test_no_repeated_sentence_stays_behind_the_last_run():
+    for seed in range(100):
+        rng = random.Random(seed)
+        passage = " ".join(" ".join(made_words(rng, rng.randint(3, 9))) + rng.choice(".!?。؟") for _ in range(9))
+        one, two = (" ".join(made_words(rng, 20)) + ".\n" + passage + "\n" + " ".join(made_words(rng, 20)) for _ in range(2))
+        at = len(two[: two.index(passage)].encode())
+        assert shared_cover(one, two, close=True)[at : at + len(passage.encode())].all(), seed
+
+
+def test_query_finds_passage_without_punctuation(spark, tmp_path):
+    """As registered: for every seed the later copy, and no other document."""
+    rows = []
+    for seed in range(60):
+        rng = random.Random(seed)
+        passage = " ".join(made_words(rng, 51))
+        rows += [(2 * seed + i, " ".join([*made_words(rng, 30), passage, *made_words(rng, 30)])) for i in (0, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["n_bytes"] for r in queries.op3_sentence_spans(spark, str(tmp_path)).collect()}
+    assert set(found) == {2 * s + 1 for s in range(60)} and min(found.values()) >= 38 * 7 - 1
+
+
+def test_hot_run_over_many_parts(spark):
+    """One passage in every document and all parts: each copy but the first is found, once."""
+    rng = random.Random(8)
+    passage = " ".join(made_words(rng, 51))
+    df = spark.createDataFrame([(i % 900, passage) if i < 900 else (i - 900, passage) for i in range(1000)], "doc_id long, text string")
+    for close in (False, True):
+        got = spans.repeated_spans(df, close=close).collect()
+        assert sorted(r["d"] for r in got) == list(range(1, 900)) and all(len(r["spans"]) == 1 for r in got)
