@@ -22,15 +22,16 @@ from pyspark.sql import DataFrame, functions as F
 from tabscout.llm.common import id_of, text_of
 
 # HTML's element kinds.
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "math", "object", "select", "option", "canvas", "audio", "video")
+RAW = ("script", "style", "template", "textarea", "title", "svg", "iframe", "select", "audio", "video")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr "
+                   "math semantics annotation mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mtable mtr mtd".split())
+CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: A list item, cell or term closes only within its own list or table.
-SCOPES = frozenset("ul ol dl table body article section main aside nav header footer div form blockquote".split())
+SCOPES = frozenset("ul ol dl table body article section main aside nav header footer div form blockquote datalist".split())
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW)})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<svg(?=[\s/>])[^>]*/>|<(?P<raw>{'|'.join(RAW)})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
                    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""", re.S | re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 NAME = re.compile(r"[a-z]+")
@@ -47,8 +48,11 @@ class Block:
     label: int | None = None
 
 
-def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order: references decoded, white space runs one blank, trimmed; without scripts, styles and comments."""
+def blocks(page: str, labelled: bool = True) -> list[Block]:
+    """Leaf blocks in page order: references decoded, white space runs one blank, trimmed; without scripts, styles and comments.
+
+    ``labelled``: data-y is a label, as in composed pages; in given pages it says nothing.
+    """
     stack: list[tuple[str, list[str], int | None]] = []
     parts: list[str] = []
     links: list[int] = [0, 0]  # open links, characters inside
@@ -110,7 +114,7 @@ def blocks(page: str) -> list[Block]:
             for key, *values in ATTRIBUTE.findall(m["attrs"]):
                 value = next((v for v in values if v), "").lower()
                 if key.lower() == "data-y":
-                    y = int(value)
+                    y = int(value) if labelled else None
                 else:
                     names.extend(NAME.findall(value))
         links[0] += tag == "a"
@@ -315,7 +319,7 @@ def train(pages: list[str], seed: int = 9, composed: int = COMPOSED) -> Labeller
     rng = random.Random(seed)
     data, sentences = [], []
     for page in pages:
-        own = blocks(page)
+        own = blocks(page, labelled=False)
         sentences.extend(s for b in own for s in re.split(r"(?<=[.!?])\s+", b.text) if s)
         inside = np.array([bool({"article", "main"} & set(b.path)) and not {"nav", "footer", "aside", "form"} & set(b.path) for b in own], np.float32)
         if inside.any():
@@ -330,7 +334,7 @@ def train(pages: list[str], seed: int = 9, composed: int = COMPOSED) -> Labeller
 
 def extract(pages: list[str], model: Labeller, at_once: int = 128) -> list[str]:
     """The main text of each page: its main blocks in order, joined by an empty line."""
-    parsed = [blocks(p) for p in pages]
+    parsed = [blocks(p, labelled=False) for p in pages]
     out = [""] * len(pages)
     order = sorted((i for i in range(len(pages)) if parsed[i]), key=lambda i: len(parsed[i]))
     for first in range(0, len(order), at_once):

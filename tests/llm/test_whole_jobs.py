@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from tabscout.llm import queries, quality, spans
+from tabscout.llm import html, queries, quality, spans
 
 
 def made_words(rng, n):
@@ -111,3 +111,20 @@ def test_hot_run_over_many_parts(spark):
     for close in (False, True):
         got = spans.repeated_spans(df, close=close).collect()
         assert sorted(r["d"] for r in got) == list(range(1, 900)) and all(len(r["spans"]) == 1 for r in got)
+
+
+@pytest.mark.parametrize("part", [
+    "<video-player src=x></video-player>", "<object-list>a</object-list>", "<select-menu>a</select-menu>", '<svg width="1"/>', '<svg viewBox="0 0 1 1" />',
+    "<datalist><option>a<option>b</datalist>", '<div data-y="">a</div>', '<div data-y="1.5">a</div>', '<script data-x="a>b">var a;</script>'])
+def test_blocks_behind_odd_parts_stay(part):
+    assert html.blocks(f"<article><p>First.</p>{part}<p>Last words.</p></article>", labelled=False)[-1].text == "Last words."
+
+
+@pytest.mark.parametrize("tag", ["math", "object", "canvas", "noscript"])
+def test_text_of_embedded_parts_is_labelled(tag):
+    assert "inner words" in [b.text for b in html.blocks(f"<article><p>First.</p><{tag}>inner words</{tag}><p>Last.</p></article>")]
+
+
+def test_raw_text_is_no_block():
+    page = "<p>a</p><svg><path d=x /></svg><script>b</script><style>c</style><select><option>d</select><p>e</p>"
+    assert [b.text for b in html.blocks(page)] == ["a", "e"]
