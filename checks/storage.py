@@ -1,4 +1,7 @@
-from pyspark.sql import functions as F
+import re
+
+import pyarrow as pa
+from pyspark.sql import functions as F, types as T
 
 from checks.charts import DIVERSE_SQL, POINTS_SQL
 from checks.profile import columns_sql, r, topk_sql
@@ -33,6 +36,37 @@ def src_csv_encodings(t):
     return out
 
 
+def _latin(back: bool):
+    """Texts in ISO-8859-1: a backslash doubled, what the set cannot hold as \\uXXXX or \\UXXXXXXXX; ``back`` reads them again."""
+    escape = lambda t: t.replace("\\", "\\\\").encode("latin-1", "backslashreplace").decode("latin-1")
+    known = re.compile(r"\\(?:\\|u([0-9a-f]{4})|U([0-9a-f]{8}))")
+    plain = lambda t: known.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else "\\", t)
+
+    def run(batches):
+        for b in batches:
+            texts = [None if t is None else (plain if back else escape)(t) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["doc_id", "source", "text"])
+
+    return run
+
+
+@query("src_csv_encodings_whole", """
+SELECT enc, doc_id, source, text FROM documents, (VALUES ('utf8'), ('bom'), ('latin')) e(enc)""")
+def src_csv_encodings_whole(t):
+    """Every document with its whole text, in many files, each with its own header and mark."""
+    rows, schema, out = t.documents.select("doc_id", "source", "text"), "doc_id bigint, source string, text string", None
+    for name, encoding, mark in (("utf8", "UTF-8", ""), ("bom", "UTF-8", "\ufeff"), ("latin", "ISO-8859-1", "")):
+        path = scratch_path(t.spark, name)
+        body = rows.mapInArrow(_latin(False), schema) if name == "latin" else rows
+        (body.withColumnRenamed("doc_id", mark + "doc_id").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions"))).write.option("header", True).option("escape", '"').option("encoding", encoding)
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+        found = f.read_csv(t.spark, path, T._parse_datatype_string(schema), line_breaks=True)
+        found = found.mapInArrow(_latin(True), schema) if name == "latin" else found
+        found = found.select(F.lit(name).alias("enc"), *[F.col(c) for c in ("doc_id", "source", "text")])
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("src_file", """
 SELECT 'csv' AS source, CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation
 UNION ALL SELECT 'json', n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT 'parquet', n_nationkey, n_name, n_regionkey FROM nation""")

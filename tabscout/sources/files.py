@@ -17,14 +17,18 @@ PREVIEW_ROWS = 10
 SAMPLE_VALUES = 5
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, encoding: str | None = None) -> DataFrame:
-    """A CSV file with a header. Without ``encoding``, UTF-8 unless some bytes are not UTF-8.
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, encoding: str | None = None, line_breaks: bool = False) -> DataFrame:
+    """A CSV file, or a folder of them, with a header each. Without ``encoding``, UTF-8 unless some bytes are not UTF-8.
+
+    ``line_breaks``: quoted cells may hold line breaks, and a quote in them is doubled; files are then not split.
 
     Rows that do not fit the schema raise when read. Give ``schema`` for large files:
     inferring it costs a pass over the data.
     """
     reader = spark.read.option("header", True).option("mode", "FAILFAST")
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
+    if line_breaks:
+        reader = reader.option("multiLine", True).option("escape", '"')
     if encoding is None:
         encoding = _encoding(spark, path)
     df = reader.option("encoding", encoding).csv(path)
