@@ -8,6 +8,7 @@ the bound are aligned. Nothing within the budget is missed.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,11 +24,16 @@ BITS = 22
 
 @dataclass(frozen=True)
 class Rule:
-    """``q``: q-gram length. ``rate``: edits allowed a character. ``least``: shorter items are no evidence and match nothing."""
+    """``q``: q-gram length. ``rate``: edits allowed a character. ``least``: shorter items match exactly, at word borders.
+
+    Items of more than ``window`` characters also match by windows of that length, one each ``step``.
+    """
 
     q: int = 10
     rate: float = 0.08
     least: int = 40
+    window: int = 400
+    step: int = 200
     block_chars: int = 1 << 20  # of items that are compared in one pass over the documents
 
 
@@ -68,34 +74,41 @@ class Index:
     bound: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        q = self.rule.q
         self.size = np.array([len(t) for t in self.texts], np.int64)
-        # The budget is cut where the bound would fall below a q-gram's worth of hits.
-        self.budget = np.maximum(0, np.minimum((self.size * self.rule.rate).astype(np.int64), (self.size + 1 - q) // q - 1))
-        self.bound = np.maximum(1, self.size + 1 - q * (self.budget + 1))
-        grams = [qgrams(codes(t), q) for t in self.texts]
-        keys = np.concatenate([np.zeros(0, U), *grams])
-        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        at = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(g)) for g in grams]]).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.first = np.unique(keys[order], return_index=True)
-        self.count = np.diff(np.append(self.first, len(keys)))
-        self.item, self.at = item[order], at[order]
-        self.bits = np.zeros(1 << BITS, bool)
-        self.bits[(self.keys >> U(64 - BITS)).astype(np.int64)] = True
+        short = self.size < self.rule.least
+        self.budget = np.where(short, 0, (self.size * self.rule.rate).astype(np.int64))
+        # A smaller q where the bound would fall below a q-gram's worth of hits.
+        self.q = np.where(short, self.size, np.minimum(self.rule.q, (self.size + 1) // (self.budget + 2)))
+        self.bound = np.maximum(1, self.size + 1 - self.q * (self.budget + 1))
+        self.tables = []
+        for q in np.unique(self.q).tolist():
+            own = np.flatnonzero(self.q == q)
+            grams = [qgrams(codes(self.texts[i]), q) for i in own]
+            keys = np.concatenate(grams)
+            item = np.repeat(own, [len(g) for g in grams])
+            at = np.concatenate([np.arange(len(g)) for g in grams]).astype(np.int64)
+            order = np.argsort(keys, kind="stable")
+            keys, first = np.unique(keys[order], return_index=True)
+            bits = np.zeros(1 << BITS, bool)
+            bits[(keys >> U(64 - BITS)).astype(np.int64)] = True
+            self.tables.append((q, keys, first, np.diff(np.append(first, len(order))), item[order], at[order], bits))
+
+    def _hits(self, c: np.ndarray, q: int, keys: np.ndarray, first: np.ndarray, counts: np.ndarray, items: np.ndarray, places: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(position, item, position in the item) of every q-gram that the characters share with items."""
+        grams = qgrams(c, q)
+        at = np.flatnonzero(bits[(grams >> U(64 - BITS)).astype(np.int64)])
+        found = np.minimum(np.searchsorted(keys, grams[at]), len(keys) - 1)
+        real = keys[found] == grams[at]
+        at, found = at[real], found[real]
+        count = counts[found]
+        pick = np.repeat(first[found] - np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64), count) + np.arange(count.sum())
+        return np.repeat(at, count), items[pick], places[pick]
 
     def regions(self, texts: list[str]) -> np.ndarray:
         """Rows (text, item, lowest diagonal of the band) of the bands that reach the bound."""
         c = codes("\n".join(texts))
-        grams = qgrams(c, self.rule.q)
-        at = np.flatnonzero(self.bits[(grams >> U(64 - BITS)).astype(np.int64)])
-        found = np.searchsorted(self.keys, grams[at])
-        found = np.minimum(found, len(self.keys) - 1)
-        real = self.keys[found] == grams[at]
-        at, found = at[real], found[real]
-        count = self.count[found]
-        pick = np.repeat(self.first[found] - np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64), count) + np.arange(count.sum())
-        at, item, place = np.repeat(at, count), self.item[pick], self.at[pick]
+        hits = [self._hits(c, *table) for table in self.tables]
+        at, item, place = (np.concatenate([np.zeros(0, np.int64), *[h[i] for h in hits]]) for i in range(3))
         start = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
         doc = np.searchsorted(start, at, "right") - 1
         diagonal = at - start[doc] - place + self.size[item]  # 0 or more
@@ -126,6 +139,11 @@ class Index:
             for doc, _, low in own.tolist():
                 if (doc, item) in best and best[doc, item][0] == 0:
                     continue
+                if m < self.rule.least:
+                    alone = re.search(rf"(?<!\w){re.escape(text)}(?!\w)", texts[doc])
+                    if alone:
+                        best[doc, item] = (0, *alone.span())
+                    continue
                 at = texts[doc].find(text)
                 if at >= 0:
                     best[doc, item] = (0, at, at + m)
@@ -166,19 +184,22 @@ FOUND = "array<struct<item_id: bigint, edits: int, start: int, end: int>>"
 
 
 def _blocks(items: DataFrame, rule: Rule, item: str, text: str) -> Iterator[Index]:
-    """Indexes of the items, a bounded number of characters each, read one by one."""
+    """Indexes of the items, a bounded number of characters each, read one by one; an id is (item, number of its whole text)."""
     ids, texts, held = [], [], 0
     rows = items.select(F.col(item).cast("bigint").alias("i"), text_of(text).alias("t")).distinct().orderBy("i", "t")
     for row in rows.toLocalIterator():
         body = normal(row["t"])
-        if len(body) < rule.least:
+        if not body:
             continue
         if held + len(body) > rule.block_chars and ids:
             yield Index(ids, texts, rule)
             ids, texts, held = [], [], 0
-        ids.append(row["i"])
-        texts.append(body)
-        held += len(body)
+        whole = len(texts)
+        last = len(body) - rule.window
+        parts = [body, *[body[a : a + rule.window] for a in (*range(0, last, rule.step), last)]] if last > 0 else [body]
+        ids.extend([(row["i"], whole)] * len(parts))
+        texts.extend(parts)
+        held += sum(map(len, parts))
     if ids:
         yield Index(ids, texts, rule)
 
@@ -187,8 +208,8 @@ def find_items(docs: DataFrame, items: DataFrame, rule: Rule = Rule(), text: str
     """``docs`` with ``into``: each item that the whole text holds within its edit budget, with edits and place in the normal form.
 
     Items go to the tasks in blocks of bounded size, one pass over ``docs`` each; ``docs`` is
-    neither shuffled nor joined. Null and empty texts hold nothing, null and short items are
-    not looked for, equal items are found each. Repeated rows agree. A column called ``into``
+    neither shuffled nor joined. Null and empty texts hold nothing, null and empty items are
+    not looked for, of long items a window is enough, equal items are found each. Repeated rows agree. A column called ``into``
     is replaced. Empty tables give no rows, or rows with nothing found.
     """
     out = docs.drop(into).select(F.struct("*").alias("row"), text_of(text).alias("body"), F.array().cast(FOUND).alias("found"))
@@ -202,8 +223,13 @@ def find_items(docs: DataFrame, items: DataFrame, rule: Rule = Rule(), text: str
             index = shared.value
             for part, texts in text_slices(batches, "body"):
                 found = part.column(2).to_pylist()
+                best: dict[tuple[int, int], tuple] = {}
                 for doc, i, *place in index.matches([normal(t.decode()) for t in texts]):
-                    found[doc].append(dict(zip(names, (index.ids[i], *place))))
+                    item, whole = index.ids[i]
+                    # The whole item, or else its window with fewest edits.
+                    best[doc, whole] = min(best.get((doc, whole), (2,)), (int(i != whole), *place, item))
+                for (doc, _), (_, *place, item) in sorted(best.items()):
+                    found[doc].append(dict(zip(names, (item, *place))))
                 kind = pa.list_(pa.struct(list(zip(names, types))))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, kind)], names=["row", "body", "found"])
 

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from tabscout.llm import html, queries, quality, spans
+from tabscout.llm import decontam, html, queries, quality, spans
 
 
 def made_words(rng, n):
@@ -128,3 +128,14 @@ def test_text_of_embedded_parts_is_labelled(tag):
 def test_raw_text_is_no_block():
     page = "<p>a</p><svg><path d=x /></svg><script>b</script><style>c</style><select><option>d</select><p>e</p>"
     assert [b.text for b in html.blocks(page)] == ["a", "e"]
+
+
+def test_short_half_and_edited_items_are_found(spark):
+    rng = random.Random(6)
+    text = lambda n: " ".join(made_words(rng, n))
+    long, forty = text(300), "".join(rng.choice("abcdefgh") for _ in range(40))
+    near = forty[:8] + "z" + forty[9:19] + "z" + forty[20:30] + "z" + forty[31:]
+    bench = spark.createDataFrame([(1, "What is 6 x 7?"), (2, long), (3, forty)], "item_id long, text string")
+    docs = [(0, text(90)), (1, f"{text(20)} what is  6 X 7? {text(20)}"), (2, f"{text(20)}what is 6 x 7? {text(9)}"), (3, f"{text(30)} {long[500:1550]} {text(30)}"), (4, f"{text(5)} {near} {text(5)}")]
+    found = decontam.find_items(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {r["doc_id"]: [(x["item_id"], x["edits"]) for x in r["found"]] for r in found} == {0: [], 1: [(1, 0)], 2: [], 3: [(2, 0)], 4: [(3, 3)]}
