@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabscout.llm import chat, decontam, html, lines, mixing, neardup, quality, sharding, spans, tokens
+from tabscout.llm import chat, clusters, decontam, html, licenses, lines, mixing, neardup, quality, sharding, spans, tokens
 from tabscout.llm.common import back, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,64 @@ def op10_qgram_bands(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find_items(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.item_id", "f.edits", F.col("f.start").alias("start"), F.col("f.end").alias("end"))
+
+
+@query
+def op11_license_index(spark, sf_dir):
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[f"licence.{c}" for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")])
+
+
+_PARTS = ", ".join(f"({n}, '{t.label}', {t.base}, {i}, '{w}', {k})"
+                   for n, t in enumerate(licenses.TEMPLATES) for i, (w, k) in enumerate(zip(t.words, t.key)))
+ORACLE["op11_license_index"] = rf"""
+WITH part(t, label, base, i, word, key) AS (VALUES {_PARTS}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+w AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS p FROM d),
+held AS (SELECT word, count(DISTINCT r) AS n FROM w WHERE word IN (SELECT word FROM part) GROUP BY word),
+weight AS (SELECT word, CAST(floor(1000 * ln((1 + (SELECT count(*) FROM d)) / (1 + coalesce(n, 0)))) + 1 AS BIGINT) AS weight
+  FROM (SELECT DISTINCT word FROM part) LEFT JOIN held USING (word)),
+rare AS (SELECT t, word FROM (SELECT t, word, row_number() OVER (PARTITION BY t ORDER BY weight DESC, word) AS place
+  FROM (SELECT DISTINCT t, word FROM part) JOIN weight USING (word)) WHERE place <= {licenses.RARE}),
+agreed AS (SELECT r, t, p - i AS start FROM w JOIN part USING (word) SEMI JOIN rare USING (t, word) GROUP BY ALL HAVING count(*) >= {licenses.AGREE}),
+tried AS (SELECT a.r, a.t, a.start, any_value(label) AS label, any_value(base) AS base, coalesce(sum(weight) FILTER (w.word IS NOT NULL), 0) AS got, sum(weight) AS total,
+    count(*) FILTER (key AND w.word IS NULL) AS lost
+  FROM agreed a JOIN part USING (t) JOIN weight USING (word) LEFT JOIN w ON w.r = a.r AND w.p = a.start + part.i AND w.word = part.word GROUP BY a.r, a.t, a.start),
+found AS (SELECT * FROM tried WHERE lost = 0 AND 2 * got >= total),
+said AS (SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels,
+    max(CAST(got AS DOUBLE) / CAST(total AS DOUBLE)) AS score FROM found GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN said USING (r)"""
+
+
+@query
+def op13_shallot_clusters(spark, sf_dir):
+    out = clusters.kmeans(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=8, rounds=10, scale=1024, dimension=64, seed=3)
+    digest = F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ","), 256)
+    return out.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def _rounds(n: int) -> str:
+    """Assignments a0 to an and the centroids c1 to cn between them."""
+    parts = []
+    for i in range(n + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT r, min_by(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT r, c, sum((x - y) * (x - y)) AS d FROM p JOIN c{i} USING (j) GROUP BY r, c) GROUP BY r)""")
+        if i < n:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT c, j, coalesce(m, y) AS y FROM c{i} LEFT JOIN (
+    SELECT c, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS m FROM a{i} JOIN p USING (r) GROUP BY c, j) USING (c, j))""")
+    return ",\n".join(parts)
+
+
+ORACLE["op13_shallot_clusters"] = f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+p AS MATERIALIZED (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM k),
+f AS (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v FROM k QUALIFY c < 8),
+c0 AS MATERIALIZED (SELECT c, unnest(v) AS y, generate_subscripts(v, 1) AS j FROM f),
+{_rounds(10)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, digest AS centroid_sha256
+FROM a10 JOIN k USING (r) JOIN (SELECT c, sha256(string_agg(y, ',' ORDER BY j)) AS digest FROM c10 GROUP BY c) USING (c)"""
