@@ -36,7 +36,7 @@ BLOCKS = "ids binary, no_id binary, codes binary, nearest binary, second binary,
 
 def most(dimension: int) -> int:
     """Larger scaled components make a vector unusable: squared distances stay within 2 ** 62 (64 components: 2 ** 27)."""
-    return min(math.isqrt(2**60 // dimension), 2**30)
+    return min(math.isqrt(2**60 // max(dimension, 1)), 2**30)
 
 
 def _squared(codes: np.ndarray, centroids: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -115,11 +115,10 @@ def _blocks(scale: int, dimension: int):
     """Usable vectors of each batch as blocks without state."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in int_rows(batches):
-            kept, rows = scaled(batch.column(1), scale, most(dimension))
-            here = [j for j, r in enumerate(rows) if len(r) == dimension]
-            if here:
-                ids = batch.column(0).take(pa.array(kept[here]))
-                values = [ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(ids.is_null()).astype(np.int8), np.stack([rows[j] for j in here]).astype(np.int32)]
+            kept, codes = scaled(batch.column(1), scale, most).get(dimension, (None, None))
+            if kept is not None:
+                ids = batch.column(0).take(pa.array(kept))
+                values = [ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(ids.is_null()).astype(np.int8), codes.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([*[pa.array([v.tobytes()], pa.binary()) for v in values], *[pa.nulls(1, pa.binary())] * 5],
                                                  names=["ids", "no_id", "codes", "nearest", "second", "upper", "lower", "sums"])
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabscout.llm import chat, clusters, decontam, html, licenses, lines, mixing, neardup, quality, sharding, spans, tokens
+from tabscout.llm import chat, clusters, decontam, html, licenses, lines, mixing, neardup, negatives, quality, sharding, spans, tokens
 from tabscout.llm.common import back, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,6 +151,24 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_b
   coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN said USING (r)"""
 
 
+@query
+def op12_tree_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    points = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return negatives.hard_negatives(points, F.col("vec_id") % 100 == 0, negatives.Params(positives=5, negatives=10, low=30, high=90, scale=256))
+
+
+ORACLE["op12_tree_negatives"] = """
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS MATERIALIZED (SELECT a.r, a.vec_id AS anchor_id, o.r AS other, o.vec_id, o.label = a.label AS same, CAST(list_inner_product(a.v, o.v) AS BIGINT) AS score
+  FROM e a JOIN e o ON a.r <> o.r AND len(a.v) = len(o.v) WHERE a.vec_id % 100 = 0),
+pos AS (SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS place FROM s WHERE same QUALIFY place <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY r, place ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN (SELECT r, vec_id, score FROM s WHERE NOT same) USING (r) WHERE 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10"""
+
+
 @query
 def op13_shallot_clusters(spark, sf_dir):
     out = clusters.kmeans(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=8, rounds=10, scale=1024, dimension=64, seed=3)

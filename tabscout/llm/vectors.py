@@ -11,24 +11,23 @@ import pyarrow as pa
 BLOCK = 1024
 
 
-def scaled(vectors: pa.Array, scale: int, most: float | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The places of usable vectors in ``vectors``, and floor(scale * x) of each of their components.
+def scaled(vectors: pa.Array, scale: int, most=lambda n: (2.0**55 / max(n, 1)) ** 0.5) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By number of components: the places of usable vectors in ``vectors``, and floor(scale * x) of their components.
 
-    Not usable: null vectors, and vectors with a null or non-finite component or one whose
-    scaled value is beyond ``most`` (by default what keeps inner products below 2 ** 55).
+    Not usable: null vectors, and vectors with a null or non-finite component or a scaled one
+    beyond ``most`` of their number of components (by default, inner products stay below 2 ** 55).
     """
     vectors = vectors.cast(pa.large_list(pa.float64()))
     flat, ends = vectors.values.to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()
-    there = np.asarray(vectors.is_valid())
-    codes = np.floor(flat * float(scale))
-    kept, out = [], []
-    for i in np.flatnonzero(there).tolist():
-        one = codes[ends[i] : ends[i + 1]]
-        limit = most if most is not None else (2.0**55 / max(len(one), 1)) ** 0.5
-        if len(one) == 0 or np.abs(one).max() <= limit:  # false for NaN and infinities
-            kept.append(i)
-            out.append(one.astype(np.int64))
-    return np.array(kept, np.int64), out
+    there = np.flatnonzero(np.asarray(vectors.is_valid()))
+    sizes, out = np.diff(ends)[there], {}
+    for n in np.unique(sizes).tolist():
+        at = there[sizes == n]
+        codes = np.floor(flat[ends[at][:, None] + np.arange(n)] * float(scale))
+        able = (np.abs(codes) <= most(n)).all(1)  # false for NaN and infinities
+        if able.any():
+            out[n] = at[able], codes[able].astype(np.int64)
+    return out
 
 
 def int_rows(batches: Iterator[pa.RecordBatch], size: int = BLOCK) -> Iterator[pa.RecordBatch]:
