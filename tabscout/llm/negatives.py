@@ -268,10 +268,11 @@ def _searching(p: Params, k: int, same: bool):
 
 def best(anchors: DataFrame, trees: DataFrame, p: Params, k: int, same: bool) -> DataFrame:
     """(row, place, score, id): the k best rows of each query of ``anchors``, over all ``trees``."""
-    sized = trees.agg(F.count(F.lit(1)).alias("n")).first()["n"], anchors.count()
-    blocks = max(1, -(-sized[1] // ASKING))
+    rows = trees.agg(F.sum(F.octet_length("ids") / 8).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-anchors.count() // ASKING))
     wanted = partitions(trees)
-    shares = max(1, min(sized[0], -(-wanted // blocks)))
+    # A share has some full trees at least, however small the trees are: each returns k rows a query.
+    shares = max(1, min(-(-int(rows) // (4 * TREE)), -(-wanted // blocks)))
     # Every block of anchors meets every share of the trees: the group is (block, share).
     every = lambda n, group: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), group)).alias("g")
     block, share = F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("tree"), F.lit(shares)).cast("int")
