@@ -7,10 +7,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tabscout.operators import charts, insights
+from tabscout.operators import chartdata, charts, insights
 from tabscout.operators.charts import Catalogue
 from tabscout.operators.profile import Profile, clean
-from tabscout.plans.durable import durable
+from tabscout.plans.durable import local
 
 NO_CHARTS = {"category": "visualization", "priority": "low", "title": "Charts Available",
              "description": "None of the columns suits a chart.", "action": "Add a number, a date or a column with few values."}
@@ -30,15 +30,19 @@ def analyze(df: DataFrame, dataset_id: str, key: str | None = None, limit: int =
     if key is None:
         df, key = df.withColumn("__row", charts.row_text(df)), "__row"
     shown = [c for c in df.columns if c != "__row"]
-    catalogue = Catalogue.of({dataset_id: Profile(df, shown)})
-    ranked = durable(charts.page(charts.recommend(catalogue), limit, offset))
+    profile = Profile(df, shown)
+    catalogue = Catalogue.of({dataset_id: profile})
+    ranked = local(charts.page(charts.recommend(catalogue), limit, offset))
     chosen = ranked.orderBy("rank").collect()  # one page of chart settings
+    together = chartdata.shared(df, chosen, profile, key)
     rows, found = [], []
     for chart in chosen:
-        data = charts.chart_data(df, chart, key)
+        data = together.get(chart["rank"])
         if data is None:
-            continue
-        data = durable(data)  # bounded by the chart's own point limit; read twice below
+            data = charts.chart_data(df, chart, key)
+            if data is None:
+                continue
+            data = local(data)  # bounded by the chart's own point limit; read twice below
         at = [c for c in ("idx", "index", "i", "bin", "name", "category", "x", "y") if c in data.columns]
         place = F.row_number().over(W.orderBy(*at) if at else W.orderBy(F.lit(0)))
         rows.append(data.select(F.lit(chart["rank"]).alias("rank"), place.alias("place"), F.lit(chart["type"]).alias("type"), F.to_json(F.struct("*")).alias("payload")))

@@ -7,13 +7,17 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from tabscout.functions.stats import fence, guarded_corr, percent, skewness
 from tabscout.functions.text import ref
 from tabscout.operators.query import group_topk, value_counts
+from tabscout.plans.durable import local, local_rows
 from tabscout.plans.orderstats import every_nth, quantiles, tie_key
 
 GROUPED_OUTLIERS = 10
 BOX_OUTLIERS = 50
 
 
-def distribution(df: DataFrame, column: str, k: int = 15) -> DataFrame:
+TOP = 15
+
+
+def distribution(df: DataFrame, column: str, k: int = TOP) -> DataFrame:
     """Top values with their share of all rows, nulls included; total on every row."""
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     return (value_counts(df, column).limit(k).withColumn("total", total)
@@ -166,6 +170,116 @@ def insight_histogram(df: DataFrame, column: str) -> DataFrame:
             .select(shape.alias("top"), "number", F.format_string("Distribution is %s.", shape).alias("text")))
 
 
+#: Cells that one shared scan counts per chart; more than any chart shows.
+CELLS = 1000
+
+
+def shared(df: DataFrame, charts: list, profile, key: str) -> dict[int, DataFrame]:
+    """The data of many charts of one table by rank, as the functions above give them, from a few scans for all.
+
+    ``charts`` are rows of ``recommend``, ``profile`` is the profile of ``df``. One melted
+    aggregate keyed by chart counts categories, group means, bins and far values; scatters
+    draw their points together; lines over one date draw their places once for all numbers
+    without gaps; ranges, boxes and correlations come from the profile. Charts of kinds
+    that this leaves out (boxes by group, categories that are no text) are not in the result.
+    """
+    spark, at = df.sparkSession, {c: i for i, c in enumerate(profile.numeric)}
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    found, beyond = profile.numbers, profile.exact.beyond
+    none, text = F.lit(None).cast("double"), lambda c: ref(c).cast("string")
+    cells, wanted, scatters, lines = [], {}, {}, {}
+
+    def cell(rank: int, on, key_=None, slot=None, value=None) -> None:
+        cells.append(F.when(on, F.struct(F.lit(rank).alias("chart"), (F.lit(None).cast("string") if key_ is None else key_).alias("key"),
+                                         (F.lit(None).cast("bigint") if slot is None else slot).alias("slot"), (none if value is None else value).alias("v"))))
+    for chart in charts:
+        c, kind, rank = chart["config"], chart["type"], chart["rank"]
+        category, number = c["categorical_column"] or c["column"], c["numeric_column"] or c["column"]
+        if kind in ("bar", "pie") and isinstance(kinds[category], (T.StringType, T.BooleanType)):
+            value = None if c["categorical_column"] is None else ref(number).cast("double")
+            if value is None or c["aggregation"] == "mean" and not isinstance(kinds[number], T.DecimalType):  # decimal means stay decimal
+                cell(rank, ref(category).isNotNull(), text(category), None, value)
+                wanted[rank] = chart
+        elif kind == "histogram" and number in at and found.n[at[number]]:
+            low, high = float(found.low[at[number]]), float(found.high[at[number]])
+            low, high = (low - 0.5, high + 0.5) if low == high else (low, high)
+            v = ref(number).cast("double")
+            cell(rank, F.abs(v) < float("inf"), None, F.least(F.floor((v - F.lit(low)) * c["bins"] / (F.lit(high) - F.lit(low))), F.lit(c["bins"] - 1)))
+            wanted[rank] = chart
+        elif kind == "box" and c["by_column"] is None and number in beyond:
+            v = ref(number).cast("double")
+            cell(rank, (v < F.lit(beyond[number][0])) | (v > F.lit(beyond[number][1])), None, None, v)
+            wanted[rank] = chart
+        elif kind == "scatter":
+            scatters[rank] = chart
+        elif kind == "line" and c["y_column"] in at:
+            full = int(found.n[at[c["y_column"]]]) == profile.total_rows
+            lines.setdefault((c["x_column"], None if full else rank), []).append(chart)
+    out = {}
+    if cells:
+        melted = df.select(F.inline(F.array_compact(F.array(*cells))))
+        boxes = F.col("chart").isin([r for r, c in wanted.items() if c["type"] == "box"])
+        counted = (melted.groupBy("chart", "key", "slot", F.when(boxes, F.col("v")).alias("far"))
+                   .agg(F.count(F.lit(1)).alias("cnt"), F.count("v").alias("n"), F.sum("v").alias("total")))
+        first = W.partitionBy("chart").orderBy("far", F.desc("cnt"), "key", "slot")  # far values: the smallest; others have few keys
+        rows = counted.withColumn("r", F.row_number().over(first)).where(F.col("r") <= CELLS).drop("r").collect()
+        for rank, chart in wanted.items():
+            mine = [r for r in rows if r["chart"] == rank]
+            out[rank] = _drawn(spark, chart, mine, profile, at)
+    if scatters:
+        out.update(_scatters(df, scatters, profile, at, key))
+    for (x, _), several in lines.items():
+        ys = [c["config"]["y_column"] for c in several]
+        names = list(dict.fromkeys([x, *ys]))
+        both = df.select(*[ref(n) for n in dict.fromkeys([*names, key])]).dropna(subset=names)
+        drawn = local(every_nth(both, x, key, 100, names))
+        shown = F.date_format(ref(x), "yyyy-MM-dd HH:mm:ss") if isinstance(kinds[x], (T.TimestampType, T.TimestampNTZType)) else ref(x).cast("string")
+        for c, y in zip(several, ys):
+            out[c["rank"]] = drawn.select("idx", shown.alias("x"), ref(y).cast("double").alias("y"))
+    return out
+
+
+def _drawn(spark, chart, rows: list, profile, at: dict[str, int]) -> DataFrame:
+    """A chart's data from its cells of the shared scan."""
+    c, kind, total = chart["config"], chart["type"], profile.total_rows
+    if kind == "histogram":
+        i, bins = at[c["column"]], c["bins"]
+        low, high, mean = (float(v) for v in (profile.numbers.low[i], profile.numbers.high[i], profile.numbers.total[i] / profile.numbers.n[i]))
+        a, b = (low - 0.5, high + 0.5) if low == high else (low, high)
+        counts = {r["slot"]: r["cnt"] for r in rows}
+        edges = [(a + (b - a) * j / bins, a + (b - a) * (j + 1) / bins) for j in range(bins)]
+        return local_rows(spark, [(j, f"{s:.2f}-{e:.2f}", counts.get(j, 0), s, e, low, high, mean) for j, (s, e) in enumerate(edges)],
+                          "i long, bin string, count long, bin_start double, bin_end double, min double, max double, mean double")
+    if kind == "box":
+        far = sorted(v for r in rows for v in [r["far"]] * min(r["cnt"], BOX_OUTLIERS))[:BOX_OUTLIERS]
+        i, q = at[c["column"]], profile.exact.quantiles[c["column"]]
+        low, high = float(profile.numbers.low[i]), float(profile.numbers.high[i])
+        return local_rows(spark, [(low, *q, high, far)], "min double, q1 double, median double, q3 double, max double, outliers array<double>")
+    if c["categorical_column"] is None:
+        best = sorted(rows, key=lambda r: (-r["cnt"], r["key"]))[:TOP]
+        return local_rows(spark, [(r["key"], r["cnt"], r["cnt"] * 100 / total, total) for r in best], "name string, value long, percentage double, total long")
+    mean = [(r["key"], r["total"] / r["n"] if r["n"] else None) for r in rows]
+    best = sorted(mean, key=lambda r: (r[1] is None, -(r[1] or 0.0), r[0]))[:TOP]
+    return local_rows(spark, best, "name string, value double")
+
+
+def _scatters(df: DataFrame, charts: dict, profile, at: dict[str, int], key: str, points: int = 500) -> dict[int, DataFrame]:
+    """Points of several scatters: each its first pairs in md5 order of ``key``, all from one scan."""
+    pair = [F.when(ref(c["config"]["x_column"]).isNotNull() & ref(c["config"]["y_column"]).isNotNull(),
+                   F.struct(F.lit(rank).alias("chart"), ref(c["config"]["x_column"]).cast("double").alias("x"), ref(c["config"]["y_column"]).cast("double").alias("y")))
+            for rank, c in charts.items()]
+    keyed = df.select(F.array_compact(F.array(*pair)).alias("pairs"), tie_key(ref(key)).alias("__t"), ref(key).alias("__k"))
+    first = W.partitionBy("chart").orderBy("__t", "__k", "x", "y")  # each task keeps ``points`` rows a chart
+    drawn = (keyed.select(F.explode("pairs").alias("p"), "__t", "__k").select("p.*", "__t", "__k")
+             .withColumn("r", F.row_number().over(first)).where(F.col("r") <= points).select("chart", "x", "y"))
+    rows = drawn.collect()  # at most ``points`` a chart
+    out = {}
+    for rank, c in charts.items():
+        r = profile.numbers.correlation(at[c["config"]["x_column"]], at[c["config"]["y_column"]])
+        out[rank] = local_rows(df.sparkSession, [(p["x"], p["y"], r) for p in rows if p["chart"] == rank], "x double, y double, correlation double")
+    return out
+
+
 def _esc(name: str) -> str:
     return name.replace("%", "%%")
 

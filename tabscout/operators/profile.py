@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from tabscout.functions.stats import fence, kurtosis, percent, skewness, strength
+from tabscout.functions.stats import percent, strength
 from tabscout.functions.text import ref
-from tabscout.plans.durable import durable, lookup
-from tabscout.plans.orderstats import quantiles
+from tabscout.plans.durable import durable, local, local_rows, lookup
+from tabscout.plans.summary import Exact, Summary, exact, summarize
 
 # Columns turned into rows together; wider tables take several column-pruned passes.
 COLUMNS_PER_PASS = 200
+QUARTILES = (0.25, 0.5, 0.75)
 # Strings longer than this are compared by length and SHA-256 when rows are compared.
 DIGEST_FROM = 64
 
@@ -49,29 +51,52 @@ def value_text(field: T.StructField) -> Column:
     return F.hex(c) if isinstance(field.dataType, T.BinaryType) else c.cast("string")
 
 
+def _value_cell(i: int, field: T.StructField) -> Column:
+    """A value in the field of its own kind, so that one grouping tells the values of all columns apart."""
+    c, kind = ref(field.name), field.dataType
+    whole, real, time, size, text = (F.lit(None).cast(t) for t in ("bigint", "double", "timestamp_ntz", "int", "string"))
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+        whole = c.cast("bigint")
+    elif isinstance(kind, T.DateType):
+        whole = F.unix_date(c).cast("bigint")
+    elif isinstance(kind, T.TimestampType):
+        whole = F.unix_micros(c)
+    elif isinstance(kind, T.TimestampNTZType):
+        time = c
+    elif isinstance(kind, (T.FloatType, T.DoubleType)):
+        real = c.cast("double")
+    else:
+        size, text = compact(value_text(field), "value")
+        if isinstance(kind, T.DecimalType):
+            real = c.cast("double")
+    return F.struct(F.lit(i).alias("__c"), whole.alias("whole"), real.alias("real"), time.alias("time"), size.alias("size"), text.alias("text"))
+
+
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(__c, whole, real, time, size, text, cnt): one row per column (by place) and distinct value, nulls included, in one scan."""
+    parts = []
+    for start in range(0, len(columns), COLUMNS_PER_PASS):
+        cells = F.array(*[_value_cell(i, df.schema[c]) for i, c in list(enumerate(columns))[start:start + COLUMNS_PER_PASS]])
+        parts.append(df.select(F.inline(cells)).groupBy("__c", "whole", "real", "time", "size", "text").agg(F.count(F.lit(1)).alias("cnt")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def column_counts(df: DataFrame, columns: Sequence[str], numeric: Sequence[str] = ()) -> DataFrame:
+    """(column, total_rows, unique_count, missing_count, zero_count), distinct values compared in their own type."""
+    there = F.coalesce(F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("time").isNotNull() | F.col("text").isNotNull(), F.lit(False))
+    number = F.array(*[F.lit(c in numeric) for c in columns])
+    zero = F.get(number, F.col("__c")) & ((F.col("whole") == 0) | (F.col("real") == 0))
+    names = F.array(*[F.lit(c) for c in columns])
+    none = F.lit(0).cast("bigint")
+    return (value_counts(df, columns).groupBy("__c").agg(
+        F.sum("cnt").alias("total_rows"), F.count_if(there).alias("unique_count"),
+        F.sum(F.when(there, none).otherwise(F.col("cnt"))).alias("missing_count"), F.sum(F.when(zero, F.col("cnt")).otherwise(none)).alias("zero_count"))
+        .select(F.element_at(names, F.col("__c") + 1).alias("column"), "total_rows", "unique_count", "missing_count", "zero_count"))
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, unique_count) of non-null values, compared in their own type; none for an all-null column."""
-    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
-    families: dict[str, list] = {}
-    for i, f in enumerate(fields):
-        kind = f.dataType.simpleString()
-        if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-            kind = "bigint"
-        elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            kind = "double"
-        elif isinstance(f.dataType, (T.StringType, T.BinaryType, T.MapType, T.StructType, T.ArrayType, T.VariantType)):
-            kind = "string"
-        families.setdefault(kind, []).append((i, f))
-    parts = []
-    for kind, members in families.items():
-        if kind == "string":
-            cells = [F.struct(F.lit(i).alias("__c"), *compact(value_text(f), "value")) for i, f in members]
-        else:
-            cells = [F.struct(F.lit(i).alias("__c"), ref(f.name).cast(kind).alias("value")) for i, f in members]
-        values = df.select(F.inline(F.array(*cells))).where("value is not null")
-        parts.append(values.distinct().groupBy("__c").agg(F.count(F.lit(1)).alias("unique_count")))
-    names = F.array(*[F.lit(f.name) for f in fields])
-    return reduce(DataFrame.unionByName, parts).select(F.element_at(names, F.col("__c") + 1).alias("column"), "unique_count")
+    return column_counts(df, df.columns if columns is None else list(columns)).where("unique_count > 0").select("column", "unique_count")
 
 
 def compact(text: Column, name: str) -> list[Column]:
@@ -125,11 +150,12 @@ def duplicates(df: DataFrame) -> DataFrame:
 class Profile:
     """All profile sections of one table, each a DataFrame built when first read.
 
-    The core sections (one row per column or pair) are materialised by ``keep`` when
-    first read, so that the rules derived from them do not scan the table again.
+    The core sections (one row per column or pair) are brought to the driver by ``keep``
+    when first read, so that the rules derived from them do not scan the table again and
+    know how small they are. Number columns take two scans in all.
     """
 
-    def __init__(self, df: DataFrame, columns: Sequence[str] | None = None, keep=durable):
+    def __init__(self, df: DataFrame, columns: Sequence[str] | None = None, keep=local):
         self._keep = keep
         self.df = clean(df if columns is None else df.select(*[ref(c) for c in columns]))
         self.fields = self.df.schema.fields
@@ -154,19 +180,28 @@ class Profile:
 
     @cached_property
     def counts(self) -> DataFrame:
-        """column, total_rows, missing_count, zero_count."""
-        def cell(name):
-            zero = ref(name) == 0 if name in self.numeric else F.lit(False)
-            return [ref(name).isNull().alias("missing"), zero.alias("zero")]
-        return per_column(self.df, self.names, cell, [
-            F.count(F.lit(1)).alias("total_rows"), F.count_if("missing").alias("missing_count"), F.count_if("zero").alias("zero_count")])
+        """column, total_rows, unique_count, missing_count, zero_count."""
+        return column_counts(self.df, self.names, self.numeric)
+
+    @cached_property
+    def total_rows(self) -> int:
+        first = self.columns.first()
+        return first["total_rows"] if first else self.df.count()
+
+    @cached_property
+    def numbers(self) -> Summary:
+        """Moments, co-moments and sketches of the number columns, from one scan."""
+        return summarize(self.df, self.numeric)
+
+    @cached_property
+    def exact(self) -> Exact:
+        """Quartiles and the counts of values beyond the fences, from one more scan."""
+        return exact(self.df, self.numeric, self.numbers, QUARTILES, (0, 2))
 
     @cached_property
     def columns(self) -> DataFrame:
-        unique = distinct_counts(self.df)
         joined = (self._schema_rows
                   .join(self.counts.withColumnRenamed("column", "name"), "name", "left")
-                  .join(unique.withColumnRenamed("column", "name"), "name", "left")
                   .na.fill(0, ["total_rows", "missing_count", "zero_count", "unique_count"]))
         return self._keep(joined.select(
             "ord", "name", "dtype", "column_type", "total_rows", "unique_count",
@@ -177,20 +212,20 @@ class Profile:
     @cached_property
     def quartiles(self) -> DataFrame:
         """column, n, q = [q25, median, q75]."""
-        return self._keep(quantiles(self.df, self.numeric, [0.25, 0.5, 0.75]))
+        at = {c: i for i, c in enumerate(self.numeric)}
+        return local_rows(self.spark, [(c, int(self.numbers.n[at[c]]), q) for c, q in self.exact.quantiles.items()], "column string, n long, q array<double>")
 
     @cached_property
     def numeric_stats(self) -> DataFrame:
-        if not self.numeric:
-            return self.spark.createDataFrame([], "column string, min double, max double, mean double, median double, std double, "
-                                                  "q25 double, q75 double, skewness double, kurtosis double")
-        c = F.col("value")
-        moments = per_column(self.df, self.numeric, number_cell, [
-            F.count(c).alias("n"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"),
-            F.stddev_samp(c).alias("std"), skewness(c).alias("skewness"), kurtosis(c).alias("kurtosis")]).where("n > 0")
-        return moments.join(self.quartiles.drop("n"), "column").select(
-            "column", "min", "max", "mean", F.col("q")[1].alias("median"), "std",
-            F.col("q")[0].alias("q25"), F.col("q")[2].alias("q75"), "skewness", "kurtosis")
+        rows = []
+        for i, c in enumerate(self.numeric):
+            s, n = self.numbers, int(self.numbers.n[i])
+            if n:
+                q = self.exact.quantiles[c]
+                spread = None if n < 2 else 0.0 if s.low[i] == s.high[i] else math.sqrt(s.m2[i] / (n - 1))
+                rows.append((c, float(s.low[i]), float(s.high[i]), float(s.total[i] / n), q[1], spread, q[0], q[2], s.skewness(i), s.kurtosis(i)))
+        return local_rows(self.spark, rows, "column string, min double, max double, mean double, median double, std double, "
+                                            "q25 double, q75 double, skewness double, kurtosis double")
 
     def top_values(self, k: int = 5) -> DataFrame:
         """The ``k`` most frequent values per categorical column, with their share."""
@@ -216,8 +251,7 @@ class Profile:
 
     @cached_property
     def pairs(self) -> DataFrame | None:
-        found = pair_correlations(self.df, self.numeric)
-        return None if found is None else self._keep(found)
+        return None if len(self.numeric) < 2 else _pair_rows(self.spark, self.numeric, self.numbers)
 
     def correlations(self, threshold: float = 0.3, k: int = 20) -> DataFrame:
         found = self.pairs
@@ -229,17 +263,9 @@ class Profile:
     @cached_property
     def outliers(self) -> DataFrame:
         """Values outside the 1.5 x IQR fences, for columns with four values or more."""
-        fences = self.quartiles.where("n >= 4").select(
-            "column", "n", *[e.alias(a) for e, a in zip(fence(F.col("q")[0], F.col("q")[2]), ("lower_bound", "upper_bound"))])
-        if not self.numeric:
-            return self.spark.createDataFrame([], "column string, outlier_count long, outlier_percentage double, lower_bound double, upper_bound double")
-        cells = [F.struct(F.lit(c).alias("column"), ref(c).cast("double").alias("value")) for c in self.numeric]
-        # One row of fences per column of the table.
-        beyond = (self.df.select(F.inline(F.array(*cells))).join(F.broadcast(fences), "column")
-                  .where("value < lower_bound or value > upper_bound")
-                  .groupBy("column", "n", "lower_bound", "upper_bound").agg(F.count(F.lit(1)).alias("outlier_count")))
-        return self._keep(beyond.select("column", "outlier_count", percent("outlier_count", "n").alias("outlier_percentage"),
-                                        "lower_bound", "upper_bound"))
+        at = {c: i for i, c in enumerate(self.numeric)}
+        rows = [(c, n, n * 100 / int(self.numbers.n[at[c]]), low, high) for c, (low, high, n) in self.exact.beyond.items() if n and self.numbers.n[at[c]] >= 4]
+        return local_rows(self.spark, rows, "column string, outlier_count long, outlier_percentage double, lower_bound double, upper_bound double")
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -369,44 +395,13 @@ def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
     return best.select(name, "rank", F.col("text").alias("value"), "cnt", percent("cnt", "total").alias("percentage"))
 
 
-def _moments(columns: Sequence[str]):
-    """Per task: sums over the rows where both columns of a pair are present, from matrices of each Arrow batch."""
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        n = len(columns)
-        totals = np.zeros((6, n, n))
-        for batch in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype("float64")
-            here = np.isfinite(x)
-            x, m = np.where(here, x, 0.0), here.astype("float64")
-            sums = x.T @ m  # of the first column, where the second is there
-            squares = (x * x).T @ m
-            totals += np.stack([m.T @ m, sums, sums.T, squares, squares.T, x.T @ x])
-        i, j = np.triu_indices(n, 1)
-        parts = [pa.array(i.astype("int32")), pa.array(j.astype("int32")), *[pa.array(t[i, j]) for t in totals]]
-        yield pa.RecordBatch.from_arrays(parts, names=["i", "j", "n", "x", "y", "xx", "yy", "xy"])
-    return run
+def _pair_rows(spark, columns: Sequence[str], found: Summary) -> DataFrame:
+    k = len(columns)
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    rows = [(ord_, columns[i], columns[j], found.correlation(i, j)) for ord_, (i, j) in enumerate(pairs)]
+    return local_rows(spark, [r for r in rows if r[3] is not None], "ord int, column1 string, column2 string, correlation double")
 
 
 def pair_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame | None:
-    """Pearson of every pair, over the rows where both are present, in one scan for all pairs.
-
-    Values are centred by their column's mean first, so that sums of squares keep their digits.
-    """
-    if len(columns) < 2:
-        return None
-    numbers = [ref(c).cast("double") for c in columns]
-    means = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(numbers)]).first()
-    centred = df.select(*[(v - F.lit(float(means[i] or 0.0))).alias(f"v{i}") for i, v in enumerate(numbers)])
-    sums = (centred.mapInArrow(_moments(columns), "i int, j int, n double, x double, y double, xx double, yy double, xy double")
-            .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")]))
-    # What is left of a constant column's squares is rounding.
-    spread = [F.when(F.col(s) - F.col(t) * F.col(t) / F.col("n") > F.col(s) * 1e-13, F.col(s) - F.col(t) * F.col(t) / F.col("n")) for s, t in (("xx", "x"), ("yy", "y"))]
-    r = (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.sqrt(spread[0] * spread[1])
-    names = F.array(*[F.lit(c) for c in columns])
-    k = len(columns)
-    ord_ = F.col("i") * (2 * k - F.col("i") - 1) / 2 + F.col("j") - F.col("i") - 1
-    return (sums.where("n > 0").select(ord_.cast("int").alias("ord"), F.element_at(names, F.col("i") + 1).alias("column1"),
-                                       F.element_at(names, F.col("j") + 1).alias("column2"), r.alias("correlation")).where("correlation is not null"))
+    """Pearson of every pair, over the rows where both are present, in one scan for all pairs."""
+    return None if len(columns) < 2 else _pair_rows(df.sparkSession, columns, summarize(df, columns, sketched=False))

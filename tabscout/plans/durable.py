@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # A lookup table is sent to every executor only up to this many rows.
 LOOKUP_ROWS = 100_000
@@ -37,6 +39,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def local(df: DataFrame) -> DataFrame:
+    """``df``, which the schema or a limit bounds, brought to the driver and back: later plans know its size."""
+    return df.sparkSession.createDataFrame(df.toArrow(), schema=df.schema)
+
+
+def local_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A few rows that the driver knows, as a table of known size."""
+    schema = T.StructType.fromDDL(ddl)
+    table = pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=to_arrow_schema(schema))
+    return spark.createDataFrame(table, schema=schema)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path on the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
