@@ -15,6 +15,7 @@ import pickle
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tabscout.functions.moments import Summary, folded, inside, merged
@@ -35,6 +36,10 @@ def summarize(df: DataFrame, columns: Sequence[str], paired: bool = True, sketch
     return pickle.loads(rows[0]["part"]) if rows else Summary(len(columns), paired, sketched)
 
 
+#: Counted values inside all ranges that the driver looks through itself.
+DRIVER_ROWS = 100_000
+
+
 @dataclass
 class Exact:
     quantiles: dict[str, list[float]]
@@ -65,22 +70,16 @@ def exact(df: DataFrame, columns: Sequence[str], summary: Summary, probs: Sequen
         return Exact({}, {})
     numbers = df.select(*[ref(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
     found = durable(numbers.mapInArrow(inside(ranges), "slot int, value double, cnt bigint").groupBy("slot", "value").agg(F.sum("cnt").alias("cnt")))
-    sums = {r["slot"]: (r["below"] or 0, r["inside"] or 0) for r in found.groupBy("slot").agg(
-        F.sum(F.when(F.col("value").isNull(), F.col("cnt"))).alias("below"), F.sum(F.when(F.col("value").isNotNull(), F.col("cnt"))).alias("inside")).collect()}
+    held = _held(found)
     asked, missed = [], {}
+    value_of: dict[tuple[int, int], float] = {}
     for slot, (i, rank) in enumerate(wanted):
-        below, here = sums.get(slot, (0, 0))
+        below, here = held.sums.get(slot, (0, 0))
         if rank is not None and below < rank <= below + here and here <= FINAL_ROWS:
             asked.append((slot, int(rank - below)))
         elif rank is not None:
             missed.setdefault(f"c{i}", []).append(rank)
-    spark = df.sparkSession
-    value_of: dict[tuple[int, int], float] = {}
-    if asked:
-        small = found.where("value IS NOT NULL").join(F.broadcast(local_rows(spark, asked, "slot int, local bigint")), "slot")  # a row a rank
-        running = F.sum("cnt").over(W.partitionBy("slot").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow))  # at most FINAL_ROWS values a slot
-        hits = small.withColumn("upto", running).where("local <= upto AND local > upto - cnt").select("slot", "value").collect()
-        value_of = {wanted[h["slot"]]: h["value"] for h in hits}
+    value_of = {wanted[slot]: value for slot, value in held.values(asked).items()}
     if missed:
         more = select_ranks(numbers.select(*missed), missed)
         value_of.update({(int(c[1:]), rank): value for (c, rank), (value, _) in more.items()})
@@ -93,11 +92,66 @@ def exact(df: DataFrame, columns: Sequence[str], summary: Summary, probs: Sequen
             q.append(low + (high - low) * (place - math.floor(place)))
         out.quantiles[columns[i]] = q
     if fences:
-        _count_beyond(out, found, columns, able, wanted, ranges, sums, summary, fences, k, numbers)
+        _count_beyond(out, held, columns, able, wanted, ranges, summary, fences, k, numbers)
     return out
 
 
-def _count_beyond(out: Exact, found: DataFrame, columns, able, wanted, ranges, sums, summary: Summary, fences, k: float, numbers: DataFrame) -> None:
+class _Few:
+    """The counted values inside all ranges, few enough for the driver."""
+
+    def __init__(self, found: DataFrame):
+        table = found.toArrow()
+        slot, value, cnt = (table.column(c).to_numpy() for c in ("slot", "value", "cnt"))
+        order = np.lexsort((value, slot))  # the count below a range, under NaN, comes last
+        slot, value, cnt = slot[order], value[order], cnt[order]
+        self.sums, self.parts = {}, {}
+        for s in np.unique(slot).tolist():
+            here = slot == s
+            inside = here & ~np.isnan(value)
+            self.parts[s] = value[inside], np.cumsum(cnt[inside])
+            self.sums[s] = int(cnt[here & np.isnan(value)].sum()), int(cnt[inside].sum())
+
+    def values(self, asked: list[tuple[int, int]]) -> dict[int, float]:
+        return {s: float(self.parts[s][0][np.searchsorted(self.parts[s][1], local)]) for s, local in asked}
+
+    def upto(self, edges: list[tuple[int, float, int]]) -> dict[int, int]:
+        out = {}
+        for s, edge, side in edges:
+            values, running = self.parts.get(s, (np.zeros(0), np.zeros(0)))
+            at = np.searchsorted(values, edge, side="right" if side else "left")
+            out[s] = int(running[at - 1]) if at else 0
+        return out
+
+
+class _Many:
+    """The same, left in Spark."""
+
+    def __init__(self, found: DataFrame):
+        self.found, self.inside = found, found.where("value IS NOT NULL")
+        sums = found.groupBy("slot").agg(F.sum(F.when(F.col("value").isNull(), F.col("cnt"))).alias("below"), F.sum(F.when(F.col("value").isNotNull(), F.col("cnt"))).alias("here"))
+        self.sums = {r["slot"]: (r["below"] or 0, r["here"] or 0) for r in sums.collect()}  # a row a slot
+
+    def values(self, asked: list[tuple[int, int]]) -> dict[int, float]:
+        if not asked:
+            return {}
+        small = self.inside.join(F.broadcast(local_rows(self.found.sparkSession, asked, "slot int, local bigint")), "slot")  # a row a rank
+        running = F.sum("cnt").over(W.partitionBy("slot").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow))  # at most FINAL_ROWS values a slot
+        hits = small.withColumn("upto", running).where("local <= upto AND local > upto - cnt").select("slot", "value").collect()
+        return {h["slot"]: h["value"] for h in hits}
+
+    def upto(self, edges: list[tuple[int, float, int]]) -> dict[int, int]:
+        if not edges:
+            return {}
+        near = self.inside.join(F.broadcast(local_rows(self.found.sparkSession, edges, "slot int, edge double, side int")), "slot")  # two rows a column
+        counted = near.where("CASE WHEN side = 0 THEN value < edge ELSE value <= edge END").groupBy("slot").agg(F.sum("cnt").alias("n")).collect()
+        return {r["slot"]: r["n"] for r in counted}
+
+
+def _held(found: DataFrame) -> _Few | _Many:
+    return _Few(found) if found.count() <= DRIVER_ROWS else _Many(found)
+
+
+def _count_beyond(out: Exact, held: _Few | _Many, columns, able, wanted, ranges, summary: Summary, fences, k: float, numbers: DataFrame) -> None:
     bounds = {}
     for i in able:
         q1, q3 = (out.quantiles[columns[i]][f] for f in fences)
@@ -105,16 +159,11 @@ def _count_beyond(out: Exact, found: DataFrame, columns, able, wanted, ranges, s
     slots = {i: [s for s, (c, rank) in enumerate(wanted) if c == i and rank is None] for i in able}
     sure = [i for i in able if all(ranges[s][1] <= b <= ranges[s][2] for s, b in zip(slots[i], bounds[i]))]
     edges = [(slots[i][side], bounds[i][side], side) for i in sure for side in (0, 1)]
-    held: dict[int, int] = {}
-    if edges:
-        spark = found.sparkSession
-        near = found.where("value IS NOT NULL").join(F.broadcast(local_rows(spark, edges, "slot int, edge double, side int")), "slot")  # two rows a column
-        counted = near.where("CASE WHEN side = 0 THEN value < edge ELSE value <= edge END").groupBy("slot").agg(F.sum("cnt").alias("n")).collect()
-        held = {r["slot"]: r["n"] for r in counted}
+    inside_of = held.upto(edges)
     for i in sure:
         low, high = slots[i]
-        below = sums.get(low, (0, 0))[0] + held.get(low, 0)
-        upto = sums.get(high, (0, 0))[0] + held.get(high, 0)
+        below = held.sums.get(low, (0, 0))[0] + inside_of.get(low, 0)
+        upto = held.sums.get(high, (0, 0))[0] + inside_of.get(high, 0)
         out.beyond[columns[i]] = (*bounds[i], int(below + summary.n[i] - upto))
     rest = [i for i in able if i not in sure]
     if rest:  # a fence outside the range that the sketch gave

@@ -70,7 +70,9 @@ def test_sketch_finds_ranks(kind):
         assert kind in ("hot", "few") or ((x >= low) & (x <= high)).mean() < 0.02
 
 
-def test_exact_quantiles_and_fences(spark):
+@pytest.mark.parametrize("rows", [su.DRIVER_ROWS, 0])
+def test_exact_quantiles_and_fences(spark, monkeypatch, rows):
+    monkeypatch.setattr(su, "DRIVER_ROWS", rows)
     rng = np.random.default_rng(7)
     x = np.column_stack([column(k, 30_000, rng) for k in KINDS])
     x[:5, 0] = 1e6  # far values
