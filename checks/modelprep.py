@@ -266,3 +266,20 @@ SELECT 0, true FROM range((SELECT CAST(sum(CASE WHEN label = 0 THEN -1 ELSE 1 EN
 def smote_rows(t):
     table = t.embeddings.withColumn("y", F.expr("if(label = 0, 1, 0)"))
     return smote(table, "embedding", "y", "vec_id").groupBy("y", "synthetic").agg(F.count("*").alias("rows"))
+
+
+@query("smote_vectors", """
+WITH p AS (SELECT vec_id, (label = 0)::INTEGER AS y, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+c AS (SELECT y, count(*) AS m, max(count(*)) OVER () - count(*) AS extra, least(5, greatest(1, min_by(count(*), y) OVER () - 1)) AS k FROM p GROUP BY y),
+r AS (SELECT p.*, extra, k, m, row_number() OVER (PARTITION BY y ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) AS place FROM p JOIN c USING (y) WHERE extra > 0),
+t AS (SELECT *, extra // m + CASE WHEN place <= extra % m THEN 1 ELSE 0 END AS times FROM r),
+n AS (SELECT a.vec_id, list(b.v ORDER BY list_distance(a.v, b.v), b.vec_id) AS near FROM r a JOIN r b ON a.y = b.y AND a.vec_id <> b.vec_id GROUP BY 1),
+d AS (SELECT y, v, near[1:k] AS near, unnest(range(1, times + 1)) AS j, vec_id FROM t JOIN n USING (vec_id)),
+m AS (SELECT y, v, near[CAST(CAST('0x' || substr(md5(vec_id || ':' || j || ':42'), 1, 15) AS BIGINT) % len(near) AS INTEGER) + 1] AS o,
+  CAST('0x' || substr(md5(vec_id || ':' || j || ':43'), 1, 15) AS BIGINT) % 2147483648 / 2147483648.0::DOUBLE AS s FROM d)
+SELECT y, false AS synthetic, vec_id, list_transform(v, lambda x: round(x, 9)) AS vec FROM p
+UNION ALL SELECT y, true, NULL, list_transform(list_zip(v, o), lambda x: round(x[1] + s * (x[2] - x[1]), 9)) FROM m""")
+def smote_vectors(t):
+    """Every new row between a row and one of its neighbours, by value."""
+    table = t.embeddings.withColumn("y", F.expr("if(label = 0, 1, 0)"))
+    return smote(table, "embedding", "y", "vec_id").select("y", "synthetic", "vec_id", F.transform("embedding", lambda x: F.round(x, 9)).alias("vec"))

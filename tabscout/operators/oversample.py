@@ -1,8 +1,11 @@
 """Oversampling rare classes between exact nearest neighbours.
 
-Neighbours are found without comparing everything to everything: points are grouped
-around pivots, and the triangle inequality says which groups can hold a neighbour.
-Work is cut into blocks of bounded size, so no task depends on the size of a class.
+Neighbours are found without comparing everything to everything. Points are grouped around
+pivots, and each group is cut into rings of about ``BLOCK`` points by their distance from
+its pivot. A point first meets its own ring, which bounds the distance of its k-th
+neighbour; then the ring that may come closest, which tightens the bound; then only those
+rings whose inner and outer radius the bound admits. Work is cut into blocks of bounded
+size, so no task depends on the size of a class.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tabscout.functions.text import ref
 from tabscout.plans.durable import durable, lookup
@@ -28,11 +31,48 @@ def _distances(x: np.ndarray, points: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in points], axis=1)
 
 
-def nearest(points: DataFrame, k: int, pivots: int | None = None, block: int = BLOCK) -> DataFrame:
+#: Rings of a group at most; larger ones are split by hash.
+RINGS = 256
+RING = ["label", "cell", "ring", "slot"]
+FOUND = "label string, pid string, other string, distance double, vec array<double>"
+
+
+def _closest(k: int):
+    """The ``k`` nearest of ``around`` for each asking row, none beyond its bound."""
+    def run(asked: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(asked) and len(around):
+            around = around.sort_values("pid")  # so that a stable sort by distance breaks ties by id
+            x, others, ids = np.stack(asked["vec"].to_numpy()), np.stack(around["vec"].to_numpy()), around["pid"].to_numpy()
+            own, bound, label = asked["pid"].to_numpy(), asked["bound"].to_numpy(), asked["label"].iloc[0]
+            step = max(1, (1 << 22) // max(others.size, 1))
+            for a in range(0, len(x), step):
+                d = np.sqrt(((x[a : a + step, None, :] - others[None]) ** 2).sum(axis=2))
+                d[(own[a : a + step, None] == ids[None]) | (d > bound[a : a + step, None])] = np.inf
+                best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                found += [(label, own[a + i], ids[j], d[i, j], others[j]) for i, row in enumerate(best) for j in row if np.isfinite(d[i, j])]
+        return pd.DataFrame(found, columns=["label", "pid", "other", "distance", "vec"])
+
+    return run
+
+
+def _rings(placed: DataFrame, block: int) -> DataFrame:
+    """``placed`` with ``ring`` and ``slot``: rings of about ``block`` points from the quantiles of the distance to the pivot."""
+    grid = F.array(*[F.lit(i / RINGS) for i in range(1, RINGS)])
+    groups = placed.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("dist", grid, 4 * RINGS).alias("grid"))
+    rings = F.least(F.lit(RINGS), F.ceil(F.col("n") / block)).cast("int")
+    cuts = F.filter(F.transform(F.sequence(F.lit(0), rings - 1), lambda i: F.when(i > 0, F.get("grid", F.floor(i * RINGS / rings).cast("int") - 1))), lambda c: c.isNotNull())
+    shaped = lookup(groups.select("label", "cell", cuts.alias("cuts"), F.ceil(F.col("n") / (F.lit(block) * RINGS)).cast("int").alias("slots")))  # a row a group
+    return placed.join(shaped, ["label", "cell"]).withColumns({
+        "ring": F.size(F.filter("cuts", lambda c: c < F.col("dist"))), "slot": F.pmod(F.xxhash64("pid"), F.col("slots")).cast("int")}).drop("cuts", "slots")
+
+
+def nearest(points: DataFrame, k: int, pivots: int | None = None, block: int = BLOCK, met: list | None = None) -> DataFrame:
     """The ``k`` nearest other points of the same label, exactly.
 
     ``points`` has label, pid and vec, with distinct (label, pid) and distinct vectors
     per label. Returns label, pid, rank, other, distance, vec (of the other point).
+    ``met``, if a list, gets the DataFrames of (asking row, ring) pairs that were looked at.
     """
     points = points.select(F.col("label").cast("string").alias("label"), "pid", F.col("vec").cast("array<double>").alias("vec"))
     if pivots is None:  # more cells for more points, so that a cell stays small
@@ -41,7 +81,6 @@ def nearest(points: DataFrame, k: int, pivots: int | None = None, block: int = B
     if not chosen:
         return points.select("label", "pid", F.lit(0).alias("rank"), F.col("pid").alias("other"), F.lit(0.0).alias("distance"), "vec")
     centres = np.array([r["vec"] for r in chosen])
-    gaps = _distances(centres, centres)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -50,69 +89,68 @@ def nearest(points: DataFrame, k: int, pivots: int | None = None, block: int = B
             yield pdf.assign(cell=cell, dist=d[np.arange(len(cell)), cell])
 
     placed = durable(points.mapInPandas(assign, "label string, pid string, vec array<double>, cell int, dist double"))
-    cells = lookup(placed.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius")))
-
-    def reach(pdf: pd.DataFrame) -> pd.DataFrame:
-        # At most one row per pivot: how far from its centre a cell must look for k neighbours.
-        index, radius, n = pdf["cell"].to_numpy(), pdf["radius"].to_numpy(), pdf["n"].to_numpy()
-        far = np.full(len(centres), -1.0)
-        for i, r in zip(index, radius):
-            bound = gaps[i][index] + radius
-            order = np.argsort(bound)
-            enough = np.searchsorted(np.cumsum(n[order]), k + 1)
-            limit = bound[order][min(enough, len(order) - 1)]
-            far[i] = (2 * r + limit) * (1 + 1e-9) + 1e-9
-        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "far": [far.tolist()], "total": [int(n.sum())]})
-
-    reaches = lookup(cells.groupBy("label").applyInPandas(reach, "label string, far array<double>, total long"), 1000)
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ringed = durable(_rings(placed, block))
+    rings = lookup(ringed.groupBy(*RING).agg(F.min("dist").alias("inner"), F.max("dist").alias("outer")))
+    radius = F.map_from_entries(F.collect_list(F.struct("cell", "outer")))  # an entry a pivot at most
+    balls = lookup(rings.groupBy("label", "cell").agg(F.max("outer").alias("outer")).groupBy("label").agg(radius.alias("balls")), 1000)
+
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The groups whose ball each bound admits, with the distance from their pivot."""
         for pdf in batches:
             d = _distances(np.stack(pdf["vec"].to_numpy()), centres)
-            far = np.stack(pdf["far"].to_numpy())
-            yield pdf.drop(columns="far").assign(cells=[np.flatnonzero(row).tolist() for row in d <= far])
-
-    def blocks(count):
-        return F.ceil(count / block).cast("int")
-
-    def slot(count):
-        return F.pmod(F.xxhash64("pid"), F.greatest(blocks(count), F.lit(1))).cast("int")
-
-    asking = placed.join(cells.select("label", "cell", "n"), ["label", "cell"]).join(reaches.select("label", "total"), "label")
-    left = (asking.withColumn("a", slot(F.col("n")))
-            .withColumn("b", F.explode(F.sequence(F.lit(0), blocks(F.col("total")) - 1))).select("label", "cell", "a", "b", "pid", "vec"))
-    offered = (placed.select("label", "pid", "vec").join(reaches, "label")
-               .mapInPandas(spread, "label string, pid string, vec array<double>, total long, cells array<int>")
-               .withColumn("b", slot(F.col("total"))).withColumn("cell", F.explode("cells")))
-    right = (offered.join(cells.select("label", "cell", "n"), ["label", "cell"])
-             .withColumn("a", F.explode(F.sequence(F.lit(0), blocks(F.col("n")) - 1))).select("label", "cell", "a", "b", "pid", "vec"))
-
-    def search(asked: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(asked) and len(around):
-            around = around.sort_values("pid")  # so that a stable sort by distance breaks ties by id
-            x, others, ids = np.stack(asked["vec"].to_numpy()), np.stack(around["vec"].to_numpy()), around["pid"].to_numpy()
-            own, label = asked["pid"].to_numpy(), asked["label"].iloc[0]
-            step = max(1, (1 << 22) // others.size)
-            for a in range(0, len(x), step):
-                d = np.sqrt(((x[a : a + step, None, :] - others[None]) ** 2).sum(axis=2))
-                d[own[a : a + step, None] == ids[None]] = np.inf
-                best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                found += [(label, own[a + i], ids[j], d[i, j], others[j]) for i, row in enumerate(best) for j in row if np.isfinite(d[i, j])]
-        return pd.DataFrame(found, columns=["label", "pid", "other", "distance", "vec"])
-
-    at = ["label", "cell", "a", "b"]
-    partial = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(
-        search, "label string, pid string, other string, distance double, vec array<double>")
-    order = W.partitionBy("label", "pid").orderBy("distance", "other")
-    return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("label", "pid", "rank", "other", "distance", "vec")
+            cells = []
+            for row, outer, bound in zip(d, pdf["balls"], pdf["bound"]):
+                outer = dict(outer)
+                at = np.fromiter(outer, np.int64, len(outer))
+                far = np.fromiter(outer.values(), np.float64, len(outer))
+                cells.append([(int(c), float(row[c])) for c in at[row[at] - far <= bound * (1 + 1e-9) + 1e-9]])
+            yield pdf.drop(columns="balls").assign(cells=cells)
+
+    def admitted(asking: DataFrame) -> DataFrame:
+        """(asking row, ring) pairs that may hold a neighbour within the bound, and how close the ring comes."""
+        kinds = "label string, pid string, vec array<double>, bound double, cells array<struct<cell:int,d:double>>"
+        wide = asking.join(balls, "label").select("label", "pid", "vec", "bound", "balls").mapInPandas(reach, kinds)
+        near = F.greatest(F.lit(0.0), F.col("d") - F.col("outer"), F.col("inner") - F.col("d"))
+        return (wide.select("label", "pid", "vec", "bound", F.inline("cells")).join(rings, ["label", "cell"])
+                .withColumn("near", near).where("near <= bound * (1 + 1e-9D) + 1e-9D"))
+
+    def search(pairs: DataFrame) -> DataFrame:
+        if met is not None:
+            met.append(pairs.select("label", "pid", *RING[1:]))
+        asked = pairs.groupBy(*RING).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))  # of each ring: its asking rows, in parts
+        left = pairs.join(asked, RING).withColumn("part", F.pmod(F.xxhash64("pid"), F.col("parts")).cast("int")).select(*RING, "part", "pid", "vec", "bound")
+        right = ringed.join(asked, RING).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*RING, "part", "pid", "vec")
+        left = left.select(*[F.col(c).alias(c) for c in left.columns])  # columns of its own, as both sides come from ``ringed``
+        at = [*RING, "part"]
+        return left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(_closest(k), FOUND)
+
+    first = W.partitionBy("label", "pid").orderBy("distance", "other")
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+
+    def bounded(found: DataFrame) -> DataFrame:
+        kth = found.groupBy("label", "pid").agg(F.max(F.when(F.col("rank") == k, F.col("distance"))).alias("bound"))
+        return ringed.join(kth, ["label", "pid"], "left").select(*RING, "pid", "vec", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+
+    here = durable(best(search(ringed.select(*RING, "pid", "vec", F.lit(float("inf")).alias("bound")))))
+    own = ringed.select("label", "pid", *[F.col(c).alias(f"own_{c}") for c in RING[1:]])
+    home = (F.col("cell") == F.col("own_cell")) & (F.col("ring") == F.col("own_ring")) & (F.col("slot") == F.col("own_slot"))
+    away = admitted(bounded(here)).join(own, ["label", "pid"]).where(~home)
+    closest = F.min_by(F.struct("cell", "ring", "slot", "vec", "bound"), F.struct("near", "cell", "ring", "slot")).alias("c")
+    next_ = durable(away.groupBy("label", "pid").agg(closest).select("label", "pid", "c.*"))
+    found = durable(best(here.drop("rank").unionByName(search(next_))))
+    seen = next_.select("label", "pid", *RING[1:])
+    rest = admitted(bounded(found)).join(own, ["label", "pid"]).where(~home).join(seen, ["label", "pid", *RING[1:]], "left_anti")
+    every = found.drop("rank").unionByName(search(durable(rest)))
+    return best(every).select("label", "pid", "rank", "other", "distance", "vec")
 
 
 def smote(df: DataFrame, vec: str, target: str, key: str, k: int | None = None, seed: int = 42) -> DataFrame:
     """Rows of ``df`` plus synthetic rows that bring every class up to the largest one.
 
     Returns target, vec, key (null on synthetic rows) and ``synthetic``. Each row of a
-    smaller class is used equally often; neighbours and positions follow a hash of the key.
+    smaller class is used equally often; neighbours and positions follow the md5 of the key.
     """
     rows = df.where(ref(target).isNotNull()).select(ref(target).alias("label"), ref(key).alias("key"), ref(vec).cast("array<double>").alias("vec"))
     sizes = durable(rows.groupBy("label").agg(F.count(F.lit(1)).alias("m")))
@@ -140,8 +178,12 @@ def smote(df: DataFrame, vec: str, target: str, key: str, k: int | None = None,
              .join(mine.withColumnRenamed("label", "text").alias("m"), ["text", "pid"])
              .withColumn("near", near).where("size(near) > 0 and times > 0")
              .withColumn("j", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))))
-    pick = F.element_at("near", (F.pmod(F.xxhash64("key", "j", F.lit(seed)), F.size("near")) + 1).cast("int"))
-    step = F.pmod(F.xxhash64("key", "j", F.lit(seed + 1)), F.lit(1 << 31)) / float(1 << 31)
+    def draw(salt: int) -> Column:
+        """A whole number below 2 ** 60 from the key, the turn and a salt; by md5, so that any engine gets the same."""
+        text = F.concat_ws(":", F.col("key").cast("string"), F.col("j").cast("string"), F.lit(str(salt)))
+        return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")
+    pick = F.element_at("near", (draw(seed) % F.size("near") + 1).cast("int"))
+    step = draw(seed + 1) % F.lit(1 << 31) / float(1 << 31)
     made = drawn.withColumns({"other": pick, "step": step}).select(
         "label", F.lit(None).cast(dict(rows.dtypes)["key"]).alias("key"),
         F.expr("zip_with(vec, other, (a, b) -> a + step * (b - a))").alias("vec"), F.lit(True).alias("synthetic"))

@@ -368,28 +368,55 @@ def rank_frequencies(freq: DataFrame, k: int) -> DataFrame:
     return freq.withColumn("rank", F.rank().over(best)).where(F.col("rank") <= k)
 
 
+def _long_texts(df: DataFrame, columns: Sequence[str], of: DataFrame, part) -> DataFrame:
+    """(__c, value_size, value, part): ``part`` of each long text whose digest is in ``of``."""
+    fields = [df.schema[c] for c in columns]
+    cells = F.array(*[F.struct(*cell[:3], value_text(f).cast("string").alias("text")) for cell, f in zip(_compact_cells(fields), fields)])
+    keys = ["__c", "value_size", "value"]
+    return (df.select(F.inline(cells)).where(F.col("value_size") > DIGEST_FROM).join(lookup(of.select(*keys)), keys)
+            .groupBy(*keys).agg(F.min(part(F.col("text"))).alias("part")))
+
+
+def refined(df: DataFrame, columns: Sequence[str], top: DataFrame, k: int) -> DataFrame:
+    """``top`` of ``rank_frequencies`` cut to ``k`` values per column, or those that no further character tells apart.
+
+    While more than ``k`` stay, the values that tie at the border are compared by their next
+    characters, twice as many each time: texts that begin alike are never ranked whole.
+    """
+    done = DIGEST_FROM
+    width = DIGEST_FROM
+    while True:
+        sizes = top.groupBy("__c").agg(F.count(F.lit(1)).alias("kept"), F.max("rank").alias("border"), F.max("value_size").alias("longest"))
+        open_ = [r for r in sizes.collect() if r["kept"] > k and r["longest"] > done]  # a row a column
+        if not open_:
+            return top
+        borders = F.array(*[F.struct(F.lit(r["__c"]).alias("c"), F.lit(r["border"]).alias("b")) for r in open_])
+        tied = F.exists(borders, lambda x: (x["c"] == F.col("__c")) & (x["b"] == F.col("rank")))
+        start = done + 1
+        more = _long_texts(df, columns, top.where(tied & (F.col("value_size") > DIGEST_FROM)), lambda text: F.substring(text, start, width))
+        further = W.partitionBy("__c").orderBy("rank", F.coalesce("part", F.lit("")))
+        keys = ["__c", "value_size", "value"]
+        top = durable(top.join(more, keys, "left").withColumn("rank", F.rank().over(further)).where(F.col("rank") <= k).drop("part"))
+        done, width = done + width, width * 2
+
+
 def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
     """column, rank, value, cnt, percentage of the ``k`` most frequent non-null values per column.
 
     Ties go to the smallest value. Long texts are counted by digest and compared by their
-    first characters; only those that may win are read back whole and compared as they are.
+    first characters, at the border by more of them; only winners are read back whole.
     """
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, rank int, value string, cnt long, percentage double")
     freq = compact_frequencies(df, columns)
     totals = freq.groupBy("__c").agg(F.sum("cnt").alias("total"))
-    top = durable(rank_frequencies(freq, k))
+    top = refined(df, columns, durable(rank_frequencies(freq, k)), k)
     name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("__c") + 1).alias("column")
-    digests = top.where(F.col("value_size") > DIGEST_FROM).select("__c", "value_size", "value")
+    digests = top.where(F.col("value_size") > DIGEST_FROM)
     text = F.col("value")
     if not digests.isEmpty():
-        # Usually k rows a column or fewer; more where many long texts begin alike, so the size is checked.
-        fields = [df.schema[c] for c in columns]
-        cells = F.array(*[F.struct(*cell[:3], value_text(f).cast("string").alias("text")) for cell, f in zip(_compact_cells(fields), fields)])
-        found = (df.select(F.inline(cells)).where(F.col("value_size") > DIGEST_FROM).join(lookup(digests), ["__c", "value_size", "value"])
-                 .groupBy("__c", "value_size", "value").agg(F.min("text").alias("text")))
-        top = top.join(found, ["__c", "value_size", "value"], "left")
-        text = F.coalesce("text", "value")
+        top = top.join(_long_texts(df, columns, digests, lambda t: t), ["__c", "value_size", "value"], "left")  # k rows a column
+        text = F.coalesce("part", "value")
     ordered = W.partitionBy("__c").orderBy(F.desc("cnt"), "text")
     best = (top.select("__c", text.alias("text"), "cnt").withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k).join(totals, "__c"))
     return best.select(name, "rank", F.col("text").alias("value"), "cnt", percent("cnt", "total").alias("percentage"))

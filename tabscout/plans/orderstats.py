@@ -215,7 +215,9 @@ def every_nth(df: DataFrame, order: str, key: str, points: int, columns: Sequenc
     """Rows 1, 1+s, 1+2s, … of ``df`` ordered by (``order``, md5 of ``key``).
 
     ``s`` is max(1, rows // points), so fewer than twice ``points`` rows are drawn.
-    Returns ``idx`` (0-based) and ``columns``; ``order`` is a number, date or time.
+    Returns ``idx`` (0-based) and ``columns``; ``order`` is a number, date or time. Only
+    order and key are sorted, in range partitions whose offsets make places of them; the
+    rows drawn are then fetched by key, which tells the rows apart (of equal ones, any).
     """
     kind = dict(df.dtypes)[order]
     x = F.col(f"`{order}`")
@@ -224,23 +226,13 @@ def every_nth(df: DataFrame, order: str, key: str, points: int, columns: Sequenc
     elif kind == "date":
         x = F.unix_date(x)
     data = df.select(*_cols(columns), x.cast("double").alias("__x"), F.col(f"`{key}`").alias("__key")).where("__x is not null and not isnan(__x)")
-    rows = data.count()
-    if rows <= FINAL_ROWS:
-        place = F.row_number().over(W.orderBy("__x", tie_key(F.col("__key")), "__key")) - 1  # few enough for one task
-        return (data.withColumn("idx", place.cast("bigint")).where(F.col("idx") % max(1, rows // points) == 0)
-                .select("idx", *_cols(columns)))
-    ranks = range(1, rows + 1, max(1, rows // points))
-    found = select_ranks(data.select("__x"), {"__x": list(ranks)})
-    at: dict[float, list[tuple[int, int]]] = {}
-    for (_, rank), (value, below) in sorted(found.items()):
-        at.setdefault(value, []).append((rank - below, rank - 1))
-    # One row per drawn position: the values to look at, and places among equal values.
-    targets = df.sparkSession.createDataFrame(
-        [(v, [p for p, _ in places], [i for _, i in places]) for v, places in at.items()], "label double, places array<long>, idx array<long>")
-    equal = data.join(F.broadcast(targets.select(F.col("label").alias("__x"))), "__x", "left_semi")
-    cuts = md5_cutoffs(equal, "__x", "__key", F.col("places"), targets)
-    drawn = cuts.select(F.col("label").alias("__x"), F.col("cut.__k").alias("__key"), F.element_at("idx", F.col("i")).alias("idx"))
-    return equal.join(F.broadcast(drawn), ["__x", "__key"]).select("idx", *_cols(columns)).dropDuplicates(["idx"])
+    placed = durable(with_position(data.select("__x", tie_key(F.col("__key")).alias("__t"), "__key"), [F.col("__x"), F.col("__t"), F.col("__key")], "place"))
+    rows = placed.count()
+    step = max(1, rows // points)
+    drawn = placed.where((F.col("place") - 1) % step == 0).select(F.col("__x").alias("at"), F.col("__key").alias("of"), (F.col("place") - 1).alias("idx"))
+    # Fewer than twice ``points`` rows.
+    found = data.join(F.broadcast(drawn), (F.col("__x") == F.col("at")) & F.col("__key").eqNullSafe(F.col("of")))
+    return found.select("idx", *_cols(columns)).dropDuplicates(["idx"])
 
 
 def md5_cutoffs(df: DataFrame, label: str, key: str, ranks: Column, per_label: DataFrame | None = None) -> DataFrame:

@@ -93,3 +93,16 @@ def test_wide_table_takes_several_passes(spark, monkeypatch):
     assert len(rows) == 28
     assert all(math.isclose(r.correlation, want.loc[r.column1, r.column2], rel_tol=1e-9) for r in rows)
     assert Profile(df).numeric_stats.count() == 8
+
+
+def test_ties_of_texts_that_begin_alike_are_refined(spark):
+    """Thousands of texts with one beginning: a few k of them are kept, and the smallest win."""
+    df = spark.range(6000).selectExpr("concat(repeat('same beginning ', 20), lpad(cast(pmod(id * 7919, 3000) as string), 6, '0')) as s", "concat('x', id % 3) as u")
+    freq = p.compact_frequencies(df, ["s", "u"])
+    kept = p.refined(df, ["s", "u"], p.durable(p.rank_frequencies(freq, 5)), 5)
+    assert kept.where("__c = 0").count() == 5
+    got = [r.value for r in p.top_values(df, ["s", "u"], 5).where("column = 's'").orderBy("rank").collect()]
+    assert got == ["same beginning " * 20 + f"{i:06d}" for i in range(5)]
+    short = spark.range(100).selectExpr("if(id % 2 = 0, repeat('a', 64), repeat('a', 64 + id)) as s")
+    found = [(r["rank"], len(r.value)) for r in p.top_values(short, ["s"], 3).orderBy("rank").collect()]
+    assert found == [(1, 64), (2, 65), (3, 67)]
