@@ -143,3 +143,39 @@ def train_rank(t):
 def train_rank_regression(t):
     table = t.part.drop("p_name", "p_brand")
     return result(m.train_and_rank(table, "p_retailprice", "regression", "p_partkey", only=["Linear Regression", "Random Forest"], folds=2, tuned=True))
+
+
+#: Customers with a class that one column decides, split as the models split them.
+BANDED = """WITH c AS (SELECT c_custkey, c_nationkey, CASE WHEN c_nationkey < 12 THEN 'low' ELSE 'up' END AS band FROM customer),
+s AS (SELECT *, CASE WHEN band = 'low' THEN 0.0 ELSE 1.0 END AS label, row_number() OVER (PARTITION BY band ORDER BY md5(CAST(c_custkey AS VARCHAR)), c_custkey)
+  <= CAST(round(count(*) OVER (PARTITION BY band) * CAST(least(0.2, greatest(0.1, 5.0 / count(*) OVER ())) AS DOUBLE)) AS BIGINT) AS test FROM c)"""
+LEARNERS = ("Logistic Regression", "Random Forest", "Gradient Boosting", "Neural Network")
+
+
+def banded(t):
+    return t.customer.select("c_custkey", "c_nationkey", F.expr("if(c_nationkey < 12, 'low', 'up')").alias("band"))
+
+
+@query("train_predictions", f"""{BANDED}
+SELECT model_name, c_custkey AS key, CAST(label AS DOUBLE) AS label, CAST(label AS DOUBLE) AS prediction FROM s, (VALUES {", ".join(f"('{n}')" for n in LEARNERS)}) m(model_name) WHERE test""")
+def train_predictions(t):
+    """Each model finds the rule behind the class: its predictions on the test rows are known."""
+    return m.held_out_predictions(banded(t), "band", "classification", "c_custkey", only=LEARNERS)
+
+
+@query("train_metrics", f"""{BANDED}
+SELECT model_name, true AS tied, 1.0::DOUBLE AS test_score, 1.0::DOUBLE AS f1_score, 1.0::DOUBLE AS auc_roc, model_name = 'Gradient Boosting' AS is_best
+FROM (VALUES {", ".join(f"('{n}')" for n in LEARNERS)}) m(model_name) WHERE (SELECT count(DISTINCT label) FROM s WHERE test) = 2""")
+def train_metrics(t):
+    """The metrics of those predictions, and the best of equal models."""
+    out = m.train_and_rank(banded(t), "band", "classification", "c_custkey", only=LEARNERS, folds=None)
+    tied = F.max("test_score").over(W.partitionBy(F.lit(0))) == F.col("test_score")  # a row a model
+    return out.select("model_name", tied.alias("tied"), "test_score", F.col("metrics")["f1_score"].alias("f1_score"), F.col("metrics")["auc_roc"].alias("auc_roc"), "is_best")
+
+
+@query("train_folds", f"""{BANDED},
+r AS (SELECT c_custkey, label, row_number() OVER (PARTITION BY band ORDER BY md5(CAST(c_custkey AS VARCHAR)), c_custkey) AS r, count(*) OVER (PARTITION BY band) AS n FROM s WHERE NOT test)
+SELECT c_custkey AS key, CAST(label AS DOUBLE) AS label,
+CAST(least(4, (r > ceil(n * 1 / 5.0::DOUBLE))::INT + (r > ceil(n * 2 / 5.0::DOUBLE))::INT + (r > ceil(n * 3 / 5.0::DOUBLE))::INT + (r > ceil(n * 4 / 5.0::DOUBLE))::INT) AS INTEGER) AS fold FROM r""")
+def train_folds(t):
+    return m.training_folds(banded(t), "band", "c_custkey", 5)

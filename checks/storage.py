@@ -18,29 +18,11 @@ def src_csv(t):
     return f.read_csv(t.spark, path)
 
 
-@query("src_csv_encodings", """
-SELECT enc, CAST(doc_id AS INTEGER) AS doc_id, source, replace(substr(text, 1, 60), chr(10), ' ') AS text FROM documents, (VALUES ('utf8'), ('bom'), ('latin')) e(enc) WHERE lang = 'fr'""")
-def src_csv_encodings(t):
-    """UTF-8, UTF-8 with a mark at the start, and one byte a character."""
-    rows = t.documents.where("lang = 'fr'").select("doc_id", "source", F.replace(F.substring("text", 1, 60), F.lit("\n"), F.lit(" ")).alias("text"))
-    line = F.concat_ws(",", F.col("doc_id").cast("string"), "source", F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"')))
-    out = None
-    for name, encoding, mark in (("utf8", "UTF-8", ""), ("bom", "UTF-8", "\ufeff"), ("latin", "ISO-8859-1", "")):
-        path = scratch_path(t.spark, name)
-        head = t.spark.range(1).select(F.lit(mark + "doc_id,source,text").alias("line"), F.lit(0).alias("o"))
-        body = rows.select(line.alias("line"), F.lit(1).alias("o"))
-        # One file, its header first: an upload is one file. Its rows are cells of 60 characters.
-        (head.unionByName(body).coalesce(1).sortWithinPartitions("o").select("line").write.option("encoding", encoding).text(path))
-        found = f.read_csv(t.spark, path).select(F.lit(name).alias("enc"), F.col("doc_id").cast("int").alias("doc_id"), "source", "text")
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _latin(back: bool):
-    """Texts in ISO-8859-1: a backslash doubled, what the set cannot hold as \\uXXXX or \\UXXXXXXXX; ``back`` reads them again."""
-    escape = lambda t: t.replace("\\", "\\\\").encode("latin-1", "backslashreplace").decode("latin-1")
-    known = re.compile(r"\\(?:\\|u([0-9a-f]{4})|U([0-9a-f]{8}))")
-    plain = lambda t: known.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else "\\", t)
+def _bytewise(encoding: str, back: bool):
+    """Texts in a one-byte set, as ISO-8859-1 writes its bytes: a backslash doubled, what the set cannot hold as \\xXX, \\uXXXX or \\UXXXXXXXX; ``back`` reads them again."""
+    escape = lambda t: t.replace("\\", "\\\\").encode(encoding, "backslashreplace").decode("latin-1")
+    known = re.compile(r"\\(?:\\|x([0-9a-f]{2})|u([0-9a-f]{4})|U([0-9a-f]{8}))")
+    plain = lambda t: known.sub(lambda m: chr(int(m[1] or m[2] or m[3], 16)) if m.lastindex else "\\", t)
 
     def run(batches):
         for b in batches:
@@ -50,18 +32,18 @@ def _latin(back: bool):
     return run
 
 
-@query("src_csv_encodings_whole", """
-SELECT enc, doc_id, source, text FROM documents, (VALUES ('utf8'), ('bom'), ('latin')) e(enc)""")
-def src_csv_encodings_whole(t):
-    """Every document with its whole text, in many files, each with its own header and mark."""
+@query("src_csv_encodings", """
+SELECT enc, doc_id, source, text FROM documents, (VALUES ('utf8'), ('bom'), ('latin'), ('windows')) e(enc)""")
+def src_csv_encodings(t):
+    """Every document with its whole text, in many files of each encoding, each with its own header and mark."""
     rows, schema, out = t.documents.select("doc_id", "source", "text"), "doc_id bigint, source string, text string", None
-    for name, encoding, mark in (("utf8", "UTF-8", ""), ("bom", "UTF-8", "\ufeff"), ("latin", "ISO-8859-1", "")):
-        path = scratch_path(t.spark, name)
-        body = rows.mapInArrow(_latin(False), schema) if name == "latin" else rows
-        (body.withColumnRenamed("doc_id", mark + "doc_id").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions"))).write.option("header", True).option("escape", '"').option("encoding", encoding)
-         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    for name, encoding, mark in (("utf8", "UTF-8", ""), ("bom", "UTF-8", "\ufeff"), ("latin", "latin-1", ""), ("windows", "cp1252", "")):
+        path, bytewise = scratch_path(t.spark, name), encoding != "UTF-8"
+        body = rows.mapInArrow(_bytewise(encoding, False), schema) if bytewise else rows
+        (body.withColumnRenamed("doc_id", mark + "doc_id").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions"))).write.option("header", True).option("escape", '"')
+         .option("encoding", "ISO-8859-1" if bytewise else encoding).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
         found = f.read_csv(t.spark, path, T._parse_datatype_string(schema), line_breaks=True)
-        found = found.mapInArrow(_latin(True), schema) if name == "latin" else found
+        found = found.mapInArrow(_bytewise(encoding, True), schema) if bytewise else found
         found = found.select(F.lit(name).alias("enc"), *[F.col(c) for c in ("doc_id", "source", "text")])
         out = found if out is None else out.unionByName(found)
     return out

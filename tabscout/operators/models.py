@@ -6,6 +6,7 @@ import logging
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
@@ -231,6 +232,27 @@ def train_one(candidate: Candidate, data: TrainingData, key: str, folds: int | N
             "metrics": {k: float(v) for k, v in metrics.items() if v is not None}}
 
 
+def held_out_predictions(df: DataFrame, target: str, problem_type: str, key: str, only: Sequence[str] | None = None, tuned: bool = False) -> DataFrame:
+    """(model_name, key, label, prediction) of every test row and candidate: what the metrics are computed from.
+
+    ``label`` is the target as prepared: for classes, their place in sorted order.
+    """
+    data = prepare(df, target, problem_type, key)
+    rows = data.train.count()
+    classes = data.classes.count() if problem_type == "classification" else 0
+    chosen = classifiers(rows, len(data.features), classes, tuned) if classes else regressors(rows, len(data.features), tuned)
+    train, test = durable(_assembled(data, data.train, False)), durable(assemble(data.test, data.features, data.target, key))
+    parts = [c.build().fit(train).transform(test).select(F.lit(c.name).alias("model_name"), ref(key).alias("key"), F.col("label").cast("double").alias("label"), F.col("prediction"))
+             for c in chosen if not only or c.name in only]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def training_folds(df: DataFrame, target: str, key: str, folds: int) -> DataFrame:
+    """(key, label, fold) of every training row of a classification table, as cross-validation cuts them."""
+    data = prepare(df, target, "classification", key)
+    return stratified_folds(data.train, data.target, key, folds).select(ref(key).alias("key"), ref(data.target).cast("double").alias("label"), "fold")
+
+
 RESULT = ("model_name string, model_type string, test_score double, cv_score double, training_time double, "
           "feature_importance array<struct<feature: string, importance: double>>, metrics map<string, double>, error string")
 FIELDS = ("model_name", "model_type", "test_score", "cv_score", "training_time", "feature_importance", "metrics", "error")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
@@ -17,8 +18,17 @@ PREVIEW_ROWS = 10
 SAMPLE_VALUES = 5
 
 
+#: Where windows-1252 has other characters than ISO-8859-1, and the bytes that it leaves undefined.
+_OTHER = {chr(b): bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}
+CONTROLS, CHARACTERS = "".join(k for k, v in _OTHER.items() if v), "".join(_OTHER.values())
+UNDEFINED = [k.encode("latin-1") for k, v in _OTHER.items() if not v]
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, encoding: str | None = None, line_breaks: bool = False) -> DataFrame:
-    """A CSV file, or a folder of them, with a header each. Without ``encoding``, UTF-8 unless some bytes are not UTF-8.
+    """A CSV file, or a folder of them, with a header each.
+
+    Without ``encoding``, it is UTF-8 (with or without a mark) if all bytes are, else
+    windows-1252 if no byte is undefined in it, else ISO-8859-1.
 
     ``line_breaks``: quoted cells may hold line breaks, and a quote in them is doubled; files are then not split.
 
@@ -31,19 +41,25 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
         reader = reader.option("multiLine", True).option("escape", '"')
     if encoding is None:
         encoding = _encoding(spark, path)
-    df = reader.option("encoding", encoding).csv(path)
+    windows = encoding.lower() in ("cp1252", "windows-1252")
+    # Spark's reader knows ISO-8859-1, whose control characters stand for the other 27.
+    df = reader.option("encoding", "ISO-8859-1" if windows else encoding).csv(path)
     if not df.columns:
         raise ValueError("CSV file is empty")
+    if windows:
+        names = str.maketrans(CONTROLS, CHARACTERS)
+        df = df.select(*[(F.translate(ref(f.name), CONTROLS, CHARACTERS) if isinstance(f.dataType, T.StringType) else ref(f.name)).alias(f.name.translate(names))
+                         for f in df.schema.fields])
     return df
 
 
 def _encoding(spark: SparkSession, path: str) -> str:
     # The reader would replace bytes that are not UTF-8 without an error.
-    bad = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1)
-    if bad.isEmpty():
+    lines = spark.read.text(path)
+    if lines.where(~F.is_valid_utf8("value")).limit(1).isEmpty():
         return "UTF-8"
-    legacy = spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "true"
-    return "windows-1252" if legacy else "ISO-8859-1"
+    odd = [F.contains(F.col("value").cast("binary"), F.lit(b)) for b in UNDEFINED]
+    return "windows-1252" if lines.where(reduce(lambda x, y: x | y, odd)).limit(1).isEmpty() else "ISO-8859-1"
 
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:
