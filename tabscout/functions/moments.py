@@ -152,32 +152,34 @@ def matrix(batch: pa.RecordBatch) -> np.ndarray:
     return np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype("float64")
 
 
-def folded(k: int, paired: bool, sketched: bool):
+def folded(table: int, k: int, paired: bool, sketched: bool):
+    """One partial summary a task, under the number of its table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = Summary(k, paired, sketched)
         for batch in batches:
             if batch.num_rows:
                 total.merge(Summary.of(matrix(batch), paired, sketched))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], names=["part"])
+        yield pa.RecordBatch.from_arrays([pa.array([table], pa.int32()), pa.array([pickle.dumps(total)], pa.binary())], names=["table", "part"])
 
     return run
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
+    """Partials of one table made one as they stream in."""
+    totals: dict[int, Summary] = {}
     for batch in batches:
-        for value in batch.column(0).to_pylist():
+        for table, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             part = pickle.loads(value)
-            if total is None:
-                total = part
+            if table in totals:
+                totals[table].merge(part)
             else:
-                total.merge(part)
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], names=["part"])
+                totals[table] = part
+    for table, total in totals.items():
+        yield pa.RecordBatch.from_arrays([pa.array([table], pa.int32()), pa.array([pickle.dumps(total)], pa.binary())], names=["table", "part"])
 
 
-def inside(ranges: Sequence[tuple[int, float, float]]):
-    """(slot, value, cnt): rows of each range by value, and under a null value those below it."""
+def inside(ranges: Sequence[tuple[int, float, float]], first: int = 0):
+    """(slot, value, cnt): rows of each range by value, and under a null value those below it; slots count from ``first``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         below = np.zeros(len(ranges), np.int64)
         held: list[list[np.ndarray]] = [[] for _ in ranges]
@@ -187,7 +189,7 @@ def inside(ranges: Sequence[tuple[int, float, float]]):
             for slot in slots:
                 if held[slot]:
                     values, counts = np.unique(np.concatenate(held[slot]), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), slot, np.int32)), pa.array(values), pa.array(counts.astype(np.int64))], names=["slot", "value", "cnt"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), first + slot, np.int32)), pa.array(values), pa.array(counts.astype(np.int64))], names=["slot", "value", "cnt"])
                     held[slot] = []
 
         for batch in batches:
@@ -203,6 +205,6 @@ def inside(ranges: Sequence[tuple[int, float, float]]):
                 yield from told(range(len(ranges)))
                 size = 0
         yield from told(range(len(ranges)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(ranges)), pa.int32()), pa.nulls(len(ranges), pa.float64()), pa.array(below)], names=["slot", "value", "cnt"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(ranges)), pa.int32()), pa.nulls(len(ranges), pa.float64()), pa.array(below)], names=["slot", "value", "cnt"])
 
     return run

@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from tabscout.functions.stats import percent, strength
 from tabscout.functions.text import ref
 from tabscout.plans.durable import durable, local, local_rows, lookup
-from tabscout.plans.summary import Exact, Summary, exact, summarize
+from tabscout.plans.summary import Exact, Summary, exact_all, summarize, summarize_all
 
 # Columns turned into rows together; wider tables take several column-pruned passes.
 COLUMNS_PER_PASS = 200
+COLUMN_ROWS = ("ord int, name string, dtype string, column_type string, total_rows long, unique_count long, unique_percentage double, "
+               "missing_count long, missing_percentage double, zero_count long, potential_target boolean")
 QUARTILES = (0.25, 0.5, 0.75)
 # Strings longer than this are compared by length and SHA-256 when rows are compared.
 DIGEST_FROM = 64
@@ -81,17 +83,22 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def column_counts(df: DataFrame, columns: Sequence[str], numeric: Sequence[str] = ()) -> DataFrame:
-    """(column, total_rows, unique_count, missing_count, zero_count), distinct values compared in their own type."""
-    there = F.coalesce(F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("time").isNotNull() | F.col("text").isNotNull(), F.lit(False))
-    number = F.array(*[F.lit(c in numeric) for c in columns])
-    zero = F.get(number, F.col("__c")) & ((F.col("whole") == 0) | (F.col("real") == 0))
-    names = F.array(*[F.lit(c) for c in columns])
+def _counted(values: DataFrame, keys: Sequence[str], number: Column) -> DataFrame:
+    """keys..., total_rows, unique_count, missing_count, zero_count from ``value_counts``; ``number``: whether the column holds numbers."""
+    there = F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("time").isNotNull() | F.col("text").isNotNull()
+    zero = number & ((F.col("whole") == 0) | (F.col("real") == 0))
     none = F.lit(0).cast("bigint")
-    return (value_counts(df, columns).groupBy("__c").agg(
+    return values.groupBy(*keys).agg(
         F.sum("cnt").alias("total_rows"), F.count_if(there).alias("unique_count"),
         F.sum(F.when(there, none).otherwise(F.col("cnt"))).alias("missing_count"), F.sum(F.when(zero, F.col("cnt")).otherwise(none)).alias("zero_count"))
-        .select(F.element_at(names, F.col("__c") + 1).alias("column"), "total_rows", "unique_count", "missing_count", "zero_count"))
+
+
+def column_counts(df: DataFrame, columns: Sequence[str], numeric: Sequence[str] = ()) -> DataFrame:
+    """(column, total_rows, unique_count, missing_count, zero_count), distinct values compared in their own type."""
+    names = F.array(*[F.lit(c) for c in columns])
+    number = F.get(F.array(*[F.lit(c in numeric) for c in columns]), F.col("__c"))
+    return _counted(value_counts(df, columns), ["__c"], number).select(
+        F.element_at(names, F.col("__c") + 1).alias("column"), "total_rows", "unique_count", "missing_count", "zero_count")
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -171,13 +178,6 @@ class Profile:
             "total_rows", F.lit(len(self.names)).alias("total_columns"),
             "duplicate_rows", "duplicate_percentage"))
 
-    @cached_property
-    def _schema_rows(self) -> DataFrame:
-        rows = [(i, f.name, f.dataType.simpleString(), column_class(f.dataType)) for i, f in enumerate(self.fields)]
-        cells = [F.struct(F.lit(i).alias("ord"), F.lit(n).alias("name"), F.lit(t).alias("dtype"),
-                          F.lit(k).alias("column_type")) for i, n, t, k in rows]
-        return self.spark.range(1).select(F.inline(F.array(*cells)))
-
     @cached_property
     def counts(self) -> DataFrame:
         """column, total_rows, unique_count, missing_count, zero_count."""
@@ -191,23 +191,28 @@ class Profile:
     @cached_property
     def numbers(self) -> Summary:
         """Moments, co-moments and sketches of the number columns, from one scan."""
-        return summarize(self.df, self.numeric)
+        share_numbers([self])
+        return self.__dict__["numbers"]
 
     @cached_property
     def exact(self) -> Exact:
         """Quartiles and the counts of values beyond the fences, from one more scan."""
-        return exact(self.df, self.numeric, self.numbers, QUARTILES, (0, 2))
+        share_exact([self])
+        return self.__dict__["exact"]
 
     @cached_property
     def columns(self) -> DataFrame:
-        joined = (self._schema_rows
-                  .join(self.counts.withColumnRenamed("column", "name"), "name", "left")
-                  .na.fill(0, ["total_rows", "missing_count", "zero_count", "unique_count"]))
-        return self._keep(joined.select(
-            "ord", "name", "dtype", "column_type", "total_rows", "unique_count",
-            percent("unique_count", "total_rows").alias("unique_percentage"), "missing_count",
-            percent("missing_count", "total_rows").alias("missing_percentage"), "zero_count",
-            F.col("unique_count").between(2, 19).alias("potential_target")))
+        share_columns([self])
+        return self.__dict__["columns"]
+
+    def column_rows(self, counts: dict[str, tuple[int, int, int, int]]) -> DataFrame:
+        """The column rows from total, distinct, missing and zero counts; a table without rows has none of these."""
+        rows = []
+        for i, f in enumerate(self.fields):
+            total, unique, missing, zero = counts.get(f.name, (0, 0, 0, 0))
+            share = lambda part: part / total * 100 if total else None  # noqa: B023, E731
+            rows.append((i, f.name, f.dataType.simpleString(), column_class(f.dataType), total, unique, share(unique), missing, share(missing), zero, 2 <= unique <= 19))
+        return local_rows(self.spark, rows, COLUMN_ROWS)
 
     @cached_property
     def quartiles(self) -> DataFrame:
@@ -349,6 +354,43 @@ class Profile:
         return wide.select(F.inline(F.array(*rows))).where("ord <= 6")
 
 
+#: Tables that share a job.
+TOGETHER = 64
+
+
+def share_numbers(profiles: Sequence[Profile]) -> None:
+    """Fill ``numbers`` of several profiles from one job."""
+    todo = [p for p in profiles if "numbers" not in p.__dict__]
+    for start in range(0, len(todo), TOGETHER):
+        some = todo[start:start + TOGETHER]
+        for p, found in zip(some, summarize_all([(p.df, p.numeric) for p in some])):
+            p.__dict__["numbers"] = found
+
+
+def share_exact(profiles: Sequence[Profile]) -> None:
+    """Fill ``exact`` of several profiles from one job."""
+    share_numbers(profiles)
+    todo = [p for p in profiles if "exact" not in p.__dict__]
+    for start in range(0, len(todo), TOGETHER):
+        some = todo[start:start + TOGETHER]
+        for p, found in zip(some, exact_all([(p.df, p.numeric, p.numbers) for p in some], QUARTILES, (0, 2))):
+            p.__dict__["exact"] = found
+
+
+def share_columns(profiles: Sequence[Profile]) -> None:
+    """Fill ``columns`` of several profiles from one job: the values of all tables are counted as rows keyed by table and column."""
+    todo = [p for p in profiles if "columns" not in p.__dict__]
+    for start in range(0, len(todo), TOGETHER):
+        some = todo[start:start + TOGETHER]
+        counted = reduce(DataFrame.unionByName, [value_counts(p.df, p.names).withColumn("t", F.lit(t)) for t, p in enumerate(some)])
+        places = [F.array(*[F.lit(c in p.numeric) for c in p.names]) for p in some]
+        number = F.get(F.get(F.array(*places), F.col("t")), F.col("__c"))
+        rows = _counted(counted, ["t", "__c"], number).collect()  # a row a column
+        for t, p in enumerate(some):
+            mine = {p.names[r["__c"]]: (r["total_rows"], r["unique_count"], r["missing_count"], r["zero_count"]) for r in rows if r["t"] == t}
+            p.__dict__["columns"] = p.column_rows(mine)
+
+
 def _compact_cells(fields) -> list[list[Column]]:
     return [[F.lit(i).alias("__c"), *compact(value_text(f), "value"), F.substring(value_text(f).cast("string"), 1, DIGEST_FROM).alias("head")] for i, f in enumerate(fields)]
 

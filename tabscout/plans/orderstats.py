@@ -229,9 +229,9 @@ def every_nth(df: DataFrame, order: str, key: str, points: int, columns: Sequenc
     placed = durable(with_position(data.select("__x", tie_key(F.col("__key")).alias("__t"), "__key"), [F.col("__x"), F.col("__t"), F.col("__key")], "place"))
     rows = placed.count()
     step = max(1, rows // points)
-    drawn = placed.where((F.col("place") - 1) % step == 0).select(F.col("__x").alias("at"), F.col("__key").alias("of"), (F.col("place") - 1).alias("idx"))
+    drawn = placed.where((F.col("place") - 1) % step == 0).select(F.col("__x").alias("__at"), F.col("__key").alias("__of"), (F.col("place") - 1).alias("idx"))
     # Fewer than twice ``points`` rows.
-    found = data.join(F.broadcast(drawn), (F.col("__x") == F.col("at")) & F.col("__key").eqNullSafe(F.col("of")))
+    found = data.join(F.broadcast(drawn), (F.col("__x") == F.col("__at")) & F.col("__key").eqNullSafe(F.col("__of")))
     return found.select("idx", *_cols(columns)).dropDuplicates(["idx"])
 
 

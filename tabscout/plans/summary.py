@@ -14,6 +14,7 @@ import math
 import pickle
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -23,17 +24,28 @@ from tabscout.functions.text import ref
 from tabscout.plans.durable import durable, local_rows
 from tabscout.plans.orderstats import FINAL_ROWS, select_ranks
 
+def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.select(*[ref(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+
+
 def summarize(df: DataFrame, columns: Sequence[str], paired: bool = True, sketched: bool = True) -> Summary:
     """One scan of ``columns`` as doubles; missing, NaN and infinite values are left out."""
-    if not columns:
-        return Summary(0, paired, sketched)
-    numbers = df.select(*[ref(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    parts = numbers.mapInArrow(folded(len(columns), paired, sketched), "part binary")
-    middle = max(1, math.isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return summarize_all([(df, columns)], paired, sketched)[0]
+
+
+def summarize_all(tables: Sequence[tuple[DataFrame, Sequence[str]]], paired: bool = True, sketched: bool = True) -> list[Summary]:
+    """The same of several tables, in one job."""
+    out = [Summary(len(columns), paired, sketched) for _, columns in tables]
+    shape = "table int, part binary"
+    parts = [_numbers(df, columns).mapInArrow(folded(t, len(columns), paired, sketched), shape) for t, (df, columns) in enumerate(tables) if columns]
+    if not parts:
+        return out
+    middle = max(1, math.isqrt(int(parts[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     # Partials are merged one by one as they stream in, first in a few tasks, then in one.
-    first = parts.repartition(middle).mapInArrow(merged, "part binary")
-    rows = first.repartition(1).mapInArrow(merged, "part binary").collect()  # one row
-    return pickle.loads(rows[0]["part"]) if rows else Summary(len(columns), paired, sketched)
+    first = reduce(DataFrame.unionByName, parts).repartition(middle).mapInArrow(merged, shape)
+    for row in first.repartition(1).mapInArrow(merged, shape).collect():  # one row a table
+        out[row["table"]] = pickle.loads(row["part"])
+    return out
 
 
 #: Counted values inside all ranges that the driver looks through itself.
@@ -52,9 +64,13 @@ def exact(df: DataFrame, columns: Sequence[str], summary: Summary, probs: Sequen
     ``fences`` names two of the ``probs``, the quartiles: the values beyond ``k`` times their
     distance from them are counted in the same scan.
     """
-    able = [i for i in range(len(columns)) if summary.n[i] > 0]
-    wanted, ranges = [], []  # (column, rank) of each range, then the fences' ranges
-    for i in able:
+    return exact_all([(df, columns, summary)], probs, fences, k)[0]
+
+
+def _wanted(summary: Summary, probs: Sequence[float], fences, k: float) -> tuple[list, list]:
+    """(column, rank), with the range that must hold it; for fences, with the range that must hold them and no rank."""
+    wanted, ranges = [], []
+    for i in np.flatnonzero(summary.n > 0).tolist():
         n = int(summary.n[i])
         ranks = sorted({f((n - 1) * p) + 1 for p in probs for f in (math.floor, math.ceil)})
         near = summary.sketches[i].around(ranks, n)
@@ -66,33 +82,46 @@ def exact(df: DataFrame, columns: Sequence[str], summary: Summary, probs: Sequen
             (a, b), (c, d) = ((clamp(at[math.floor((n - 1) * probs[f]) + 1][0]), clamp(at[math.ceil((n - 1) * probs[f]) + 1][1])) for f in fences)
             wanted += [(i, None)] * 2
             ranges += [(i, a - k * (d - a), b - k * max(c - b, 0)), (i, c + k * max(c - b, 0), d + k * (d - a))]
-    if not ranges:
-        return Exact({}, {})
-    numbers = df.select(*[ref(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    found = durable(numbers.mapInArrow(inside(ranges), "slot int, value double, cnt bigint").groupBy("slot", "value").agg(F.sum("cnt").alias("cnt")))
-    held = _held(found)
-    asked, missed = [], {}
-    value_of: dict[tuple[int, int], float] = {}
-    for slot, (i, rank) in enumerate(wanted):
-        below, here = held.sums.get(slot, (0, 0))
-        if rank is not None and below < rank <= below + here and here <= FINAL_ROWS:
-            asked.append((slot, int(rank - below)))
-        elif rank is not None:
-            missed.setdefault(f"c{i}", []).append(rank)
-    value_of = {wanted[slot]: value for slot, value in held.values(asked).items()}
-    if missed:
-        more = select_ranks(numbers.select(*missed), missed)
-        value_of.update({(int(c[1:]), rank): value for (c, rank), (value, _) in more.items()})
-    out = Exact({}, {})
-    for i in able:
-        n, q = int(summary.n[i]), []
-        for p in probs:
-            place = (n - 1) * p
-            low, high = (value_of[i, f(place) + 1] for f in (math.floor, math.ceil))
-            q.append(low + (high - low) * (place - math.floor(place)))
-        out.quantiles[columns[i]] = q
-    if fences:
-        _count_beyond(out, held, columns, able, wanted, ranges, summary, fences, k, numbers)
+    return wanted, ranges
+
+
+def exact_all(tables: Sequence[tuple[DataFrame, Sequence[str], Summary]], probs: Sequence[float], fences: tuple[int, int] | None = None, k: float = 1.5) -> list[Exact]:
+    """``exact`` of several tables, in one job while their summaries hold."""
+    out, plans, first = [Exact({}, {}) for _ in tables], [], 0
+    for t, (df, columns, summary) in enumerate(tables):
+        wanted, ranges = _wanted(summary, probs, fences, k)
+        if ranges:
+            plans.append((t, _numbers(df, columns), wanted, ranges, first))
+            first += len(ranges)
+    if not plans:
+        return out
+    scans = [numbers.mapInArrow(inside(ranges, start), "slot int, value double, cnt bigint") for _, numbers, _, ranges, start in plans]
+    held = _held(durable(reduce(DataFrame.unionByName, scans).groupBy("slot", "value").agg(F.sum("cnt").alias("cnt"))))
+    asked, of, missed = [], {}, {}
+    for t, _, wanted, _, start in plans:
+        for slot, (i, rank) in enumerate(wanted, start):
+            below, here = held.sums.get(slot, (0, 0))
+            if rank is not None and below < rank <= below + here and here <= FINAL_ROWS:
+                asked.append((slot, int(rank - below)))
+                of[slot] = t, i, rank
+            elif rank is not None:
+                missed.setdefault(t, {}).setdefault(f"c{i}", []).append(rank)
+    value_of = {of[slot]: value for slot, value in held.values(asked).items()}
+    for t, numbers, wanted, ranges, start in plans:
+        _, columns, summary = tables[t]
+        if t in missed:
+            more = select_ranks(numbers.select(*missed[t]), missed[t])
+            value_of.update({(t, int(c[1:]), rank): value for (c, rank), (value, _) in more.items()})
+        able = np.flatnonzero(summary.n > 0).tolist()
+        for i in able:
+            n, q = int(summary.n[i]), []
+            for p in probs:
+                place = (n - 1) * p
+                low, high = (value_of[t, i, f(place) + 1] for f in (math.floor, math.ceil))
+                q.append(low + (high - low) * (place - math.floor(place)))
+            out[t].quantiles[columns[i]] = q
+        if fences:
+            _count_beyond(out[t], held, columns, able, wanted, ranges, start, summary, fences, k, numbers)
     return out
 
 
@@ -151,17 +180,17 @@ def _held(found: DataFrame) -> _Few | _Many:
     return _Few(found) if found.count() <= DRIVER_ROWS else _Many(found)
 
 
-def _count_beyond(out: Exact, held: _Few | _Many, columns, able, wanted, ranges, summary: Summary, fences, k: float, numbers: DataFrame) -> None:
+def _count_beyond(out: Exact, held: _Few | _Many, columns, able, wanted, ranges, start: int, summary: Summary, fences, k: float, numbers: DataFrame) -> None:
     bounds = {}
     for i in able:
         q1, q3 = (out.quantiles[columns[i]][f] for f in fences)
         bounds[i] = (q1 - (q3 - q1) * k, q3 + (q3 - q1) * k)
     slots = {i: [s for s, (c, rank) in enumerate(wanted) if c == i and rank is None] for i in able}
     sure = [i for i in able if all(ranges[s][1] <= b <= ranges[s][2] for s, b in zip(slots[i], bounds[i]))]
-    edges = [(slots[i][side], bounds[i][side], side) for i in sure for side in (0, 1)]
+    edges = [(start + slots[i][side], bounds[i][side], side) for i in sure for side in (0, 1)]
     inside_of = held.upto(edges)
     for i in sure:
-        low, high = slots[i]
+        low, high = (start + s for s in slots[i])
         below = held.sums.get(low, (0, 0))[0] + inside_of.get(low, 0)
         upto = held.sums.get(high, (0, 0))[0] + inside_of.get(high, 0)
         out.beyond[columns[i]] = (*bounds[i], int(below + summary.n[i] - upto))
