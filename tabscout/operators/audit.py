@@ -118,6 +118,23 @@ EXPORT_TYPES = ["pdf", "excel", "png", "csv"]
 EXPORT_STATUS = ["pending", "processing", "completed", "failed"]
 ACTIONS = ["register", "login", "logout", "upload_dataset", "create_dashboard", "view_dashboard", "update_dashboard",
            "delete_dashboard", "share_dashboard", "export_dashboard", "query_data", "update_profile"]
+# The columns of the platform tables that must not be null.
+REQUIRED = {
+    "users": ["email", "password_hash", "name", "role", "is_active", "email_verified", "created_at", "updated_at"],
+    "sessions": ["user_id", "token", "login_time", "is_active", "expires_at"],
+    "user_preferences": ["user_id", "default_theme", "notifications_enabled", "updated_at"],
+    "themes": ["name", "display_name", "colors", "is_default", "is_active", "created_at", "updated_at"],
+    "dashboards": ["user_id", "title", "dataset_filename", "is_public", "view_count", "created_at", "updated_at"],
+    "dataset_storage": ["dashboard_id", "data", "created_at"],
+    "ml_results": ["dashboard_id", "model_name", "model_type", "test_score", "is_best_model", "created_at"],
+    "insights": ["dashboard_id", "insight_type", "title", "content", "priority", "created_at"],
+    "chart_configurations": ["dashboard_id", "chart_type", "title", "order_index", "is_visible", "created_at", "updated_at"],
+    "dashboard_shares": ["dashboard_id", "created_by", "share_token", "permission_level", "is_public", "is_active", "view_count", "created_at"],
+    "query_history": ["user_id", "query_text", "was_successful", "timestamp"],
+    "exports": ["dashboard_id", "export_type", "status", "download_count", "created_at"],
+    "user_activity": ["action_type", "created_at"],
+}
+#: Fixed value: the pattern of an e-mail address.
 EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}$"
 
 
@@ -130,20 +147,6 @@ def platform_rules() -> list[Check | Unique | ForeignKey]:
     at_least_zero = [("dashboards", "row_count"), ("dashboards", "column_count"), ("dashboards", "view_count"), ("dataset_storage", "row_count"),
                      ("ml_results", "training_time"), ("dashboard_shares", "view_count"), ("query_history", "execution_time"), ("exports", "download_count")]
     shares = [("ml_results", "test_score"), ("ml_results", "cv_score"), ("insights", "confidence_score")]
-    required = {
-        "users": "email password_hash name role is_active email_verified created_at updated_at",
-        "sessions": "user_id token login_time is_active expires_at",
-        "user_preferences": "user_id default_theme notifications_enabled updated_at",
-        "themes": "name display_name colors is_default is_active created_at updated_at",
-        "dashboards": "user_id title dataset_filename is_public view_count created_at updated_at",
-        "dataset_storage": "dashboard_id data created_at",
-        "ml_results": "dashboard_id model_name model_type test_score is_best_model created_at",
-        "insights": "dashboard_id insight_type title content priority created_at",
-        "chart_configurations": "dashboard_id chart_type title order_index is_visible created_at updated_at",
-        "dashboard_shares": "dashboard_id created_by share_token permission_level is_public is_active view_count created_at",
-        "query_history": "user_id query_text was_successful timestamp",
-        "exports": "dashboard_id export_type status download_count created_at",
-        "user_activity": "action_type created_at"}
     unique = [("users", "email"), ("sessions", "token"), ("user_preferences", "user_id"), ("themes", "name"),
               ("dataset_storage", "dashboard_id"), ("dashboard_shares", "share_token")]
     to_user = [("sessions", "user_id"), ("user_preferences", "user_id"), ("dashboards", "user_id"), ("dashboard_shares", "created_by"),
@@ -152,7 +155,7 @@ def platform_rules() -> list[Check | Unique | ForeignKey]:
     return [
         *[one_of(*e) for e in enums], *[in_range(t, c, 0) for t, c in at_least_zero], *[in_range(t, c, 0, 1) for t, c in shares],
         after("sessions", "expires_at", "login_time"), after("dashboard_shares", "expires_at", "created_at"), matches("users", "email", EMAIL),
-        *[not_null(t, c) for t, columns in required.items() for c in columns.split()],
-        *[Unique(t, ("id",)) for t in required], *[Unique(t, (c,)) for t, c in unique], Unique("themes", ("is_default",), "is_default"),
+        *[not_null(t, c) for t, columns in REQUIRED.items() for c in columns],
+        *[Unique(t, ("id",)) for t in REQUIRED], *[Unique(t, (c,)) for t, c in unique], Unique("themes", ("is_default",), "is_default"),
         *[ForeignKey(t, c, "users", "id") for t, c in to_user], ForeignKey("dashboards", "theme_id", "themes", "id"),
         *[ForeignKey(t, "dashboard_id", "dashboards", "id") for t in to_dashboard]]
