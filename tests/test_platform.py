@@ -104,3 +104,16 @@ def test_validate(spark):
     assert rules(df, "a.csv") == set()
     assert rules(df, "a.txt", 200, max_bytes=100, min_rows=10, min_columns=2) == {"file type", "file size", "too few rows", "too few columns"}
     assert rules(df, max_rows=2, max_columns=0) == {"too many rows", "too many columns"}
+
+
+def test_csv_in_one_byte_sets(spark, folder):
+    """windows-1252 where all bytes are defined in it, else ISO-8859-1; header names are decoded as well."""
+    from tabscout.sources.files import read_csv
+
+    with open(f"{folder}/w.csv", "wb") as out:
+        out.write("id,prix €\n1,“déjà” – 5 €\n2,œuf\n".encode("cp1252"))
+    with open(f"{folder}/l.csv", "wb") as out:
+        out.write(b"id,t\n1,caf\xe9 \x81 \x80\n")
+    windows = read_csv(spark, f"{folder}/w.csv")
+    assert windows.columns == ["id", "prix €"] and [tuple(r) for r in windows.collect()] == [(1, "“déjà” – 5 €"), (2, "œuf")]
+    assert [tuple(r) for r in read_csv(spark, f"{folder}/l.csv").collect()] == [(1, "café \x81 \x80")]
