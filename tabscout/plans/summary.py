@@ -24,6 +24,7 @@ from tabscout.functions.text import ref
 from tabscout.plans.durable import durable, local_rows
 from tabscout.plans.orderstats import FINAL_ROWS, select_ranks
 
+
 def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[ref(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
 
