@@ -40,6 +40,7 @@ class Params:
     slack: float = 0.16  # an estimate may be so much too low: six standard deviations of 250 registers
     listed: int = 32  # largest bucket whose pairs are listed
     block: int = 512  # classes that a task compares with as many others
+    chunk: int = 1 << 20  # links that a task contracts at a time
 
     @property
     def registers(self) -> int:
@@ -144,7 +145,7 @@ def _likely(p: Params):
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, p.registers) for i in (2, 3))
                 part = batch.filter(pa.array(estimate(a, b, p) >= p.percent / 100 - p.slack))
-                yield pa.RecordBatch.from_arrays(part.columns[:2], names=["a", "b"])
+                yield part.select(["a", "b", "u", "v"])
 
     return run
 
@@ -160,17 +161,38 @@ def _sets(p: Params):
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """The pairs (a, b) that the estimate lets through and the full sets confirm."""
+    """The links (``u``, ``v``) as (a, b) of the pairs (a, b, u, v) that the estimate lets through and the full sets confirm."""
     regs = classes.select("c", "regs")
     near = (pairs.join(regs.select(F.col("c").alias("a"), F.col("regs").alias("ra")), "a").join(regs.select(F.col("c").alias("b"), F.col("regs").alias("rb")), "b")
-            .select("a", "b", "ra", "rb").mapInArrow(_likely(p), "a bigint, b bigint"))
+            .select("a", "b", "ra", "rb", "u", "v").mapInArrow(_likely(p), "a bigint, b bigint, u bigint, v bigint"))
     both = (near.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b"))
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where((100 + p.percent) * shared >= p.percent * (F.size("sa") + F.size("sb"))).select("a", "b")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(c, root) of every linked c: the least c of its component, by turns of large and small stars."""
+    return both.where((100 + p.percent) * shared >= p.percent * (F.size("sa") + F.size("sb"))).select(F.col("u").alias("a"), F.col("v").alias("b"))
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of one part as (c, root): each end and the least end that the part's links reach from it."""
+    ends = [np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]) for batch in batches if batch.num_rows]
+    if not ends:
+        return
+    nodes, at = np.unique(np.concatenate(ends, axis=1), return_inverse=True)
+    x, y = at.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while (apart := root[x] != root[y]).any():
+        u, v = root[x[apart]], root[y[apart]]
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+    moved = root != np.arange(len(nodes))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], names=["a", "b"])
+
+
+def components(links: DataFrame, chunk: int) -> DataFrame:
+    """(c, root) of every linked c but the roots: the least c of its component.
+
+    Parts of at most some ``chunk`` links are contracted to stars by a task each. If there
+    are several, turns of large and small stars join them.
+    """
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
     def star(e: DataFrame, smaller: bool) -> DataFrame:
@@ -185,28 +207,30 @@ def components(links: DataFrame) -> DataFrame:
     def mark(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen = mark(edges)
-    while seen[0]:
+    kept = stored(links.select("a", "b"), "links")
+    parts = -(-kept.count() // chunk)
+    if not parts:
+        return kept.select(F.col("a").alias("c"), F.col("b").alias("root"))
+    edges = stored(kept.repartition(parts).mapInArrow(_forest, "a bigint, b bigint"), "stars")
+    seen = mark(edges) if parts > 1 else None
+    while seen:
         # A large star keeps each node's links to smaller ones, moved to the least; both stars keep the components.
-        edges = stored(star(star(edges, False), True), "links")
+        edges = stored(star(star(edges, False), True), "stars")
         now = mark(edges)
-        if now == seen:
-            break
-        seen = now
-    return edges.select(F.col("a").alias("c"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("c"), F.col("b").alias("root"))).distinct()
+        seen = now if now != seen else None
+    return edges.select(F.col("a").alias("c"), F.col("b").alias("root"))
 
 
 def _compare(p: Params):
-    """Links between the classes outside a family's largest component and any others, one block of each."""
+    """Links, as pairs of roots, between the classes outside a family's largest component and any others, one block of each."""
     def run(block: pd.DataFrame) -> pd.DataFrame:
         few, all_ = block[block["asks"]], block[~block["asks"]]
         out: list[tuple[int, int]] = []
         if len(few) and len(all_):
             regs = np.frombuffer(b"".join(all_["regs"]), np.uint16).reshape(len(all_), -1)
-            c, root, n = all_["c"].to_numpy(), all_["root"].to_numpy(), all_["n"].to_numpy()
+            root, n = all_["root"].to_numpy(), all_["n"].to_numpy()
             sets, ends = np.concatenate(all_["s"].to_list()), np.cumsum(n)
-            for own, own_root, own_n, own_regs, own_set in zip(few["c"], few["root"], few["n"], few["regs"], few["s"]):
+            for own_root, own_n, own_regs, own_set in zip(few["root"], few["n"], few["regs"], few["s"]):
                 likely = (root != own_root) & (100 * np.minimum(n, own_n) >= p.percent * np.maximum(n, own_n))
                 likely &= estimate(np.frombuffer(own_regs, np.uint16)[None], regs, p) >= p.percent / 100 - p.slack
                 if likely.any():
@@ -215,15 +239,14 @@ def _compare(p: Params):
                     running = np.concatenate([[0], np.cumsum(mine[at] == sets)])
                     shared = running[ends] - running[ends - n]
                     hit = np.flatnonzero(likely & ((100 + p.percent) * shared >= p.percent * (n + own_n)))
-                    _, first = np.unique(root[hit], return_index=True)  # one link to a component is enough
-                    out += [(own, c[j]) for j in hit[first]]
+                    out += [(own_root, other) for other in np.unique(root[hit])]  # one link to a component is enough
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
 
 def family_links(able: DataFrame, classes: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """Links across components within families: classes that large buckets join, directly or by others.
+    """Links, as pairs of roots, within families: classes that large buckets join, directly or by others.
 
     ``able`` (b, c, root, ...) has the memberships of large buckets. Every class outside the
     family's largest component is compared with every class of the other components, in
@@ -231,8 +254,8 @@ def family_links(able: DataFrame, classes: DataFrame, sets: DataFrame, p: Params
     """
     firsts = able.groupBy("b").agg(F.min("c").alias("first"))
     joined = able.join(firsts, "b").where("c <> first").select(F.col("c").alias("a"), F.col("first").alias("b")).distinct()
-    family = components(joined).withColumnRenamed("root", "family")
-    member = stored(able.select("c", "root").distinct().join(family, "c"), "family")
+    family = components(joined, p.chunk).withColumnRenamed("root", "family")
+    member = stored(able.select("c", "root").distinct().join(family, "c", "left").withColumn("family", F.coalesce("family", "c")), "family")
     main = member.groupBy("family", "root").count().groupBy("family").agg(F.max(F.struct("count", "root")).alias("m")).select("family", F.col("m.root").alias("main"))
     sizes = (member.join(main, "family").groupBy("family", "main")
              .agg(F.ceil(F.count("*") / p.block).cast("int").alias("parts"), F.ceil(F.count_if(F.col("root") != F.col("main")) / p.block).cast("int").alias("few_parts")))
@@ -246,7 +269,7 @@ def family_links(able: DataFrame, classes: DataFrame, sets: DataFrame, p: Params
 
 
 def link_classes(docs: DataFrame, p: Params = Params(), doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Signatures of every row of ``docs``, and (c, root) of the classes that link to others."""
+    """Signatures of every row of ``docs``, and (c, root) of the classes that link to others, but for the roots."""
     body = text_of(text)
     signed = stored(signatures(docs, p, doc, text), "signatures")
     classes = stored(signed.where("c IS NOT NULL").groupBy("c").agg(F.min(F.struct("d", "k")).alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
@@ -259,31 +282,35 @@ def link_classes(docs: DataFrame, p: Params = Params(), doc: str = "doc_id", tex
     sets = stored(texts.mapInArrow(_sets(p), "c bigint, s array<bigint>").dropDuplicates(["c"]), "sets")
     hubs = members.join(known, "c").groupBy("b").agg(F.max(F.struct("fame", "c")).alias("hub")).select("b", F.col("hub.c").alias("hub"))
     stars = members.join(hubs, "b").where("c <> hub").select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct()
-    links = stored(confirmed(stars, classes, sets, p), "links")
-    first = components(links)
+    first = components(confirmed(stars.withColumns({"u": F.col("a"), "v": F.col("b")}), classes, sets, p), p.chunk)
     # Buckets with several components, and what links across them can still exist.
     placed = members.select("b", "c").join(first, "c", "left").select("b", "c", F.coalesce("root", "c").alias("root"))
     several = placed.groupBy("b").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("b")
     open_ = stored(placed.join(several, "b"), "open")
+    if not open_.count():
+        return signed, first
     own = sets.join(open_.select("c").distinct(), "c", "left_semi")
     alone = (own.select("c", F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("c")).where("m = 1")
              .groupBy("c").agg(F.count("*").alias("alone")))
     sized = own.select("c", F.size("s").alias("n")).join(alone, "c", "left").select("c", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("v"))
     able = stored(open_.join(sized.where(100 * F.col("v") >= p.percent * F.col("n")), "c"), "able")
-    main = able.groupBy("b", "root").count().groupBy("b").agg(F.max(F.struct("count", "root")).alias("main")).select("b", "main.root")
-    held = able.groupBy("b").agg(F.count("*").alias("size"))
-    listed = able.join(held.where(F.col("size") <= p.listed).select("b"), "b", "left_semi")
-    few = stored(listed.join(main.withColumnRenamed("root", "main"), "b"), "listed")  # both sides of the join below
+    # Of each bucket: its largest component and its size.
+    marks = able.groupBy("b", "root").count().groupBy("b").agg(F.max(F.struct("count", "root")).alias("main"), F.sum("count").alias("size"))
+    marked = stored(able.join(marks.select("b", F.col("main.root").alias("main"), "size"), "b"), "marked")
+    few, wide = marked.where(F.col("size") <= p.listed), marked.where(F.col("size") > p.listed)
     x = few.where("root <> main").select("b", *[F.col(c).alias(f"x_{c}") for c in ("c", "root", "n", "v")])
     y = few.select("b", *[F.col(c).alias(f"y_{c}") for c in ("c", "root", "n", "v", "main")])
     possible = (100 + p.percent) * F.least("x_v", "y_v") >= p.percent * (F.col("x_n") + F.col("y_n"))
     # Two classes outside the largest component meet once.
     rest = (x.join(y, "b").where((F.col("x_root") != F.col("y_root")) & ((F.col("y_root") == F.col("y_main")) | (F.col("x_c") < F.col("y_c"))) & possible)
-            .select(F.least("x_c", "y_c").alias("a"), F.greatest("x_c", "y_c").alias("b")).distinct())
+            .select(F.least("x_c", "y_c").alias("a"), F.greatest("x_c", "y_c").alias("b"), F.least("x_root", "y_root").alias("u"), F.greatest("x_root", "y_root").alias("v")).distinct())
     new = confirmed(rest, classes, sets, p)
-    wide = stored(able.join(held.where(F.col("size") > p.listed).select("b"), "b", "left_semi"), "wide")  # read three times
-    more = family_links(wide, classes, sets, p)
-    return signed, components(stored(links.unionByName(new).unionByName(more), "links"))
+    if wide.count():
+        new = new.unionByName(family_links(wide, classes, sets, p))
+    # Later links join roots of the first components only.
+    up = components(new, p.chunk)
+    moved = first.join(up.select(F.col("c").alias("root"), F.col("root").alias("top")), "root", "left").select("c", F.coalesce("top", "root").alias("root"))
+    return signed, moved.unionByName(up)
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params(), doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -78,6 +78,43 @@ def test_links_that_no_hub_sees(spark):
     assert sorted(map(tuple, got)) == sorted(brute_components(rows, 3, 85))
 
 
+@pytest.mark.parametrize("chunk", [1 << 20, 60])
+def test_components(spark, chunk):
+    """One part of links, and several that stars join: a long path, a star, a cycle, random links and repeated ones."""
+    rng = random.Random(4)
+    links = [(i, i + 1) for i in range(-50, 40)] + [(500, 500 + i) for i in range(1, 60)] + [(700 + i, 700 + (i + 1) % 9) for i in range(9)]
+    links += [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(170)] + [(2000, 2001)] * 5
+    links = [(a, b) if rng.random() < 0.5 else (b, a) for a, b in links if a != b]
+    root = {x: x for e in links for x in e}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in links:
+            least = min(root[a], root[b])
+            moved |= root[a] != root[b]
+            root[a] = root[b] = least
+    got = neardup.components(spark.createDataFrame(links, "a long, b long"), chunk).collect()
+    assert sorted(map(tuple, got)) == sorted((c, r) for c, r in root.items() if c != r)
+    assert neardup.components(spark.createDataFrame([], "a long, b long"), chunk).count() == 0
+
+
+def test_jobs_of_near_duplicates(spark):
+    """Nothing is run for links that cannot exist: texts that share no bucket end the search early."""
+    def jobs(texts):
+        group = f"near-{len(texts)}-{texts[0][:9]}"
+        spark.sparkContext.setJobGroup(group, "jobs of near duplicates")
+        try:
+            neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+            return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    rng = random.Random(6)
+    apart = [" ".join(f"z{rng.randrange(10**6)}" for _ in range(60)) for _ in range(80)]
+    few, many = jobs(apart), jobs(family(rng, 120, 0.04))
+    assert 0 < few <= 40 and few < many <= 90, (few, many)
+
+
 def test_estimate():
     p = neardup.Params(words=3, percent=85)
     rng = random.Random(8)
