@@ -199,10 +199,13 @@ def oversampled(data: TrainingData, key: str) -> DataFrame:
     return made.select(ref(key), ref(data.target), *[F.col("__vec")[i].alias(c) for i, c in enumerate(data.features)])
 
 
-def train_one(candidate: Candidate, data: TrainingData, key: str, folds: int | None, fit_on: DataFrame | None = None, made: dict | None = None) -> dict:
+def train_one(candidate: Candidate, data: TrainingData, key: str, folds: int | None, fit_on: DataFrame | None = None, made: dict | None = None,
+              as_written: bool = False) -> dict:
     """Fit on the training rows (or ``fit_on``), score on the test rows; ``folds`` None skips cross-validation.
 
-    ``made`` keeps the assembled tables that several candidates share.
+    A cross-validation that fails leaves no ``cv_score`` but its message as ``cv_error``;
+    with ``as_written`` the test score stands in. ``made`` keeps the assembled tables that
+    several candidates share.
     """
     made = {} if made is None else made
     started = time.time()
@@ -220,14 +223,14 @@ def train_one(candidate: Candidate, data: TrainingData, key: str, folds: int | N
     else:
         metrics = regression_metrics(predicted).first().asDict()
         score = metrics["r2_score"]
-    cv = None
+    cv, cv_error = None, None
     if folds:
         try:
             cv = cross_validate(candidate, data, key, folds, made)
         except Exception as error:
             log.warning("cross-validation of %s failed: %s", candidate.name, error)
-            cv = score
-    return {"model_name": candidate.name, "model_type": data.problem_type, "test_score": float(score or 0.0), "cv_score": cv,
+            cv, cv_error = score if as_written else None, str(error)[:ERROR_LENGTH]
+    return {"model_name": candidate.name, "model_type": data.problem_type, "test_score": float(score or 0.0), "cv_score": cv, "cv_error": cv_error,
             "training_time": time.time() - started, "feature_importance": feature_importance(model, data.features),
             "metrics": {k: float(v) for k, v in metrics.items() if v is not None}}
 
@@ -254,17 +257,19 @@ def training_folds(df: DataFrame, target: str, key: str, folds: int) -> DataFram
 
 
 RESULT = ("model_name string, model_type string, test_score double, cv_score double, training_time double, "
-          "feature_importance array<struct<feature: string, importance: double>>, metrics map<string, double>, error string")
-FIELDS = ("model_name", "model_type", "test_score", "cv_score", "training_time", "feature_importance", "metrics", "error")
+          "feature_importance array<struct<feature: string, importance: double>>, metrics map<string, double>, error string, cv_error string")
+FIELDS = ("model_name", "model_type", "test_score", "cv_score", "training_time", "feature_importance", "metrics", "error", "cv_error")
 ERROR_LENGTH = 500
 
 
 def train_and_rank(df: DataFrame, target: str, problem_type: str, key: str, only: Sequence[str] | None = None,
-                   folds: int | None = -1, tuned: bool = False) -> DataFrame:
+                   folds: int | None = -1, tuned: bool = False, as_written: bool = False) -> DataFrame:
     """Train every candidate and rank by test score; one that fails has a row with its error and no score.
 
     One row per model (a handful), with scores fit for storage and the best one flagged.
     ``folds`` -1 chooses the number of folds from the data, None skips cross-validation.
+    Where cross-validation fails, ``cv_score`` is null and ``cv_error`` says why, or, with
+    ``as_written``, the test score stands in.
     """
     data = prepare(df, target, problem_type, key)
     rows = data.train.count()
@@ -284,7 +289,7 @@ def train_and_rank(df: DataFrame, target: str, problem_type: str, key: str, only
         if only and candidate.name not in only:
             continue
         try:
-            results.append(train_one(candidate, data, key, folds, fit_on, made))
+            results.append(train_one(candidate, data, key, folds, fit_on, made, as_written))
         except Exception as error:
             log.warning("training %s failed: %s", candidate.name, error)
             results.append({"model_name": candidate.name, "model_type": problem_type, "error": str(error)[:ERROR_LENGTH]})

@@ -19,6 +19,18 @@ def test_train_and_rank(flowers):
     assert all(r.feature_importance and set(r.metrics) >= {"accuracy", "precision", "recall", "f1_score"} for r in rows)
 
 
+def test_failed_cross_validation(flowers, monkeypatch):
+    """A fitted model keeps its test score; its validation has a message and no score unless asked for as written."""
+    def fail(*args):
+        raise ValueError("no folds today")
+
+    monkeypatch.setattr(m, "cross_validate", fail)
+    for as_written in (False, True):
+        row = m.train_and_rank(flowers, "label", "classification", "key", only=["Logistic Regression"], folds=2, as_written=as_written).first()
+        assert row.error is None and row.is_best and row.cv_error == "no folds today"
+        assert row.cv_score == (row.test_score if as_written else None)
+
+
 def test_too_little_data(flowers):
     with pytest.raises(ValueError):
         mp.prepare(flowers.where("key < 6"), "label", "classification", "key")
