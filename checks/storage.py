@@ -72,6 +72,24 @@ def src_records(t):
     return f.read_records(t.spark, path, lines=True)
 
 
+def _arrays(batches):
+    """The lines of a task as one JSON array."""
+    sign = "["
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([("[" if i == 0 and sign == "[" else ",") + line for i, line in enumerate(b.column(0).to_pylist())], pa.string())], names=["value"])
+        sign = ","
+    yield pa.RecordBatch.from_arrays([pa.array(["[]" if sign == "[" else "]"], pa.string())], names=["value"])
+
+
+@query("src_records_array", "SELECT doc_id, source, text FROM documents")
+def src_records_array(t):
+    """Every document with its whole text, from JSON arrays that split over tasks."""
+    path = scratch_path(t.spark, "documents-array")
+    lines = t.documents.select(F.to_json(F.struct("doc_id", "source", "text")).alias("value"))
+    lines.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_arrays, "value string").write.text(path)
+    return f.read_records(t.spark, path, schema=T._parse_datatype_string("doc_id bigint, source string, text string"))
+
+
 @query("sink_dataset", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
 def sink_dataset(t):
     root = scratch_path(t.spark, "datasets")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Sequence
 from functools import reduce
 from urllib.parse import quote
@@ -11,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tabscout.functions.text import ref
 from tabscout.operators.profile import Profile, clean, number_cell, per_column, top_values
+from tabscout.plans.durable import scratch_path
+from tabscout.sources.records import split_records
 
 SUFFIXES = (".csv", ".xlsx")
 HEAD_ROWS = 500
@@ -30,7 +34,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     Without ``encoding``, it is UTF-8 (with or without a mark) if all bytes are, else
     windows-1252 if no byte is undefined in it, else ISO-8859-1.
 
-    ``line_breaks``: quoted cells may hold line breaks, and a quote in them is doubled; files are then not split.
+    ``line_breaks``: quoted cells may hold line breaks, and a quote in them is doubled. Files
+    split over tasks then too, and the scan that finds where records begin also finds the encoding.
 
     Rows that do not fit the schema raise when read. Give ``schema`` for large files:
     inferring it costs a pass over the data.
@@ -38,7 +43,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     reader = spark.read.option("header", True).option("mode", "FAILFAST")
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     if line_breaks:
-        reader = reader.option("multiLine", True).option("escape", '"')
+        return _split_csv(spark, path, schema, encoding)
     if encoding is None:
         encoding = _encoding(spark, path)
     windows = encoding.lower() in ("cp1252", "windows-1252")
@@ -53,6 +58,30 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     return df
 
 
+#: Types of a CSV column, the first that all its values fit; else text.
+CSV_TYPES = ("int", "bigint", "double", "date", "timestamp", "boolean")
+
+
+def _split_csv(spark: SparkSession, path: str, schema: T.StructType | None, encoding: str | None) -> DataFrame:
+    records = split_records(spark, path, "csv", encoding)
+    options = {"mode": "FAILFAST", "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"}
+    parse = lambda fields: records.where("not first").select(F.from_csv("text", _ddl(fields), options).alias("r")).select("r.*")
+    if schema:
+        return parse([(f.name, f.dataType.simpleString()) for f in schema.fields])
+    head = records.where("first").select(F.min("text")).first()[0]
+    if head is None:
+        raise ValueError("CSV file is empty")
+    names = next(csv.reader(io.StringIO(head, newline="")))
+    texts = parse([(n, "string") for n in names])
+    fits = texts.agg(*[F.coalesce(F.bool_and(ref(n).try_cast(t).isNotNull() | ref(n).isNull()) & (F.count(ref(n)) > 0), F.lit(False)) for n in names for t in CSV_TYPES]).first()
+    found = [next((t for j, t in enumerate(CSV_TYPES) if fits[i * len(CSV_TYPES) + j]), "string") for i in range(len(names))]
+    return parse(list(zip(names, found)))
+
+
+def _ddl(fields) -> str:
+    return ", ".join("`{}` {}".format(n.replace("`", "``"), t) for n, t in fields)
+
+
 def _encoding(spark: SparkSession, path: str) -> str:
     # The reader would replace bytes that are not UTF-8 without an error.
     lines = spark.read.text(path)
@@ -72,10 +101,16 @@ def read_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str | None, lines: bool = False, schema: T.StructType | None = None) -> DataFrame:
-    """Records stored as one JSON array, or one record per line (``lines``), which splits across tasks."""
+    """Records stored as one JSON array, or one record per line (``lines``); both split across tasks.
+
+    An element of an array that is no object raises, as does a broken one.
+    """
     if path is None:
         return spark.createDataFrame([], schema or T.StructType([]))
-    reader = spark.read.option("multiLine", not lines)
+    if not lines:  # a raw line break never lies in a JSON string
+        path, array = scratch_path(spark, "records"), path
+        split_records(spark, array, "json", "utf-8").select(F.translate("text", "\r\n", "  ").alias("value")).write.text(path)
+    reader = spark.read if lines else spark.read.option("mode", "FAILFAST")
     return (reader.schema(schema) if schema else reader).json(path)
 
 
