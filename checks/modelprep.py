@@ -221,9 +221,19 @@ def prep_fitted_transform(t):
     return r(prep.transform(t.customer.drop("c_acctbal")), *FEATURES, digits=6).select(*FEATURES)
 
 
-@query("prep_fitted_gaps")
+GAPS = {"user_id": "u", "event_type": "e", "user_id_squared": "u * u", "user_id_log": "ln(1 + u)", "event_type_squared": "e * e", "event_type_log": "ln(1 + e)",
+        "user_id_x_event_type": "u * e", "user_id_div_event_type": "u / (e + 1e-10::DOUBLE)"}
+
+
+@query("prep_fitted_gaps", f"""WITH g AS ({GAPPY_SQL}),
+m AS (SELECT event_type AS mode FROM g WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, event_type LIMIT 1),
+b AS (SELECT value, user_id::DOUBLE AS u, (dense_rank() OVER (ORDER BY coalesce(event_type, mode)) - 1)::DOUBLE AS e FROM g, m),
+f AS (SELECT value, {", ".join(f"{v} AS {k}" for k, v in GAPS.items())} FROM b),
+q AS (SELECT {", ".join(f"median({k}) AS {k}_c, coalesce(nullif(quantile_cont({k}, 0.75) - quantile_cont({k}, 0.25), 0), 1) AS {k}_w" for k in GAPS)} FROM f)
+SELECT value, {", ".join(f"round(({k} - {k}_c) / {k}_w, 6) AS {k}" for k in GAPS)} FROM f, q""")
 def prep_fitted_gaps(t):
-    return mp.fit_prep(gappy(t), "value")[1]
+    """The most frequent text fills gaps; the constant, the unique and the time column are gone; the target keeps its gaps."""
+    return r(mp.fit_prep(gappy(t), "value")[1], *GAPS, digits=6).select("value", *GAPS)
 
 
 @query("prep_live", """
