@@ -159,8 +159,8 @@ SELECT o_orderkey, round(o_totalprice * o_orderkey, 2) AS o_totalprice_x_o_order
 def feat_interact(t):
     chosen = mp.top_variance(t.orders, ["o_orderkey", "o_custkey", "o_totalprice"])
     out = mp.add_interaction(t.orders.where("o_orderkey > 0"), *chosen)
-    return out.select("o_orderkey", F.round("o_totalprice_x_o_orderkey", 2).alias("o_totalprice_x_o_orderkey"),
-                      F.round("o_totalprice_div_o_orderkey", 4).alias("o_totalprice_div_o_orderkey"))
+    product, ratio = f"{chosen[0]}_x_{chosen[1]}", f"{chosen[0]}_div_{chosen[1]}"  # which two vary most is up to the table
+    return out.select("o_orderkey", F.round(product, 2).alias(product), F.round(ratio, 4).alias(ratio))
 
 
 @query("drop_low_variance", """
