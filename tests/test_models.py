@@ -120,3 +120,12 @@ def test_tuned_training_oversamples(spark):
     df = spark.createDataFrame(rows, "key long, a double, b double, y int")
     out = m.train_and_rank(df, "y", "classification", "key", only=["Logistic Regression"], folds=None, tuned=True).first()
     assert 0 <= out.test_score <= 1 and "auc_roc" in out.metrics
+
+
+def test_training_rows_are_spread_over_the_cores(spark):
+    """A small file's rows come in one part, which one core would train on alone."""
+    df = spark.range(0, 40_000, 1, 1).select("id", (F.col("id") % 13).alias("x"), F.expr("if(id % 13 < 6, 'a', 'b')").alias("y"))
+    data = mp.prepare(df, "y", "classification", "id")
+    sizes = [r["count"] for r in data.train.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == min(spark.sparkContext.defaultParallelism, 40_000 // mp.LEAST_ROWS)
+    assert sum(sizes) + data.test.count() == 40_000 and max(sizes) < 1.2 * min(sizes)
