@@ -1,3 +1,4 @@
+import math
 import re
 
 import pyarrow as pa
@@ -9,6 +10,7 @@ from checks.registry import query
 from tabscout.operators.analysis import analyze, report
 from tabscout.plans.durable import scratch_path
 from tabscout.sources import files as f
+from tabscout.sources.records import few_rows
 
 
 @query("src_csv", "SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
@@ -25,7 +27,7 @@ def _bytewise(encoding: str, back: bool):
     plain = lambda t: known.sub(lambda m: chr(int(m[1] or m[2] or m[3], 16)) if m.lastindex else "\\", t)
 
     def run(batches):
-        for b in batches:
+        for b in few_rows(batches):
             texts = [None if t is None else (plain if back else escape)(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["doc_id", "source", "text"])
 
@@ -37,10 +39,11 @@ SELECT enc, doc_id, source, text FROM documents, (VALUES ('utf8'), ('bom'), ('la
 def src_csv_encodings(t):
     """Every document with its whole text, in many files of each encoding, each with its own header and mark."""
     rows, schema, out = t.documents.select("doc_id", "source", "text"), "doc_id bigint, source string, text string", None
+    each = math.ceil(max(rows.count(), 1) / int(t.spark.conf.get("spark.sql.shuffle.partitions")))  # of a file: many files, but no shuffle of whole texts
     for name, encoding, mark in (("utf8", "UTF-8", ""), ("bom", "UTF-8", "\ufeff"), ("latin", "latin-1", ""), ("windows", "cp1252", "")):
         path, bytewise = scratch_path(t.spark, name), encoding != "UTF-8"
         body = rows.mapInArrow(_bytewise(encoding, False), schema) if bytewise else rows
-        (body.withColumnRenamed("doc_id", mark + "doc_id").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions"))).write.option("header", True).option("escape", '"')
+        (body.withColumnRenamed("doc_id", mark + "doc_id").write.option("maxRecordsPerFile", each).option("header", True).option("escape", '"')
          .option("encoding", "ISO-8859-1" if bytewise else encoding).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
         found = f.read_csv(t.spark, path, T._parse_datatype_string(schema), line_breaks=True)
         found = found.mapInArrow(_bytewise(encoding, True), schema) if bytewise else found
@@ -75,7 +78,7 @@ def src_records(t):
 def _arrays(batches):
     """The lines of a task as one JSON array."""
     sign = "["
-    for b in batches:
+    for b in few_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array([("[" if i == 0 and sign == "[" else ",") + line for i, line in enumerate(b.column(0).to_pylist())], pa.string())], names=["value"])
         sign = ","
     yield pa.RecordBatch.from_arrays([pa.array(["[]" if sign == "[" else "]"], pa.string())], names=["value"])

@@ -14,10 +14,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tabscout.plans.durable import durable
+from tabscout.plans.durable import durable, scratch_path
 
 #: States of so many ranges (24 bytes each) may be sent to every task; more are joined by shuffle.
 RANGES = 1_000_000
+#: Rows of a batch that are Python values at a time.
+SLICE = 256
 SEPARATOR = {"csv": b"\n", "json": b"}"}
 #: Bytes that windows-1252 leaves undefined.
 UNDEFINED = re.compile(rb"[\x81\x8d\x8f\x90\x9d]")
@@ -42,8 +44,15 @@ def _effect(kind: str, unit: bytes) -> tuple[int, int, int]:
     return flip, even - (flip == 0), odd - (flip == 1)  # the brace at the unit's end
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches`` in slices, as a whole one as Python values takes several times its bytes."""
     for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in few_rows(batches):
         yield from zip(*(c.to_pylist() for c in batch.columns))
 
 
@@ -155,7 +164,11 @@ def split_records(spark: SparkSession, path: str, kind: str, encoding: str | Non
         joined = joined.repartition("file", "s").sortWithinPartitions("file", "s", "place")
     # A range that the first scan did not see would begin in an unknown state.
     known = F.when(F.col("quoted").isNull(), F.raise_error(F.lit("byte ranges changed between scans"))).otherwise(F.col("quoted")).cast("int")
-    pieces = durable(joined.select("file", F.col("s").alias("start"), "unit", known.alias("quoted"), "depth").mapInArrow(_cut(kind, encoding), _PIECE))
+    cut = joined.select("file", F.col("s").alias("start"), "unit", known.alias("quoted"), "depth").mapInArrow(_cut(kind, encoding), _PIECE)
+    # As Parquet, which packs the texts and reads the columns asked for: a checkpoint would write every text unpacked.
+    at = scratch_path(spark, "pieces")
+    cut.write.option("compression", "zstd").parquet(at)
+    pieces = spark.read.schema(cut.schema).parquet(at)
     if kind == "json":  # the brace put back at the end of a file cut short would hide that
         short = pieces.groupBy("file").agg(F.bool_or(F.col("part") == _END).alias("ends")).where("not ends").select("file").first()
         if short:

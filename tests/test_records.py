@@ -86,3 +86,13 @@ def test_states_too_many_to_send(spark, tmp_path, ranges, monkeypatch):
     (tmp_path / "a.json").write_text(json.dumps(rows))
     got = f.read_records(spark, str(tmp_path)).orderBy("n").collect()
     assert [(r.n, r.text) for r in got] == [(r["n"], r["text"]) for r in rows]
+
+
+def test_whole_batches_are_never_python_values():
+    """Rows of a large Arrow batch are turned into Python values a slice at a time."""
+    import pyarrow as pa
+    from tabscout.sources import records
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["x"])
+    slices = [b.column(0).to_pylist() for b in records.few_rows([batch, batch])]
+    assert max(map(len, slices)) == records.SLICE and sum(slices, []) == [*range(1000)] * 2
