@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabscout.operators import models as m, modelprep as mp
+from tabscout.operators import models as m, modelprep as mp, network
 from tabscout.operators.oversample import nearest, smote
 
 
@@ -129,3 +129,47 @@ def test_training_rows_are_spread_over_the_cores(spark):
     sizes = [r["count"] for r in data.train.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == min(spark.sparkContext.defaultParallelism, 40_000 // mp.LEAST_ROWS)
     assert sum(sizes) + data.test.count() == 40_000 and max(sizes) < 1.2 * min(sizes)
+
+
+@pytest.mark.parametrize("alone", [True, False])
+def test_a_network_takes_the_steps_of_sparks_trainer(spark, monkeypatch, alone):
+    """But not a job for each of them where one task can take them; rows of several parts and short blocks."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    monkeypatch.setattr(network, "ALONE", network.ALONE if alone else 0)
+    df = spark.range(0, 1500, 1, 3).selectExpr("id", "sin(id * 1.7) as a", "cos(id * 2.3) as b", "cast(pmod(id * id, 7) > 3 or sin(id * 0.9) > 0.5 as double) as label").where("id % 11 > 1")
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df).select("features", "label").localCheckpoint()
+    built = [c for c in m.classifiers(1500, 2, 2) if c.name == "Neural Network"][0].build().setMaxIter(12)
+    theirs = MultilayerPerceptronClassifier(layers=built.getLayers(), maxIter=12, tol=1e-4, seed=m.SEED).fit(df)
+    group = f"steps-{alone}"
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        model = built.fit(df)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    np.testing.assert_allclose(model.weights.toArray(), theirs.weights.toArray(), rtol=1e-6, atol=1e-9)
+    assert model.getMaxIter() == 12
+    if alone:
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < 12
+
+
+def test_steps_end_where_nothing_is_left_to_gain(spark):
+    def bowl(x):
+        return float(((x - 3) ** 2).sum()), 2 * (x - 3)
+
+    x, steps = network.minimise(bowl, np.array([10.0, -4.0]), 100, 1e-9)
+    assert steps < 20 and np.allclose(x, 3)
+    assert network.minimise(bowl, np.array([3.0, 3.0]), 100, 1e-9)[1] == 0
+    assert network.minimise(bowl, np.array([10.0, -4.0]), 1, 1e-9)[1] == 1
+
+
+def test_fits_of_a_network_run_abreast_and_fail_alone(flowers, monkeypatch):
+    data = mp.prepare(flowers.where("label <> 'C'"), "label", "classification", "key")
+    small = m.Candidate("Neural Network", lambda: network.Perceptron(layers=[2, 4, 2], maxIter=30, seed=1), abreast=True)
+    row = m.train_one(small, data, "key", 2)
+    apart = m.train_one(m.Candidate("Neural Network", small.build), data, "key", 2)
+    assert (row["test_score"], row["cv_score"], row["metrics"]) == (apart["test_score"], apart["cv_score"], apart["metrics"])
+    monkeypatch.setattr(m, "stratified_folds", lambda *a: 1 / 0)
+    row = m.train_one(small, data, "key", 2)
+    assert row["cv_score"] is None and "zero" in row["cv_error"] and row["test_score"] == apart["test_score"]
