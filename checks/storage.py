@@ -45,7 +45,8 @@ def src_csv_encodings(t):
         body = rows.mapInArrow(_bytewise(encoding, False), schema) if bytewise else rows
         (body.withColumnRenamed("doc_id", mark + "doc_id").write.option("maxRecordsPerFile", each).option("header", True).option("escape", '"')
          .option("encoding", "ISO-8859-1" if bytewise else encoding).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
-        found = f.read_csv(t.spark, path, T._parse_datatype_string(schema), line_breaks=True)
+        # Four times the whole texts unpacked would take several times the table's disk.
+        found = f.read_csv(t.spark, path, T._parse_datatype_string(schema), line_breaks=True, consume=True)
         found = found.mapInArrow(_bytewise(encoding, True), schema) if bytewise else found
         found = found.select(F.lit(name).alias("enc"), *[F.col(c) for c in ("doc_id", "source", "text")])
         out = found if out is None else out.unionByName(found)

@@ -28,7 +28,8 @@ CONTROLS, CHARACTERS = "".join(k for k, v in _OTHER.items() if v), "".join(_OTHE
 UNDEFINED = [k.encode("latin-1") for k, v in _OTHER.items() if not v]
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, encoding: str | None = None, line_breaks: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, encoding: str | None = None, line_breaks: bool = False,
+             consume: bool = False) -> DataFrame:
     """A CSV file, or a folder of them, with a header each.
 
     Without ``encoding``, it is UTF-8 (with or without a mark) if all bytes are, else
@@ -36,6 +37,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
 
     ``line_breaks``: quoted cells may hold line breaks, and a quote in them is doubled. Files
     split over tasks then too, and the scan that finds where records begin also finds the encoding.
+    The files have then been read when this returns, and with ``consume`` they are deleted meanwhile.
 
     Rows that do not fit the schema raise when read. Give ``schema`` for large files:
     inferring it costs a pass over the data.
@@ -43,7 +45,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     reader = spark.read.option("header", True).option("mode", "FAILFAST")
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     if line_breaks:
-        return _split_csv(spark, path, schema, encoding)
+        return _split_csv(spark, path, schema, encoding, consume)
+    if consume:
+        raise ValueError("files that are read later cannot be deleted")
     if encoding is None:
         encoding = _encoding(spark, path)
     windows = encoding.lower() in ("cp1252", "windows-1252")
@@ -62,8 +66,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
 CSV_TYPES = ("int", "bigint", "double", "date", "timestamp", "boolean")
 
 
-def _split_csv(spark: SparkSession, path: str, schema: T.StructType | None, encoding: str | None) -> DataFrame:
-    records = split_records(spark, path, "csv", encoding)
+def _split_csv(spark: SparkSession, path: str, schema: T.StructType | None, encoding: str | None, consume: bool = False) -> DataFrame:
+    records = split_records(spark, path, "csv", encoding, consume)
     options = {"mode": "FAILFAST", "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"}
     parse = lambda fields: records.where("not first").select(F.from_csv("text", _ddl(fields), options).alias("r")).select("r.*")
     if schema:

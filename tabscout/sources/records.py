@@ -10,16 +10,22 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tabscout.plans.durable import durable, scratch_path
+from tabscout.plans.durable import discard, durable, hadoop_path, scratch_path
 
 #: States of so many ranges (24 bytes each) may be sent to every task; more are joined by shuffle.
 RANGES = 1_000_000
 #: Rows of a batch that are Python values at a time.
 SLICE = 256
+#: Of zstd, for the pieces.
+LEVEL = 9
+#: Files to be deleted are read in so many rounds at most, each of as many bytes at least.
+ROUNDS, ROUND_BYTES = 4, 32 << 20
 SEPARATOR = {"csv": b"\n", "json": b"}"}
 #: Bytes that windows-1252 leaves undefined.
 UNDEFINED = re.compile(rb"[\x81\x8d\x8f\x90\x9d]")
@@ -28,7 +34,7 @@ _PIECE = "file string, start bigint, part int, first boolean, text string"
 _WHOLE, _HEAD, _MIDDLE, _TAIL, _END = range(5)
 
 
-def _units(spark: SparkSession, path: str, kind: str) -> DataFrame:
+def _units(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame:
     """The file's texts between separators, with the byte range in which each begins."""
     lines = spark.read.option("lineSep", SEPARATOR[kind].decode()).text(path)
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("unit"))
@@ -142,23 +148,21 @@ def _cut(kind: str, encoding: str):
     return run
 
 
-def split_records(spark: SparkSession, path: str, kind: str, encoding: str | None = None) -> DataFrame:
-    """The records of CSV files or JSON arrays (``kind``) as (first, text); ``first`` marks the first one of a file.
+def _rounds(spark: SparkSession, path: str) -> list[list[str]]:
+    """The files under ``path`` in a few even parts."""
+    files = sorted(unquote(f) for f in spark.read.text(path).inputFiles())
+    at, fs = hadoop_path(spark, path)
+    n = max(1, min(ROUNDS, len(files), fs.getContentSummary(at).getLength() // ROUND_BYTES))
+    return [files[i::n] for i in range(n) if files]
 
-    Without ``encoding`` the one found by the first scan: UTF-8, else windows-1252, else ISO-8859-1.
-    CSV: a quote stands only around a cell or doubled in it; empty lines outside cells are no records.
-    """
-    units = _units(spark, path, kind)
-    effects = durable(units.mapInArrow(_effects(kind), _EFFECT))
-    if encoding is None:
-        odd = effects.agg(F.bool_or("not_utf8"), F.bool_or("undefined"), F.count(F.lit(1))).first()
-        encoding = "utf-8" if not odd[0] else "latin-1" if odd[1] else "cp1252"
+
+def _write_pieces(spark: SparkSession, path: str | list[str], kind: str, encoding: str, effects: DataFrame, at: str) -> None:
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     states = effects.withColumn("quoted", (F.coalesce(F.sum("flip").over(before), F.lit(0)) % 2).cast("int"))
     change = F.when(F.col("quoted") == 0, F.col("outside")).otherwise(F.col("inside"))
     states = durable(states.select(F.xxhash64("file").alias("f"), F.col("start").alias("s"), "quoted", F.coalesce(F.sum(change).over(before), F.lit(0)).alias("depth")))
     few = states.count() <= RANGES
-    placed = units.withColumns({"f": F.xxhash64("file"), "place": F.monotonically_increasing_id()})
+    placed = _units(spark, path, kind).withColumns({"f": F.xxhash64("file"), "place": F.monotonically_increasing_id()})
     joined = placed.withColumnRenamed("start", "s").join(F.broadcast(states) if few else states, ["f", "s"], "left")
     if not few:  # back in the order of the file
         joined = joined.repartition("file", "s").sortWithinPartitions("file", "s", "place")
@@ -166,9 +170,30 @@ def split_records(spark: SparkSession, path: str, kind: str, encoding: str | Non
     known = F.when(F.col("quoted").isNull(), F.raise_error(F.lit("byte ranges changed between scans"))).otherwise(F.col("quoted")).cast("int")
     cut = joined.select("file", F.col("s").alias("start"), "unit", known.alias("quoted"), "depth").mapInArrow(_cut(kind, encoding), _PIECE)
     # As Parquet, which packs the texts and reads the columns asked for: a checkpoint would write every text unpacked.
+    cut.write.mode("append").option("compression", "zstd").option("parquet.compression.codec.zstd.level", LEVEL).parquet(at)
+
+
+def split_records(spark: SparkSession, path: str, kind: str, encoding: str | None = None, consume: bool = False) -> DataFrame:
+    """The records of CSV files or JSON arrays (``kind``) as (first, text); ``first`` marks the first one of a file.
+
+    Without ``encoding`` the one found by the first scan: UTF-8, else windows-1252, else ISO-8859-1.
+    The files are read when this returns; later reads take the pieces that it wrote. ``consume``:
+    the files are deleted, in a few rounds as their pieces are written, so that both are not kept whole.
+    CSV: a quote stands only around a cell or doubled in it; empty lines outside cells are no records.
+    """
+    rounds = (_rounds(spark, path) if consume else None) or [path]
+    scans = [durable(_units(spark, files, kind).mapInArrow(_effects(kind), _EFFECT)) for files in rounds]
+    if encoding is None:
+        odd = reduce(DataFrame.unionByName, scans).agg(F.bool_or("not_utf8"), F.bool_or("undefined"), F.count(F.lit(1))).first()
+        encoding = "utf-8" if not odd[0] else "latin-1" if odd[1] else "cp1252"
     at = scratch_path(spark, "pieces")
-    cut.write.option("compression", "zstd").parquet(at)
-    pieces = spark.read.schema(cut.schema).parquet(at)
+    for files, effects in zip(rounds, scans):
+        _write_pieces(spark, files, kind, encoding, effects, at)
+        for file in files if consume and files != path else ():
+            discard(spark, file)
+    if consume:
+        discard(spark, path)
+    pieces = spark.read.schema(_PIECE).parquet(at)
     if kind == "json":  # the brace put back at the end of a file cut short would hide that
         short = pieces.groupBy("file").agg(F.bool_or(F.col("part") == _END).alias("ends")).where("not ends").select("file").first()
         if short:

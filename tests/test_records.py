@@ -96,3 +96,33 @@ def test_whole_batches_are_never_python_values():
     batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["x"])
     slices = [b.column(0).to_pylist() for b in records.few_rows([batch, batch])]
     assert max(map(len, slices)) == records.SLICE and sum(slices, []) == [*range(1000)] * 2
+
+
+@pytest.mark.parametrize("few_bytes", [True, False])
+def test_files_that_are_consumed(spark, tmp_path, ranges, monkeypatch, few_bytes):
+    """In rounds or at once: all rows of all files by the encoding of the whole folder, and nothing left of the files."""
+    monkeypatch.setattr(rec, "ROUND_BYTES", 1 if few_bytes else 1 << 30)
+    folder, want = tmp_path / "a folder", []
+    folder.mkdir()
+    for i in range(6):  # only one file shows that the set is ISO-8859-1
+        rows = [(i * 100 + j, f"caf\xe9 {'\x81' if i == 5 else '\x85'}\n\"{j}\"") for j in range(9)]
+        with open(folder / f"{i}.csv", "w", newline="", encoding="latin-1") as out:
+            csv.writer(out).writerows([("n", "text"), *rows])
+        want += rows
+    df = f.read_csv(spark, str(folder), T.StructType.fromDDL("n int, text string"), line_breaks=True, consume=True)
+    assert not folder.exists()
+    assert sorted(tuple(r) for r in df.collect()) == want == sorted(tuple(r) for r in df.collect())
+
+
+def test_files_of_every_encoding_are_not_kept(spark, tmp_path, monkeypatch):
+    """What the query leaves is packed: less than one copy of the texts that it wrote four times."""
+    import checks
+    from checks import storage
+
+    rng, made = random.Random(5), []
+    monkeypatch.setattr(storage, "scratch_path", lambda s, label: made.append(str(tmp_path / label)) or made[-1])
+    rows = [(i, "web", " ".join(rng.choice(["caf\xe9", "plain", 'a "word"', "line\nbreak"]) for _ in range(50))) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = checks.QUERIES["src_csv_encodings"](spark, str(tmp_path))
+    assert len(made) == 4 and not any((tmp_path / m).exists() for m in made)
+    assert sorted((r.doc_id, r.source, r.text) for r in out.where("enc = 'windows'").collect()) == rows and out.count() == 1200
